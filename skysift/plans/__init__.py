@@ -1 +1,10 @@
+"""Named queries over the given tables."""
 
+from importlib import import_module
+
+MODULES = ("scalars", "catalogs", "selections", "matches")
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"skysift.plans.{name}")
