@@ -161,7 +161,7 @@ SCALAR = {
     # One row per (report, target): several reports may hold one target.
     "report_rows": ("orders", {
         "row_id": "o_orderkey", "target_id": "o_custkey", "report": "CAST(year(o_orderdate) AS INT)",
-        "total_score": "o_totalprice/1e5", "n_active": "CAST(o_orderkey % 5 AS INT)",
+        "total_score": "floor(o_totalprice/1e1)/1e4", "n_active": "CAST(o_orderkey % 5 AS INT)",
         "ruwe": "8e-1 + (o_orderkey*53 % 400)/1e2", "aen_sig": "(o_orderkey*17 % 120)/1e1",
         "pm_sigma": "(o_orderkey*7 % 60)/1e1", "unexplainability": "(o_orderkey*61 % 1000)/1e3",
         "stouffer_p": "(1 + o_orderkey*97 % 1000)/1e3", "is_fdr": "o_orderkey*97 % 1000 < 50",
@@ -247,6 +247,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        df = self._build(name)
+        self.__dict__[name] = df
+        return df
+
+    def _build(self, name: str) -> DataFrame:
         if name in GIVEN:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in SCALAR:

@@ -43,3 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+SMALL_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether Spark's own size estimate of a frame (as in ``explain('cost')``) is below a limit.
+
+    Used only to leave out steps that pay off on large data; results never depend on it.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) < limit

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import time
 
 import duckdb
 
@@ -44,8 +45,10 @@ def rows_of(names, rows):
 def compare(spark_df, con, sql) -> str:
     """Empty when equal, else a short description."""
     a_names, a = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    start = time.time()
     rel = con.sql(sql)
     b_names, b = rows_of(rel.columns, rel.fetchall())
+    compare.duck = time.time() - start
     if a_names != b_names:
         return f"columns {a_names} != {b_names}"
     if len(a) != len(b):
