@@ -23,7 +23,9 @@ HOT_ROWS = 1_000_000
 
 
 def _zone(dec: Column, cell: float) -> Column:
-    return F.floor((dec + 90.0) / F.lit(cell)).cast("int")
+    # A propagated position may step over a pole, so the zone is held inside the sphere.
+    zone = F.floor((dec + 90.0) / F.lit(cell))
+    return F.least(F.lit(int(180.0 // cell)), F.greatest(F.lit(0), zone)).cast("int")
 
 
 def _buckets_in(zone: Column, cell: float) -> Column:
@@ -49,9 +51,7 @@ def in_cells(df: DataFrame, ra: str, dec: str, cell: float) -> DataFrame:
 def over_cells(df: DataFrame, ra: str, dec: str, radius: Column, cell: float) -> DataFrame:
     """Copy each position into every cell its search circle touches."""
     d, r = F.col(dec), F.least(radius, F.lit(180.0))
-    top = F.lit(int(180.0 // cell))
-    low = F.greatest(F.lit(0), _zone(d - r, cell))
-    high = F.least(top, _zone(d + r, cell))
+    low, high = _zone(d - r, cell), _zone(d + r, cell)
     reach = F.when(
         F.abs(d) + r < 89.9999,
         F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(r)) / F.cos(F.radians(d))))) + 1e-9,

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "catalogs", "selections", "matches")
+MODULES = ("scalars", "catalogs", "selections", "matches", "associations")
 
 
 def load_all() -> None:

@@ -234,6 +234,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     head = ",\n".join(f"fx_{n} AS ({_fixture_sql(n)})" for n in names)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {head},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {head},\n{body[4:].lstrip()}"
     return f"WITH {head}\n{body}"
