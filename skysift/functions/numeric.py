@@ -246,3 +246,26 @@ def harmonic_match(interval: Column, period: Column, tolerance: float = 0.05, hi
         F.when(none, F.lit(0)).otherwise(best["harmonic"]).alias("harmonic"),
         residual.alias("residual"),
     )
+
+
+def student_tail(t: Column, dof: Column, largest_sum: int = 200) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom.
+
+    A finite sum up to ``largest_sum`` degrees of freedom, Wallace's normal form above.
+    """
+    a, v = F.abs(t), dof.cast("double")
+    theta = F.atan(a / F.sqrt(v))
+    c2 = F.cos(theta) * F.cos(theta)
+    even = F.sin(theta) * _sum_terms(F.lit(1.0), lambda i: (2 * i - 1) / (2 * i) * c2, F.floor(v / 2) - 1)
+    odd_sum = F.sin(theta) * F.cos(theta) * _sum_terms(F.lit(1.0), lambda i: 2 * i / (2 * i + 1) * c2, F.floor((v - 1) / 2) - 1)
+    odd = F.lit(2 / math.pi) * (theta + F.when(v >= 3, odd_sum).otherwise(F.lit(0.0)))
+    inside = F.when(v % 2 == 0, even).otherwise(odd)
+    z = (8 * v + 1) / (8 * v + 3) * F.sqrt(v * F.log1p(a * a / v))
+    return F.when(v <= largest_sum, clip(1.0 - inside, 0, 1)).otherwise(2.0 * normal_tail(z))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation coefficient of n pairs."""
+    n = n.cast("double")
+    t = r * F.sqrt((n - 2) / (1.0 - r * r))
+    return F.when(n <= 2, F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(student_tail(t, n - 2))
