@@ -269,3 +269,11 @@ def correlation_p(r: Column, n: Column) -> Column:
     n = n.cast("double")
     t = r * F.sqrt((n - 2) / (1.0 - r * r))
     return F.when(n <= 2, F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(student_tail(t, n - 2))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate Pearson correlation; null when either side is constant."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

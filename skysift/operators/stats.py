@@ -95,7 +95,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 10
     keys = list(keys)
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     rows = mid_ranks(mid_ranks(both, keys, x, "_rx"), keys, y, "_ry")
-    out = rows.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n")).filter(F.col("n") > least)
+    out = rows.groupBy(*keys).agg(N.correlation("_rx", "_ry").alias("rho"), F.count("*").alias("n")).filter(F.col("n") > least)
     return out.withColumn("p", N.correlation_p(F.col("rho"), F.col("n")))
 
 
@@ -140,7 +140,7 @@ def residual_structure(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     density = F.col("_k") / F.col("n") / width
     entropy = hist.groupBy(*keys).agg(F.sum(-density * F.log2(density) * width).alias("entropy"))
     near = neighbours(with_position(df.select(*keys, *order, value), *keys, *order), keys, {"_next": (value, 1)})
-    lagged = near.groupBy(*keys).agg(F.corr(value, "_next").alias("lag1"))
+    lagged = near.groupBy(*keys).agg(N.correlation(value, "_next").alias("lag1"))
     gauss = 0.5 * F.log2(F.lit(2 * 3.141592653589793 * 2.718281828459045) * F.col("std") * F.col("std"))
     out = span.filter("n >= 20 AND _hi > _lo").join(entropy, keys).join(lagged, keys)
     return out.select(*keys, "n", "entropy", gauss.alias("gaussian_entropy"), "lag1", (F.abs("lag1") > 0.3).alias("is_structured"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysift.functions import numeric as N
 from skysift.operators.ordered import running, with_position
 
 
@@ -58,7 +59,7 @@ def on_common_grid(first: DataFrame, second: DataFrame, key: str, most: int = 10
 
 
 def correlation_summary(grid: DataFrame, key: str, sigma: float = 3.0) -> DataFrame:
-    r = F.coalesce(F.corr("v1", "v2"), F.lit(0.0))
+    r = F.coalesce(N.correlation("v1", "v2"), F.lit(0.0))
     agg = grid.groupBy(key).agg(F.count("*").alias("n"), r.alias("r")).filter("n >= 5")
     t = F.when(F.abs("r") < 1, F.abs("r") * F.sqrt(F.col("n") - 2.0) / F.sqrt(1.0 - F.col("r") * F.col("r"))).otherwise(F.lit(0.0))
     return agg.withColumn("t_stat", t).withColumn("is_anticorrelated", (F.col("r") < -0.3) & (F.col("t_stat") > sigma))
