@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.session import cut
+from skysift.session import cut, is_small
 
 CHUNK = 1 << 18
 _LOCAL = (1 << 33) - 1
@@ -22,6 +22,11 @@ _LOCAL = (1 << 33) - 1
 
 def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
     """Add the zero-based position of every row in the total order (ties are broken arbitrarily)."""
+    if is_small(df):
+        # Every column breaks ties, so rows that still tie are the same row.
+        rest = [c for c, t in df.dtypes if not t.startswith("map")]
+        w = Window.orderBy(*order, *rest)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds are sampled, so the sorted rows are written once before they are counted.
@@ -51,6 +56,11 @@ def _direct(order):
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
            rank: str = "rank", size: str | None = "n") -> DataFrame:
     """Rank 1..n of every row inside its key, and the size of the key."""
+    if is_small(df):
+        w = Window.partitionBy(*keys)
+        rest = [c for c, t in df.dtypes if not t.startswith("map")]
+        out = df.withColumn(rank, F.row_number().over(w.orderBy(*order, *rest)).cast("bigint"))
+        return out.withColumn(size, F.count("*").over(w)) if size else out
     rows = with_position(df, *keys, *_direct(order), name="_pos")
     if not keys:
         out = rows.withColumn(rank, F.col("_pos") + 1)
@@ -76,10 +86,13 @@ def running(df: DataFrame, keys: Sequence[str], totals: dict[str, tuple[Column,
         "min": F.least,
     }
     keys = list(keys)
+    direction = (lambda c: F.col(c).desc()) if reverse else F.col
+    if is_small(df):
+        w = Window.partitionBy(*keys).orderBy(direction(position)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[fold[how](value).over(w).alias(name) for name, (value, how) in totals.items()])
     rows = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
     for name, (value, _) in totals.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    direction = (lambda c: F.col(c).desc()) if reverse else F.col
     inside = (
         Window.partitionBy(*keys, "_chunk").orderBy(direction(position))
         .rowsBetween(Window.unboundedPreceding, 0)
@@ -109,6 +122,9 @@ def neighbours(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str,
     ``wanted`` maps an output name to (column, step); a negative step looks back. Rows near a
     chunk edge are copied into the next chunk, so each window holds a bounded number of rows.
     """
+    if is_small(df):
+        w = Window.partitionBy(*keys).orderBy(position)
+        return df.select("*", *[F.lag(v, -s).over(w).alias(n) for n, (v, s) in wanted.items()])
     back = max([0, *(-s for _, s in wanted.values())])
     ahead = max([0, *(s for _, s in wanted.values())])
     home = F.floor(F.col(position) / F.lit(chunk))
@@ -137,6 +153,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str,
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     data = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if is_small(data):
+        every = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
+        out = data.groupBy(*keys).agg(F.count("*").alias(size or "_n"), every.alias("_q")).filter(F.col(size or "_n") > 0)
+        out = out.select(*keys, *([size] if size else []), *[F.col("_q")[i].alias(n) for i, n in enumerate(probabilities)])
+        return out
     rows = with_position(data, *keys, "_v", name="_pos")
     spans = rows.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     points = F.array(*[

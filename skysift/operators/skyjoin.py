@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions import sphere
-from skysift.session import SMALL_BYTES, is_small
+from skysift.session import is_small
 
 ARCSEC = 1 / 3600.0
 ARCMIN = 1 / 60.0
@@ -88,8 +88,7 @@ def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int):
 def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
           left_pos: tuple[str, str] = ("ra", "dec"), right_pos: tuple[str, str] = ("ra", "dec"),
           right_key: str | None = None, cell: float | None = None, metric: str = "sphere",
-          hot_rows: int = HOT_ROWS, small_bytes: int = SMALL_BYTES, sep: str = "sep_deg",
-          prefix: str = "r_") -> DataFrame:
+          hot_rows: int = HOT_ROWS, sep: str = "sep_deg", prefix: str = "r_") -> DataFrame:
     """All (left, right) pairs within ``radius`` degrees.
 
     ``radius`` is a number or a column of the left side (then give ``cell``). Columns of the
@@ -113,7 +112,7 @@ def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
         .filter(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).isNotNull() & (F.col("_radius") >= 0)),
         *left_pos, reach, cell,
     )
-    if is_small(right, small_bytes):  # no cell of it can be hot
+    if is_small(right):  # no cell of it can be hot
         ll, rr = ll.withColumn("_part", F.lit(0)), rr.withColumn("_part", F.lit(0))
     else:
         ll, rr = _split_hot(ll, rr, hot_rows)
@@ -142,7 +141,7 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, *, left_k
     """
     prefix, sep = options.get("prefix", "r_"), options.get("sep", "sep_deg")
     right_pos = options.get("right_pos", ("ra", "dec"))
-    if not by and not is_small(right, options.get("small_bytes", SMALL_BYTES)):
+    if not by and not is_small(right):
         right = collapse_copies(right, right_key, right_pos)
     rcols = [f"{prefix}{c}" for c in right.columns]
     bykeys = [f"{prefix}{c}" for c in by]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "catalogs", "selections", "matches", "associations")
+MODULES = ("scalars", "catalogs", "selections", "matches", "associations", "populations", "series", "detectors")
 
 
 def load_all() -> None:

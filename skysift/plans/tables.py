@@ -175,6 +175,35 @@ SCALAR = {
         "ra": ra_of("15*s_suppkey + 1"), "dec": dec_of("15*s_suppkey"), "period_ms": "1e0 + s_suppkey % 30",
         "dm": "1e1 + s_suppkey % 90", "rms_us": "1e-1 + (s_suppkey % 20)/1e1",
     }, None),
+    # Further measurements of the targets, with gaps.
+    "signals": ("customer", {
+        "target_id": _K, "ra": ra_of(_K), "dec": dec_of(_K), "g": _G, "bp_rp": f"({_K}*31 % 480)/1e2 - 2e-1",
+        "parallax": f"CASE WHEN {_K} % 13 = 0 THEN NULL ELSE {_PARALLAX} END", "parallax_error": f"5e-2 + ({_K}*11 % 100)/2e2",
+        "ruwe": f"8e-1 + ({_K}*53 % 400)/1e2", "aen": f"({_K}*17 % 300)/1e2", "aen_sig": f"({_K}*17 % 120)/1e1",
+        "teff": f"3e3 + {_K}*71 % 6000", "logg": f"1e0 + ({_K}*13 % 400)/1e2", "mh": f"({_K}*19 % 200)/1e2 - 1.5e0",
+        "distance_pc": f"CASE WHEN {_K} % 11 = 0 THEN NULL ELSE 1e3/{_PARALLAX} END",
+        "fuv": f"CASE WHEN {_K} % 6 = 0 THEN NULL ELSE 1.4e1 + ({_K}*17 % 800)/1e2 END",
+        "nuv": f"CASE WHEN {_K} % 9 = 0 THEN NULL ELSE 1.2e1 + ({_K}*23 % 900)/1e2 END", "uv_clean": f"{_K} % 7 <> 0",
+        "radio_mjy": f"CASE WHEN {_K} % 5 = 0 THEN NULL ELSE ({_K}*19 % 300)/5e1 END", "radio_sep": f"({_K}*7 % 140)/1e1", "radio_snr": f"({_K}*11 % 200)/1e1",
+        "pmra": f"({_K}*29 % 400) - 2e2", "pmdec": f"({_K}*43 % 300) - 1.5e2", "pmra_error": f"1e-2 + ({_K} % 10)/1e2", "pmdec_error": f"1e-2 + ({_K} % 7)/1e2",
+        "wpmra": f"({_K}*29 % 400) - 2e2 + (({_K}*3 % 90) - 45)*7e-1", "wpmdec": f"({_K}*43 % 300) - 1.5e2 + (({_K}*7 % 80) - 40)*6e-1",
+        "wpmra_error": f"1e0 + ({_K} % 40)/4e0", "wpmdec_error": f"1e0 + ({_K} % 30)/3e0",
+        "eu_fe": f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE ({_K}*7 % 140)/1e2 - 2e-1 END", "ni_fe": f"({_K}*11 % 70)/1e2 - 2e-1",
+        "p_fe": f"CASE WHEN {_K} % 5 = 0 THEN NULL ELSE ({_K}*13 % 150)/1e2 - 1e-1 END", "co_ni": f"({_K}*17 % 90)/1e2 - 4.5e-1",
+        "li_a": f"({_K}*19 % 400)/1e2", "ce_fe": f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE ({_K}*23 % 100)/1e2 - 2e-1 END",
+        "pacs_70": f"CASE WHEN {_K} % 4 = 1 THEN NULL ELSE 1e0 + ({_K}*7 % 90) END", "pacs_100": f"CASE WHEN {_K} % 8 = 1 THEN NULL ELSE 1e0 + ({_K}*11 % 90) END",
+        "spire_250": f"CASE WHEN {_K} % 5 = 2 THEN NULL ELSE ({_K}*13 % 160)*1e0 END", "w4_mjy": f"CASE WHEN {_K} % 6 = 3 THEN NULL ELSE ({_K}*17 % 140)*1e0 END",
+        "xray": f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE ({_K}*13 % 400)*1e-14 END", "ebv": f"CASE WHEN {_K} % 8 = 0 THEN NULL ELSE ({_K}*29 % 60)/1e2*({_K} % 2) END",
+        "sigma_w3": f"CASE WHEN {_K} % 10 = 0 THEN NULL ELSE ({_K}*31 % 120)/1e1 END", "sigma_w4": f"CASE WHEN {_K} % 12 = 0 THEN NULL ELSE ({_K}*37 % 150)/1e1 END",
+        "excess_w3": f"(({_K}*41 % 60) - 40)/2e1", "excess_w4": f"(({_K}*47 % 70) - 45)/2e1", "ir_candidate": f"{_K} % 3 <> 1",
+        "n_obs": f"CAST({_K}*3 % 120 AS INT)", "phot_excess": f"5e-1 + ({_K}*17 % 140)/1e2", "multi_peak": f"CAST({_K}*5 % 25 AS INT)", "nss": f"CASE WHEN {_K} % 14 = 0 THEN 1 ELSE 0 END",
+        "harmonic": f"({_K}*3 % 30)/1e2", "n_params": f"CASE WHEN {_K} % 4 = 0 THEN 31 ELSE 5 END",
+        "otype": f"CASE {_K} % 12 WHEN 0 THEN 'SB*' WHEN 1 THEN 'QSO' WHEN 2 THEN 'TTau*' WHEN 3 THEN 'V*' WHEN 4 THEN 'EB*' WHEN 5 THEN NULL ELSE '*' END",
+        "dimming_score": f"({_K}*59 % 100)/1e2", "n_radio_hits": f"CAST({_K}*3 % 7 AS INT)", "hit_snr": f"({_K}*5 % 400)/1e1",
+        "variability": f"CASE WHEN {_K} % 6 = 5 THEN NULL ELSE ({_K}*7 % 200)/1e3 END", "n_epochs": f"CAST({_K}*13 % 40 AS INT)",
+        "n_hz": f"CAST({_K} % 4 AS INT)", "ir_var_score": f"CASE WHEN {_K} % 7 = 2 THEN NULL ELSE ({_K}*67 % 100)/1e2 END", "ir_var_source": f"CASE {_K} % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'simulated' ELSE 'real' END",
+        "k_w1": f"CASE WHEN {_K} % 9 = 4 THEN NULL ELSE ({_K}*3 % 160)/1e2 - 8e-1 END", "epochs_ir": f"CAST({_K}*7 % 60 AS INT)",
+    }, None),
     "outcomes": ("labels", {
         "target_id": "doc_id", "expected": "CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END",
         "observed": "toxic", "score": "(doc_id*37 % 100)/1e2",
