@@ -11,9 +11,8 @@ from skysift.functions import numeric as N
 from skysift.operators.ordered import mid_ranks, neighbours, quantiles, running, value_counts, with_position
 
 
-def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), alpha: float = 0.05,
-                       q: str = "q_value", flag: str = "is_significant") -> DataFrame:
-    """False-discovery q-values per group.
+def q_values(df: DataFrame, p: str, keys: Sequence[str] = (), q: str = "q_value") -> DataFrame:
+    """False-discovery q-value of every distinct p-value per group.
 
     Tied p-values share a q-value, so the work is done on distinct values with counts.
     """
@@ -22,8 +21,13 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), alpha: f
     total = df.groupBy(*keys).agg(F.count("*").alias("_m"))
     values = values.join(total, keys) if keys else values.crossJoin(F.broadcast(total))  # one row
     raw = F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("cum__n"))
-    values = running(values, keys, {q: (raw, "min")}, reverse=True).select(*keys, p, q)
-    return df.join(values, [*keys, p]).withColumn(flag, F.col(q) <= alpha)
+    return running(values, keys, {q: (raw, "min")}, reverse=True).select(*keys, p, q)
+
+
+def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), alpha: float = 0.05,
+                       q: str = "q_value", flag: str = "is_significant") -> DataFrame:
+    """Attach q-values per group and whether they pass ``alpha``."""
+    return df.join(q_values(df, p, keys, q), [*keys, p]).withColumn(flag, F.col(q) <= alpha)
 
 
 def fisher(p: str) -> tuple[Column, Column]:
@@ -42,8 +46,9 @@ def fisher_p(statistic: Column, k: Column) -> Column:
 
 def stouffer(p: str, weight: Column | None = None) -> tuple[Column, Column, Column]:
     """Aggregates for a weighted sum of normal scores: sum, sum of squared weights, number of p = 1."""
-    w = F.greatest(F.lit(0.0), weight) if weight is not None else F.lit(1.0)
-    c = F.greatest(F.col(p), F.lit(N.P_FLOOR))
+    given = F.col(p).isNotNull()
+    w = F.when(given, F.greatest(F.lit(0.0), weight) if weight is not None else F.lit(1.0))
+    c = F.when(given, F.greatest(F.col(p), F.lit(N.P_FLOOR)))
     return F.sum(F.when(c < 1, w * N.normal_tail_inverse(c))), F.sum(w * w), F.count_if((c >= 1) & (w > 0))
 
 

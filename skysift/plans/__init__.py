@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "catalogs", "selections", "matches", "associations", "populations", "series", "detectors")
+MODULES = ("scalars", "catalogs", "selections", "matches", "associations", "populations", "series", "detectors", "scoring")
 
 
 def load_all() -> None:
