@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "catalogs", "selections", "matches", "associations", "populations", "series", "detectors", "scoring")
+MODULES = ("scalars", "catalogs", "selections", "matches", "associations", "populations", "series", "detectors", "scoring", "vetting", "live")
 
 
 def load_all() -> None:

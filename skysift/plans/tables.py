@@ -204,6 +204,14 @@ SCALAR = {
         "n_hz": f"CAST({_K} % 4 AS INT)", "ir_var_score": f"CASE WHEN {_K} % 7 = 2 THEN NULL ELSE ({_K}*67 % 100)/1e2 END", "ir_var_source": f"CASE {_K} % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'simulated' ELSE 'real' END",
         "k_w1": f"CASE WHEN {_K} % 9 = 4 THEN NULL ELSE ({_K}*3 % 160)/1e2 - 8e-1 END", "epochs_ir": f"CAST({_K}*7 % 60 AS INT)",
     }, None),
+    # Earlier verdicts on the targets, for the vetting rules.
+    "verdicts": ("customer", {
+        "target_id": _K, "n_active": f"CAST({_K} % 5 AS INT)", "pair_is_known": f"{_K} % 2 = 0", "verdict": f"CASE {_K} % 3 WHEN 0 THEN 'EXPLAINED' WHEN 1 THEN 'PARTIALLY_EXPLAINED' ELSE 'UNEXPLAINED' END",
+        "is_fdr": f"{_K} % 7 = 0", "chance_p": f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE ({_K}*61 % 1000)/4e4 END", "orbit_match": f"CASE WHEN {_K} % 6 = 0 THEN NULL ELSE {_K} % 17 = 1 END",
+        "object_risk": f"CASE WHEN {_K} % 5 = 2 THEN NULL ELSE ({_K} % 10)/1e1 END", "n_real": f"CAST({_K}*3 % 6 AS INT)", "n_simulated": f"CASE WHEN {_K} % 11 = 3 THEN 1 ELSE 0 END",
+        "stouffer_p": f"CASE WHEN {_K} % 13 = 5 THEN NULL ELSE ({_K}*97 % 1000)/2e4 END", "unexplained": f"({_K}*71 % 100)/1e2", "recommendation": f"CASE WHEN {_K} % 3 = 0 THEN 'ESCALATE' WHEN {_K} % 3 = 1 THEN 'MONITOR' ELSE 'DEMOTE' END",
+        "top_share": f"({_K}*43 % 100)/1e2", "n_runs": f"CAST({_K} % 4 AS INT)", "chi2_red": f"({_K}*59 % 130)*1e0",
+    }, None),
     "outcomes": ("labels", {
         "target_id": "doc_id", "expected": "CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END",
         "observed": "toxic", "score": "(doc_id*37 % 100)/1e2",
