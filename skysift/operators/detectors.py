@@ -102,7 +102,7 @@ def centroid_shift() -> Column:
 def infrared_variability(epochs: DataFrame, key: str = "target_id") -> DataFrame:
     """Excess scatter, trends on points and on passes, monotonicity, colour change and one score."""
     span = epochs.groupBy(key).agg(F.count("*").alias("n"), F.min("mjd").alias("_a"), F.max("mjd").alias("_b")).filter("n >= 15").filter((F.col("_b") - F.col("_a")) / T.DAYS_PER_YEAR >= 3)
-    good = epochs.join(span.select(key), key, "left_semi")
+    good = cut(epochs.join(span.select(key), key, "left_semi"))  # read many times below
     ok2 = good.filter("w2 IS NOT NULL AND w2_err IS NOT NULL")
     out = span.select(key, "n")
     for b, rows in (("w1", good), ("w2", ok2)):
@@ -247,8 +247,10 @@ KNOWN_BANDS = ((1400.00000, 1400.0000045), (1400.000120, 1400.000126))
 
 def interference_mask(cells: DataFrame, bands=KNOWN_BANDS, sigma: float = 3.0) -> DataFrame:
     """Flags for each (frequency, time) cell: known band, broadband burst, persistent channel."""
+    cells = cut(cells)  # read many times below
+
     def profile(rows, key, name):
-        mid = quantiles(rows, [key], "power", {"_m": 0.5})
+        mid = cut(quantiles(rows, [key], "power", {"_m": 0.5}))  # one row per channel or time step
         noise = T.robust_sigma(mid, [], "_m").select(F.col("med").alias("_g"), "sigma")
         loud = mid.crossJoin(F.broadcast(noise))  # one row
         return loud.select(key, (F.col("_m") > F.col("_g") + sigma * F.col("sigma")).alias(name))

@@ -11,6 +11,7 @@ from skysift.functions import photometry as P
 from skysift.functions import sphere as S
 from skysift.functions.numeric import col
 from skysift.operators.ordered import quantiles, ranked
+from skysift.session import cut
 
 # Habitable-zone limits (insolation, equilibrium temperature).
 HZ_INSOLATION = (0.25, 1.75)
@@ -65,7 +66,7 @@ def sigma_clip(df: DataFrame, keys: Sequence[str], value: str, k: float) -> Data
 
 def clean_lightcurve(df: DataFrame, keys: Sequence[str], k: float = 5.0) -> DataFrame:
     """Drop nulls and outliers, then divide by the median of what is left."""
-    kept = sigma_clip(df.filter(F.col("flux").isNotNull()), keys, "flux", k).drop("_med")
+    kept = cut(sigma_clip(cut(df.filter(F.col("flux").isNotNull())), keys, "flux", k).drop("_med"))
     middle = quantiles(kept, keys, "flux", {"_m": 0.5})
     return kept.join(middle, list(keys)).withColumn("flux_norm", F.col("flux") / F.col("_m")).drop("_m")
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
 from skysift.operators.ordered import mid_ranks, neighbours, quantiles, running, value_counts, with_position
+from skysift.operators.skyjoin import best_per_group
+from skysift.session import cut
 
 
 def q_values(df: DataFrame, p: str, keys: Sequence[str] = (), q: str = "q_value") -> DataFrame:
@@ -178,9 +180,7 @@ def matched_controls(targets: DataFrame, pool: DataFrame, features: Sequence[str
     grid = zs[:2]
     t = both.filter("_t").select(F.col("_id").alias(target_key), *zs)
     # Of rows with the same features only the first k can be among the k nearest.
-    from skysift.operators.skyjoin import best_per_group
     p = best_per_group(both.filter("NOT _t").select(F.col("_id").alias(pool_key), *zs), zs, [F.col(pool_key)], k)
-    from skysift.session import cut
     t, p = cut(t), cut(p)
     box = p.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in grid for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if not box["n"]:
@@ -196,10 +196,12 @@ def matched_controls(targets: DataFrame, pool: DataFrame, features: Sequence[str
             around = around.withColumn(f"_g{i}", F.explode(F.array(*[F.col(f"_g{i}") + d for d in (-1, 0, 1)])))
         d2 = sum(((F.col(z) - F.col(f"p_{z}")) * (F.col(z) - F.col(f"p_{z}")) for z in zs), F.lit(0.0))
         found = around.join(here, [f"_g{i}" for i in range(len(grid))]).select(target_key, pool_key, F.sqrt(d2).alias("distance"))
-        near = best_per_group(found, [target_key], [F.col("distance"), F.col(pool_key)], k)
         last = width > farthest
         if not last:
-            settled = near.groupBy(target_key).agg(F.count("*").alias("_k"), F.max("distance").alias("_d")).filter((F.col("_k") >= k) & (F.col("_d") <= width)).select(target_key)
+            found = found.filter(F.col("distance") <= width)  # only these can settle a target
+        near = best_per_group(found, [target_key], [F.col("distance"), F.col(pool_key)], k)
+        if not last:
+            settled = near.groupBy(target_key).agg(F.count("*").alias("_k")).filter(F.col("_k") >= k).select(target_key)
             near = near.join(settled, target_key, "left_semi")
         near = cut(near)
         done = near if done is None else done.unionByName(near)

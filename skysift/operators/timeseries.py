@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.operators.ordered import neighbours, quantiles, ranked, running, with_position
+from skysift.session import cut
 
 DAYS_PER_YEAR = 365.25
 MAD_TO_SIGMA = 1.4826
@@ -150,7 +151,11 @@ def window_features(df: DataFrame, key: str, time: str, value: str, size: int =
 
 def islands(df: DataFrame, key: str, time: str, mask: Column, value: str) -> DataFrame:
     """Runs of consecutive points that satisfy a mask: start, end, depth, length and asymmetry."""
-    rows = with_position(df.select(key, time, value, mask.alias("_on")), key, time)
+    return _runs(with_position(df.select(key, time, value, mask.alias("_on")), key, time), key, time, value)
+
+
+def _runs(rows: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Runs of positioned rows whose ``_on`` is true."""
     rows = neighbours(rows, [key], {"_was": ("_on", -1)})
     start = F.col("_on") & ~F.coalesce("_was", F.lit(False))
     rows = running(rows, [key], {"island": (start.cast("int"), "sum")}).filter("_on")
@@ -164,34 +169,35 @@ def islands(df: DataFrame, key: str, time: str, mask: Column, value: str) -> Dat
     return g.select(key, "island", "n", "start", "end", (1.0 - F.col("_lo")).alias("depth"), (F.col("end") - F.col("start")).alias("duration"), asym.alias("asymmetry"))
 
 
-def difference_noise(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Noise of a series from the robust deviation of its first differences."""
+def with_steps(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Positioned series with the difference to the point before. Written once, as callers read it often."""
     rows = neighbours(with_position(df.select(key, time, value), key, time), [key], {"_before": (value, -1)})
-    diff = rows.withColumn("_diff", F.col(value) - F.col("_before")).filter("_diff IS NOT NULL")
+    return cut(rows.withColumn("_diff", F.col(value) - F.col("_before")).drop("_before"))
+
+
+def difference_noise(steps: DataFrame, key: str, value: str) -> DataFrame:
+    """Noise of a series from the robust deviation of its first differences."""
+    diff = steps.filter("_diff IS NOT NULL")
     mid = quantiles(diff, [key], "_diff", {"_m": 0.5})
     off = diff.join(mid, key).withColumn("_off", F.abs(F.col("_diff") - F.col("_m")))
     mad = quantiles(off, [key], "_off", {"_mad": 0.5})
-    std = df.groupBy(key).agg(F.stddev_pop(value).alias("_std"))
-    jump = diff.groupBy(key).agg(F.max(F.abs("_diff")).alias("max_jump"))
-    noise = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SIGMA / F.sqrt(F.lit(2.0))).otherwise(F.col("_std"))
-    noise = F.when(noise > 0, noise).otherwise(F.lit(1e-6))
-    return mad.join(std, key).join(jump, key).select(key, noise.alias("noise"), F.col("_std").alias("std"), "max_jump"), diff.select(key, "_diff")
+    std = steps.groupBy(key).agg(F.stddev_pop(value).alias("std"), F.max(F.abs("_diff")).alias("max_jump"))
+    noise = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SIGMA / F.sqrt(F.lit(2.0))).otherwise(F.col("std"))
+    return mad.join(std, key).select(key, F.when(noise > 0, noise).otherwise(F.lit(1e-6)).alias("noise"), "std", "max_jump")
 
 
 def dips(df: DataFrame, key: str, time: str, value: str, sigma: float = 3.0) -> DataFrame:
     """Dip share, deepest dip, jumps and sustained runs of each series."""
-    noise, diff = difference_noise(df, key, time, value)
-    base = quantiles(df, [key], value, {"med": 0.5}).join(noise, key)
-    rows = df.select(key, time, value).join(base, key)
-    low = F.col(value) < F.col("med") - sigma * F.col("noise")
-    s = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(low).alias("n_dips"), (F.first("med") - F.min(value)).alias("deepest"), F.first("noise").alias("noise"),
-                              F.regr_slope(F.col(value), F.col(time)).alias("trend"))
-    jumps = diff.join(noise.select(key, "noise"), key).groupBy(key).agg(F.count_if(F.abs("_diff") / F.col("noise") > 5 * sigma).alias("n_jumps"))
-    marked = rows.withColumn("_mask", F.coalesce(low, F.lit(False)))
-    runs = islands(marked, key, time, F.col("_mask"), value).groupBy(key).agg(F.count_if(F.col("n") >= 3).alias("n_sustained"))
-    out = s.join(jumps, key, "left").join(runs, key, "left").filter("n >= 20")
+    steps = with_steps(df, key, time, value)
+    base = cut(quantiles(steps, [key], value, {"med": 0.5}).join(difference_noise(steps, key, value), key))
+    rows = steps.join(base, key).withColumn("_on", F.coalesce(F.col(value) < F.col("med") - sigma * F.col("noise"), F.lit(False)))
+    s = rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.count_if("_on").alias("n_dips"), (F.first("med") - F.min(value)).alias("deepest"), F.first("noise").alias("noise"),
+        F.count_if(F.abs("_diff") / F.col("noise") > 5 * sigma).alias("n_jumps"), F.regr_slope(F.col(value), F.col(time)).alias("trend"))
+    runs = _runs(rows.select(key, time, value, "pos", "_on"), key, time, value).groupBy(key).agg(F.count_if(F.col("n") >= 3).alias("n_sustained"))
+    out = s.join(runs, key, "left").filter("n >= 20")
     return out.select(key, "n", "n_dips", (F.col("n_dips") / F.col("n")).alias("dip_share"), (F.col("deepest") / F.col("noise")).alias("dip_sigma"),
-                      F.coalesce("n_jumps", F.lit(0)).alias("n_jumps"), F.coalesce("n_sustained", F.lit(0)).alias("n_sustained"), "trend")
+                      "n_jumps", F.coalesce("n_sustained", F.lit(0)).alias("n_sustained"), "trend")
 
 
 def power_sums(df: DataFrame, key: str, time: str, value: str, err: str, frequencies: DataFrame) -> DataFrame:
@@ -264,7 +270,7 @@ def box_search(df: DataFrame, key: str, time: str, value: str, periods: int = 60
 
 def dip_shape(df: DataFrame, key: str, time: str, value: str, found: DataFrame, sigma: float = 3.0) -> DataFrame:
     """Symmetry, depth and duration scatter and box residual of the dips a box search found, as one score."""
-    noise, _ = difference_noise(df, key, time, value)
+    noise = difference_noise(with_steps(df, key, time, value), key, value)
     rows = df.select(key, F.col(time).alias("_t"), F.col(value).alias("_x")).join(found, key).join(noise.select(key, "noise"), key)
     turn = (F.col("_t") - F.col("t0")) / F.col("period")
     rows = rows.withColumn("_epoch", F.round(turn)).withColumn("_phase", turn - F.round(turn))
