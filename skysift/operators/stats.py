@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
-from skysift.operators.ordered import mid_ranks, neighbours, quantiles, running, value_counts, with_position
+from skysift.operators.ordered import mid_ranks, neighbours, running, value_counts, with_position
 from skysift.operators.skyjoin import best_per_group
 from skysift.session import cut
 

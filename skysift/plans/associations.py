@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skysift.functions import numeric as N
 from skysift.operators import associations as A
 from skysift.operators import temporal as T
-from skysift.operators.skyjoin import ARCSEC, best_per_group, nearest, pairs
+from skysift.operators.skyjoin import ARCSEC, pairs
 from skysift.plans import sqltext as Q
 from skysift.plans.registry import query
 from skysift.plans.scalars import HARMONIC_SQL, shapiro_delay_us, SHAPIRO_US
@@ -75,6 +75,17 @@ def _(t):
                      r6("residual", "residual"), "is_match", r6("radius_au", "radius_au"))
 
 
+@query("burst_orbit_significance", f"""WITH {_BURST_SQL}, c AS (SELECT count(*) FILTER (resid < 0.05) AS n_matches, count(*) AS n_spatial, 0.1e0*(SELECT count(*) FROM fx_bursts)*pi()*pow(1e1/6e1, 2)*(SELECT count(*) FROM fx_hosts)/41253e0 AS expected FROM p JOIN k ON k.key = source_id*100000 + host_id)
+    SELECT n_matches, n_spatial, round(expected, 6) AS expected, round({Q.poisson_tail('n_matches', 'expected')}, 9) AS p FROM c""")
+def _(t):
+    found = A.burst_orbits(t.bursts, _bursts(t), t.hosts).agg(F.count_if("is_match").alias("n_matches"), F.count("*").alias("n_spatial"))
+    one = found.crossJoin(A.one_row(t.bursts, b=F.count("*"))).crossJoin(A.one_row(t.hosts, h=F.count("*")))
+    # One spatial coincidence in ten is expected to agree in period by chance.
+    expected = 0.1 * F.col("b") * math.pi * (10 / 60) ** 2 * F.col("h") / A.FULL_SKY
+    one = one.withColumn("e", expected)
+    return one.select("n_matches", "n_spatial", r6("e", "expected"), F.round(N.poisson_tail(F.col("n_matches"), F.col("e")), 9).alias("p"))
+
+
 @query("burst_intervals", "SELECT source_id, mjd, round(mjd - prev, 5) AS interval FROM (SELECT target_id AS source_id, mjd, lag(mjd) OVER (PARTITION BY target_id ORDER BY mjd) AS prev FROM fx_ir_epochs) WHERE prev IS NOT NULL")
 def _(t):
     return A.intervals(_bursts(t), "source_id", "mjd").select("source_id", "mjd", F.round("interval", 5).alias("interval"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysift.functions import sphere as S
-from skysift.operators.skyjoin import ARCSEC, best_per_group, nearest
+from skysift.operators.ordered import ranked
+from skysift.operators.skyjoin import ARCSEC, nearest
 from skysift.plans import sqltext as Q
 from skysift.plans.registry import query
 from skysift.session import scratch_path
@@ -220,8 +221,9 @@ def _(t):
 
 @query("burst_repeaters", "SELECT user_id AS source_id, count(*) AS n_bursts, round(min(m), 6) AS first_mjd, round(max(m), 6) AS last_mjd, round(sum(m), 2) AS mjd_sum FROM (SELECT target_id AS user_id, mjd AS m FROM fx_ir_epochs) GROUP BY 1")
 def _(t):
-    # Repeaters are stored in day blocks of bounded size, and read back as single bursts.
-    blocks = t.ir_epochs.groupBy("target_id", F.floor(F.col("mjd") / 30).alias("block")).agg(F.sort_array(F.collect_list("mjd")).alias("burst_mjds"))
+    # Repeaters are stored in blocks of at most 1000 bursts, and read back as single bursts.
+    numbered = ranked(t.ir_epochs.select("target_id", "epoch_id", "mjd"), ["target_id"], ["mjd", "epoch_id"], "nth", None)
+    blocks = numbered.groupBy("target_id", F.floor((F.col("nth") - 1) / 1000).alias("block")).agg(F.sort_array(F.collect_list("mjd")).alias("burst_mjds"))
     path = scratch_path(t.spark, "repeaters")
     blocks.write.parquet(path)
     bursts = t.spark.read.parquet(path).select(F.col("target_id").alias("source_id"), F.explode("burst_mjds").alias("m"))

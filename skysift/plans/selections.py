@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skysift.functions.photometry import absolute_magnitude
 from skysift.operators import selection as L
-from skysift.operators.ordered import ranked
 from skysift.operators.skyjoin import ARCSEC, best_per_group, pairs, without_nearby
 from skysift.plans import sqltext as Q
 from skysift.plans.catalogs import TYPE_EXPR
@@ -253,9 +252,8 @@ def _(t):
 
 @query("strip_simulated", "SELECT report, target_id, count(*) AS n FROM fx_report_rows WHERE data_source <> 'simulated' GROUP BY ALL")
 def _(t):
-    lists = t.report_rows.groupBy("report", "target_id").agg(F.collect_list("data_source").alias("matches"))  # a few rows per target and year
-    kept = lists.withColumn("matches", F.filter("matches", lambda m: m != "simulated"))
-    return kept.filter(F.size("matches") > 0).select("report", "target_id", F.size("matches").cast("bigint").alias("n"))
+    kept = t.report_rows.filter(F.col("data_source") != "simulated")
+    return kept.groupBy("report", "target_id").agg(F.count("*").alias("n"))
 
 
 @query("target_detail", "SELECT s.channel, s.score, r.report, r.total_score FROM fx_scores s JOIN (SELECT * FROM fx_report_rows WHERE target_id = 7 ORDER BY report DESC, row_id LIMIT 1) r USING (target_id)")

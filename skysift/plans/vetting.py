@@ -9,7 +9,7 @@ from skysift.operators import vetting as V
 from skysift.operators.skyjoin import ARCSEC, count_within, nearest
 from skysift.operators.templates import source_patterns
 from skysift.plans import sqltext as Q
-from skysift.plans.catalogs import near_sql, spectra, SPECTRA_EXPR
+from skysift.plans.catalogs import SPECTRA_EXPR, near_sql
 from skysift.plans.detectors import PM_SQL
 from skysift.plans.registry import query
 
