@@ -136,9 +136,15 @@ def _(t):
     return rows
 
 
-@query("power_at_known_period")
+POWER_SQL = """b AS (SELECT pulsar_id AS k, mjd AS t, residual_us AS y, 1/pow(uncertainty_us, 2) AS w, mjd - lag(mjd) OVER (PARTITION BY pulsar_id ORDER BY mjd) AS d FROM fx_residuals), s AS (SELECT k, min(t) AS t0, max(t) - min(t) AS span, median(d) AS step, sum(w) AS sw, sum(w*y)/sum(w) AS mu FROM b GROUP BY 1 HAVING count(*) >= 10),
+    fr AS (SELECT k, i, 1/span + (0.5/step - 1/span)*i/59e0 AS f FROM s, range(0, 60) r(i) UNION ALL SELECT k, -1, 1/365.25e0 FROM s), x AS (SELECT k, i, w/sw AS w, y - mu AS y, cos(f*(t - t0)*2*pi()) AS c, sin(f*(t - t0)*2*pi()) AS s FROM b JOIN s USING (k) JOIN fr USING (k)),
+    m AS (SELECT k, i, sum(w*y*y) AS yy, sum(w*y*c) AS yc, sum(w*y*s) AS ys, sum(w*c*c) - pow(sum(w*c), 2) AS cc, sum(w*s*s) - pow(sum(w*s), 2) AS ss, sum(w*c*s) - sum(w*c)*sum(w*s) AS cs FROM x GROUP BY 1, 2), p AS (SELECT k, i, (ss*yc*yc + cc*ys*ys - 2*cs*yc*ys)/(cc*ss - cs*cs)/yy AS p FROM m)"""
+
+
+@query("power_at_known_period", f"WITH {POWER_SQL} SELECT k AS pulsar_id, round(max(p) FILTER (i = -1), 6) AS power, round(max(p) FILTER (i = -1)/median(p) FILTER (i >= 0), 4) AS ratio FROM p GROUP BY k")
 def _(t):
-    return T.power_at_period(t.residuals, "pulsar_id", "mjd", "residual_us", "uncertainty_us", F.lit(365.25), count=60)
+    df = T.power_at_period(t.residuals, "pulsar_id", "mjd", "residual_us", "uncertainty_us", F.lit(365.25), count=60)
+    return df.select("pulsar_id", r6("power", "power"), F.round("ratio", 4).alias("ratio"))
 
 
 HALF_SQL = "SELECT target_id, {v} AS v, row_number() OVER (PARTITION BY target_id ORDER BY mjd, epoch_id) > count(*) OVER (PARTITION BY target_id)//2 AS late FROM {src}"
