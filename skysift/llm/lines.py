@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import ascii_lower, fresh
+from skysift.session import cut
 
 SPACE = " \t\n\u000b\u000c\r"
 
@@ -38,8 +39,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     # two documents or more have the key exactly if its first and last id differ, and both are kept up in the map-side sums
     counted = lines.groupBy("_hash").agg(F.min("_id").alias("_keeper"), *([F.max("_id").alias("_last")] if min_documents == 2 else [F.count_distinct("_id").alias("_n")]))
-    repeated = counted.where("_keeper < _last" if min_documents == 2 else F.col("_n") >= min_documents)
-    dropped = lines.join(repeated.select("_hash", "_keeper"), "_hash").where("_id <> _keeper").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_dropped"))
+    # written down, so that both sides of the join are plain shuffles and Spark can split the rows of a very frequent line
+    repeated = cut(counted.where("_keeper < _last" if min_documents == 2 else F.col("_n") >= min_documents).select("_hash", "_keeper"))
+    dropped = lines.join(repeated, "_hash").where("_id <> _keeper").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_dropped"))
 
     n_lines, n_dropped, kept = (fresh(docs, c) for c in ("n_lines", "n_dropped", "kept_text"))
     joined = docs.withColumns({"_id": F.col(id_col), "_row": row}).join(dropped, ["_id", "_row"], "left")

@@ -64,10 +64,38 @@ def spliced_count(tokenizer: Tokenizer, text: str, chunk: int = CHUNK, overlap:
 
 
 class Counter:
-    """Counts tokens of texts; words between white space are counted once and remembered."""
+    """Counts tokens of texts; words between white space are counted once and remembered.
+
+    Words are taken through the library's own steps (normalise, split, merge), many at a time, so that equal parts
+    of words are merged once. Words with strings of added tokens or other white space go through ``encode`` whole.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
+        self.tokenizer, self.known, self.parts = load(path), {}, {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if len(t.split()) == 1 and not any(a in t for a in self.added)]
+        normal = self.tokenizer.normalizer.normalize_str("\n".join(texts[i] for i in plain)).split(" ")
+        if len(normal) != len(plain):
+            plain, normal = [], []
+        ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)) + 1)
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(normal))
+        known, merge = self.parts, self.tokenizer.model.tokenize
+        if len(known) > CACHE:
+            known.clear()
+        sizes = []
+        for part, _ in parts:
+            n = known.get(part)
+            if n is None:
+                n = known[part] = len(merge(part))
+            sizes.append(n)
+        at = np.searchsorted(ends, np.fromiter((place[0] for _, place in parts), np.int64, len(parts)), side="right")
+        counts = np.bincount(at, weights=sizes, minlength=len(normal)).astype(int).tolist() if parts else []
+        self.known.update(zip((words[i] for i in plain), counts))
+        for i in sorted(set(range(len(words))).difference(plain)):
+            self.known[words[i]] = len(self.tokenizer.encode(texts[i], add_special_tokens=False))
 
     def count(self, texts: list[bytes | None], huge: int = HUGE) -> tuple[list[int], list[int], list[int]]:
         counts, chunks, widened = [], [], []
@@ -77,10 +105,7 @@ class Counter:
         known = self.known
         new = list({w for ws in words for w in ws}.difference(known))
         for i in range(0, len(new), 4096):
-            part = [w.decode() for w in new[i : i + 4096]]
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            at = np.searchsorted(ends, starts(self.tokenizer, "\n".join(part), 0), side="right")
-            known.update(zip(new[i : i + 4096], np.bincount(at, minlength=len(part)).tolist()))
+            self.learn(new[i : i + 4096])
         for text, ws in zip(texts, words):
             if text and self._huge(text, huge):
                 n, c, w = spliced_count(self.tokenizer, text.decode())
