@@ -15,6 +15,7 @@ from skysift.llm.lines import drop_repeated_lines
 from skysift.llm.simhash import near_duplicates
 from skysift.llm.token_counts import count_tokens
 from skysift.llm.toxicity import score, train
+from skysift.llm.weighted_sampling import fingerprint_edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,11 @@ def query(build: Callable) -> Callable:
     return build
 
 
+@query
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
