@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skysift.llm.automaton import contamination
 from skysift.llm.bpe import decode, encode
 from skysift.llm.common import table
+from skysift.llm.credentials import KINDS, find_credentials
 from skysift.llm.lines import drop_repeated_lines
 from skysift.llm.simhash import near_duplicates
 from skysift.llm.token_counts import count_tokens
@@ -79,6 +80,18 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_credentials(table(spark, sf_dir, "documents"))
+    name = F.array(*(F.lit(k) for k in KINDS))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
