@@ -13,10 +13,12 @@ from skysift.llm.bpe import decode, encode
 from skysift.llm.common import table
 from skysift.llm.credentials import KINDS, find_credentials
 from skysift.llm.lines import drop_repeated_lines
+from skysift.llm.quality import evidence, site_quality
 from skysift.llm.simhash import near_duplicates
 from skysift.llm.token_counts import count_tokens
 from skysift.llm.toxicity import score, train
 from skysift.llm.weighted_sampling import fingerprint_edits
+from skysift.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +29,20 @@ def query(build: Callable) -> Callable:
     return build
 
 
+@query
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out())
+    judged = cut(evidence(docs, labels, ["doc_id", "source", "lang"]))
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    found = site_quality(judged.join(known, "doc_id", "left"), "source", "lang", label_col="label")
+    return found.select("doc_id", held_out().alias("held_out"), "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= 0.5).alias("keep"))
+
+
+def held_out() -> Column:
+    """Rows that no label is learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
 @query
 def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,10 +55,6 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-
-
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
