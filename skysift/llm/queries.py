@@ -14,6 +14,7 @@ from skysift.llm.common import table
 from skysift.llm.credentials import KINDS, find_credentials
 from skysift.llm.lines import drop_repeated_lines
 from skysift.llm.quality import evidence, site_quality
+from skysift.llm.repeats import remove_repeats
 from skysift.llm.simhash import near_duplicates
 from skysift.llm.token_counts import count_tokens
 from skysift.llm.toxicity import score, train
@@ -55,6 +56,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
