@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,26 +154,67 @@ def _sum_terms(first: Column, ratio, last: Column) -> Column:
     return F.aggregate(steps, start, step)["total"]
 
 
-def poisson_tail(n: Column, rate: Column, terms_beyond: int = 60) -> Column:
-    """P(X >= n) for a Poisson rate. Small tails are summed upwards, so none is lost to rounding."""
+#: Nodes and weights of Gauss-Legendre quadrature on (0, 1).
+_X, _W = np.polynomial.legendre.leggauss(48)
+NODES, WEIGHTS = ((_X + 1) / 2).tolist(), (_W / 2).tolist()
+#: Counts from which tails are integrated; below, their finite sums have so few terms.
+MANY = 100
+
+
+def _integral(start: Column, end: Column, density) -> Column:
+    """Integral of a smooth density between two points, by a fixed number of nodes."""
+    nodes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in zip(NODES, WEIGHTS)))
+    total = F.aggregate(nodes, F.lit(0.0), lambda acc, n: acc + n["w"] * density(start + (end - start) * n["x"]))
+    return F.abs(end - start) * total
+
+
+def _stirling(n: Column) -> Column:
+    """ln n! less its leading terms, for large n."""
+    return F.lit(1.0) / (12.0 * n) - F.lit(1.0) / (360.0 * n * n * n)
+
+
+def gamma_tails(a: Column, x: Column) -> tuple[Column, Column]:
+    """Lower and upper regularised incomplete gamma function for a >= MANY.
+
+    The density is integrated from x away from its mode, in logarithms relative to the mode, so nothing
+    under- or overflows and small tails keep their digits; the work is the same for any a.
+    """
+    m = a - 1.0
+    s = F.sqrt(m)
+    above = x > m
+    far = F.when(above, F.greatest(m + 12.0 * s, x + 8.0 * s)).otherwise(F.greatest(F.lit(0.0), F.least(m - 8.0 * s, x - 6.0 * s)))
+    side = _integral(x, far, lambda t: F.exp(m * (F.log1p((t - m) / m) - (t - m) / m)))
+    side = clip(side / F.sqrt(2 * math.pi * m) * F.exp(-_stirling(m)), 0, 1)
+    return F.when(above, 1.0 - side).otherwise(side), F.when(above, side).otherwise(1.0 - side)
+
+
+def poisson_tail(n: Column, rate: Column) -> Column:
+    """P(X >= n) for a Poisson rate, at any count. Small tails are summed or integrated upwards, so none is lost to rounding."""
     n = n.cast("double")
-    lower = 1.0 - _sum_terms(F.exp(-rate), lambda i: rate / i, n - 1)
-    first = F.exp(n * F.log(rate) - rate - ln_gamma(n + 1.0))
-    upper = _sum_terms(first, lambda i: rate / (n + i), F.lit(terms_beyond))
-    tail = F.when(n <= 0, F.lit(1.0)).when(n > rate, upper).otherwise(lower)
+    few = F.least(n, F.lit(float(MANY)))
+    lower = 1.0 - _sum_terms(F.exp(-rate), lambda i: rate / i, few - 1)
+    first = F.exp(few * F.log(rate) - rate - ln_gamma(few + 1.0))
+    upper = _sum_terms(first, lambda i: rate / (few + i), F.lit(2 * MANY))
+    many = gamma_tails(F.greatest(n, F.lit(float(MANY))), rate)[0]
+    tail = F.when(n >= MANY, many).when(n > rate, upper).otherwise(lower)
     empty = F.when(n <= 0, F.lit(1.0)).otherwise(F.lit(1e-30))
-    return F.when(rate <= 0, empty).otherwise(clip(tail, P_FLOOR, 1))
+    return F.when(rate <= 0, empty).when(n <= 0, F.lit(1.0)).otherwise(clip(tail, P_FLOOR, 1))
 
 
 def chi_square_tail(x: Column, dof: Column) -> Column:
-    """P(chi2 > x) for whole degrees of freedom; both parities have a finite closed sum."""
-    h = x / 2.0
+    """P(chi2 > x) for whole degrees of freedom: finite closed sums for few, the incomplete gamma function for many."""
+    h = x.cast("double") / 2.0
     dof = dof.cast("int")
-    even = _sum_terms(F.exp(-h), lambda i: h / i, F.floor(dof / 2) - 1)
-    first = F.exp(-h) * F.sqrt(h) * F.lit(2 / math.sqrt(math.pi))
-    odd_sum = _sum_terms(first, lambda i: h / (i + 0.5), F.floor((dof - 1) / 2) - 1)
-    odd = normal_tail(F.sqrt(x)) * 2.0 + F.when(dof >= 3, odd_sum).otherwise(F.lit(0.0))
-    return F.when(x <= 0, F.lit(1.0)).when(dof % 2 == 0, even).otherwise(odd)
+    few = F.least(dof, F.lit(2 * MANY + 1))
+
+    def closed(shift: float, terms: Column) -> Column:
+        steps = F.when(terms >= 1, F.sequence(F.lit(0), terms.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.exp((i + shift) * F.log(h) - h - ln_gamma(i + shift + 1.0)))
+
+    even = closed(0.0, F.floor(few / 2))
+    odd = normal_tail(F.sqrt(x)) * 2.0 + closed(0.5, F.floor((few - 1) / 2))
+    many = gamma_tails(F.greatest(dof / 2.0, F.lit(float(MANY))), h)[1]
+    return F.when(x <= 0, F.lit(1.0)).when(dof >= 2 * MANY, many).when(dof % 2 == 0, even).otherwise(odd)
 
 
 def kolmogorov_tail(distance: Column, n_effective: Column, terms: int = 60) -> Column:
@@ -210,12 +252,35 @@ def hypergeometric_tail(k: Column, population: Column, marked: Column, drawn: Co
     return F.when(low > top, F.lit(0.0)).otherwise(clip(total, 0, 1))
 
 
+def beta_tails(a: Column, b: Column, x: Column) -> tuple[Column, Column]:
+    """Lower and upper regularised incomplete beta function for a and b >= MANY, like `gamma_tails`."""
+    p, q = a - 1.0, b - 1.0
+    n = p + q
+    mode = p / n
+    s = F.sqrt(p * q / (n * n * n))
+    above = x > mode
+    far = F.when(above, F.least(F.lit(1.0), F.greatest(mode + 12.0 * s, x + 8.0 * s))).otherwise(F.greatest(F.lit(0.0), F.least(mode - 12.0 * s, x - 8.0 * s)))
+
+    def density(t: Column) -> Column:
+        u, v = (t - mode) / mode, (mode - t) / (1.0 - mode)
+        return F.exp(p * (F.log1p(u) - u) + q * (F.log1p(v) - v))
+
+    scale = (n + 1.0) * F.sqrt(n / (2 * math.pi * p * q)) * F.exp(_stirling(n) - _stirling(p) - _stirling(q))
+    side = clip(_integral(x, far, density) * scale, 0, 1)
+    return F.when(above, 1.0 - side).otherwise(side), F.when(above, side).otherwise(1.0 - side)
+
+
 def binomial_tail(k: Column, n: Column, share: Column) -> Column:
-    """P(X >= k) for n independent trials, summed by the ratio of neighbouring terms."""
+    """P(X >= k) for n independent trials, at any count: finite sums next to an end, the incomplete beta function else."""
     k, n = k.cast("double"), n.cast("double")
-    first = F.exp(ln_choose(n, k) + k * F.log(share) + (n - k) * F.log1p(-share))
     odds = share / (1.0 - share)
-    total = _sum_terms(first, lambda i: (n - k - i + 1.0) / (k + i) * odds, n - k)
+    first = F.exp(ln_choose(n, k) + k * F.log(share) + (n - k) * F.log1p(-share))
+    upward = _sum_terms(first, lambda i: (n - k - i + 1.0) / (k + i) * odds, F.least(n - k, F.lit(2.0 * MANY)))
+    few = F.least(k, F.lit(float(MANY)))
+    below = _sum_terms(F.exp(n * F.log1p(-share)), lambda i: (n - i + 1.0) / i * odds, few - 1)
+    large = F.lit(float(MANY))
+    many = beta_tails(F.greatest(k, large), F.greatest(n - k + 1.0, large), share)[0]
+    total = F.when(n - k < MANY, upward).when(k >= MANY, many).when(k > n * share, upward).otherwise(1.0 - below)
     return (
         F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(share <= 0, F.lit(0.0))
         .when(share >= 1, F.lit(1.0)).otherwise(clip(total, 0, 1))
@@ -248,20 +313,22 @@ def harmonic_match(interval: Column, period: Column, tolerance: float = 0.05, hi
     )
 
 
-def student_tail(t: Column, dof: Column, largest_sum: int = 200) -> Column:
-    """Two-sided p-value of Student's t for whole degrees of freedom.
-
-    A finite sum up to ``largest_sum`` degrees of freedom, Wallace's normal form above.
-    """
+def student_tail(t: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom: a finite sum for few, the same integral by nodes for many."""
     a, v = F.abs(t), dof.cast("double")
-    theta = F.atan(a / F.sqrt(v))
+    few = F.least(v, F.lit(2.0 * MANY))
+    theta = F.atan(a / F.sqrt(few))
     c2 = F.cos(theta) * F.cos(theta)
-    even = F.sin(theta) * _sum_terms(F.lit(1.0), lambda i: (2 * i - 1) / (2 * i) * c2, F.floor(v / 2) - 1)
-    odd_sum = F.sin(theta) * F.cos(theta) * _sum_terms(F.lit(1.0), lambda i: 2 * i / (2 * i + 1) * c2, F.floor((v - 1) / 2) - 1)
-    odd = F.lit(2 / math.pi) * (theta + F.when(v >= 3, odd_sum).otherwise(F.lit(0.0)))
-    inside = F.when(v % 2 == 0, even).otherwise(odd)
-    z = (8 * v + 1) / (8 * v + 3) * F.sqrt(v * F.log1p(a * a / v))
-    return F.when(v <= largest_sum, clip(1.0 - inside, 0, 1)).otherwise(2.0 * normal_tail(z))
+    even = F.sin(theta) * _sum_terms(F.lit(1.0), lambda i: (2 * i - 1) / (2 * i) * c2, F.floor(few / 2) - 1)
+    odd_sum = F.sin(theta) * F.cos(theta) * _sum_terms(F.lit(1.0), lambda i: 2 * i / (2 * i + 1) * c2, F.floor((few - 1) / 2) - 1)
+    odd = F.lit(2 / math.pi) * (theta + F.when(few >= 3, odd_sum).otherwise(F.lit(0.0)))
+    inside = F.when(few % 2 == 0, even).otherwise(odd)
+    start = F.atan(a / F.sqrt(v))
+    rest = _integral(start, F.least(F.lit(math.pi / 2), start + 14.0 / F.sqrt(v)), lambda f: F.exp((v - 1.0) / 2.0 * F.log1p(-F.sin(f) * F.sin(f))))
+    i = F.lit(1.0) / v
+    ratio = F.sqrt(v / 2.0) * (1.0 - i / 4.0 + i * i / 32.0 + 5.0 * i * i * i / 128.0 - 21.0 * i * i * i * i / 2048.0)
+    many = 2.0 / math.sqrt(math.pi) * ratio * rest
+    return clip(F.when(v > 2 * MANY, many).otherwise(1.0 - inside), 0, 1)
 
 
 def correlation_p(r: Column, n: Column) -> Column:

@@ -71,7 +71,7 @@ def poisson_tail(n, rate) -> str:
     """Tail by direct summation of terms in log space, upwards from n."""
     return (
         f"(CASE WHEN {n} <= 0 THEN 1e0 WHEN {rate} <= 0 THEN 1e-30 ELSE least(1e0, greatest(1e-300, "
-        f"CASE WHEN {n} > {rate} THEN list_sum(list_transform(range(0, 200), lambda i: "
+        f"CASE WHEN {n} > {rate} THEN list_sum(list_transform(range(0, (200 + 12*sqrt({n}))::BIGINT), lambda i: "
         f"exp(({n}+i)*ln({rate}) - {rate} - lgamma({n}+i+1)))) "
         f"ELSE 1e0 - list_sum(list_transform(range(0, ({n})::BIGINT), lambda i: "
         f"exp(i*ln({rate}) - {rate} - lgamma(i+1e0)))) END)) END)"

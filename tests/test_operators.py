@@ -176,3 +176,54 @@ def test_results_do_not_depend_on_partitions(spark):
     assert values(hash_sample(df.repartition(1), "id", 20), "id") == values(hash_sample(df.repartition(7), "id", 20), "id")
     near = [values(skyjoin.pairs(df.repartition(n), df.repartition(n + 2), 5.0, right_key="id"), "id", "r_id") for n in (1, 7)]
     assert near[0] == near[1]
+
+
+def _terms(first_ratio_up, first_ratio_down, mode, low, high, start):
+    """Share of a distribution's mass at `start` and above, from ratios of neighbouring terms around its mode."""
+    below = above = 0.0
+    term, i = 1.0, mode
+    values = {mode: 1.0}
+    while i < high and term > 1e-25:
+        i += 1
+        term *= first_ratio_up(i)
+        values[i] = term
+    term, i = 1.0, mode
+    while i > low and term > 1e-25:
+        term *= first_ratio_down(i)
+        i -= 1
+        values[i] = term
+    total = math.fsum(values.values())
+    below, above = math.fsum(v for k, v in values.items() if k < start), math.fsum(v for k, v in values.items() if k >= start)
+    assert below + above == pytest.approx(total)
+    return above / total
+
+
+@pytest.mark.parametrize("rate", [1.0, 10.0, 99.0, 100.0, 101.0, 1e3, 1e4, 1e5, 1e6])
+def test_tails_hold_at_any_count(spark, rate):
+    starts = sorted({max(1, int(rate + z * math.sqrt(rate))) for z in (-4, -1, -0.1, 0, 0.3, 1, 3, 5)})
+    rows = spark.createDataFrame([(n, rate) for n in starts], "n long, rate double").select("n", N.poisson_tail(F.col("n"), F.col("rate")).alias("p"), N.chi_square_tail(F.col("rate") * 2, F.col("n") * 2).alias("q")).collect()
+    mode = int(rate)
+    for r in rows:
+        p = _terms(lambda i: rate / i, lambda i: i / rate, mode, 0, 1 << 60, r["n"])
+        assert r["p"] == pytest.approx(p, rel=2e-9)
+        assert r["q"] == pytest.approx(1 - p, rel=2e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize(("n", "share"), [(50, 0.3), (1000, 0.05), (1000, 0.5), (10_000, 0.001), (200_000, 0.4), (1_000_000, 0.02), (150, 0.95)])
+def test_binomial_tail_at_any_count(spark, n, share):
+    s = math.sqrt(n * share * (1 - share))
+    starts = sorted({min(n, max(1, int(n * share + z * s))) for z in (-4, -1, 0, 0.5, 2, 5)})
+    rows = spark.createDataFrame([(k, n, share) for k in starts], "k long, n long, s double").select("k", N.binomial_tail(F.col("k"), F.col("n"), F.col("s")).alias("p")).collect()
+    odds = share / (1 - share)
+    for r in rows:
+        p = _terms(lambda i: (n - i + 1) / i * odds, lambda i: i / ((n - i + 1) * odds), int(n * share), 0, n, r["k"])
+        assert r["p"] == pytest.approx(p, rel=2e-8, abs=1e-12)
+
+
+def test_student_tail_joins_smoothly(spark):
+    """The two forms agree where they meet, and many degrees of freedom approach the normal tail."""
+    row = spark.range(1).select(*[N.student_tail(F.lit(t), F.lit(v)).alias(f"p{v}_{i}") for v in (199, 200, 201, 202, 10_000_000) for i, t in enumerate((0.5, 2.0, 6.0))], *[(2 * N.normal_tail(F.lit(t))).alias(f"z{i}") for i, t in enumerate((0.5, 2.0, 6.0))]).first()
+    for i in range(3):
+        a, b, c, d = (row[f"p{v}_{i}"] for v in (199, 200, 201, 202))
+        assert a > b > c > d and (b - c) == pytest.approx((a - b + c - d) / 2, rel=0.02, abs=1e-12)
+        assert row[f"p10000000_{i}"] == pytest.approx(row[f"z{i}"], rel=1e-5)
