@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from skysift.llm.common import map_text
 from skysift.session import cut
@@ -17,6 +18,8 @@ from skysift.session import cut
 GRAM, PLACE_BITS = 24, 28
 #: Bytes of text that a task looks at together.
 BLOCK = 6_000_000
+#: Runs of a bucket that one task looks at together; larger buckets are dealt out by the suffixes' windows.
+LARGE = 10_000
 COLUMNS = ["kind", "key", "name", "id", "tie", "start", "end"]
 ROWS = "kind int, key bigint, name bigint, id bigint, tie bigint, start bigint, end bigint"
 #: Kinds of rows: a stretch of suffixes to resolve, one known to have come earlier, one that needs a look at each suffix.
@@ -187,32 +190,75 @@ def whole_runs(window: int):
     return scan
 
 
-def single_suffixes(window: int):
-    """Each suffix of the mixed runs by a 128-bit hash of its window."""
+def mixed_runs(window: int):
+    """Mixed runs with their bytes, for their bucket; those of large buckets as single suffixes, each by a 128-bit hash of its window."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                of, places, names = [], [], []
+                of, places, names, rows = [], [], [], []
+                ids, ties = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
                 for i, (text, runs) in enumerate(zip(part.column(0), part.column(3).to_pylist())):
                     text = text.as_py()
                     for run in runs:
-                        for s in range(run["start"], run["end"]):
-                            of.append(i)
-                            places.append(s)
-                            names.append(xxh3_128_intdigest(text[s : s + window]))
-                both = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in names), np.int64).reshape(-1, 2)
-                place = np.array(places, np.int64)
-                ids, ties = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
-                yield first_here(ids, ties, np.array(of, np.int64), place, place + 1, both[:, 0].copy(), both[:, 1].copy())
+                        a, b = run["start"], run["end"]
+                        if not run["large"]:
+                            rows.append((run["key"], ids[i], ties[i], a, b, text[a : b + window - 1]))
+                            continue
+                        of += [i] * (b - a)
+                        places += range(a, b)
+                        names += [xxh3_128_digest(text[p : p + window]) for p in range(a, b)]
+                if names:
+                    both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                    place = np.array(places, np.int64)
+                    single = first_here(ids, ties, np.array(of, np.int64), place, place + 1, both[:, 0].copy(), both[:, 1].copy())
+                    yield single.append_column("bytes", pa.nulls(single.num_rows, pa.binary()))
+                if rows:
+                    key, id_, tie, start, end, seen = zip(*rows)
+                    columns = [np.zeros(len(rows), np.int32), np.array(key, np.int64), np.zeros(len(rows), np.int64), *(np.array(x, np.int64) for x in (id_, tie, start, end))]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(seen, pa.binary())], names=[*COLUMNS, "bytes"])
+
+    return scan
+
+
+def settle(window: int):
+    """Rows in order of bucket, document and place: suffixes whose window the bucket has had before. Single suffixes are resolved as in the first round."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, had, before = None, set(), None
+
+        def singles():
+            nonlocal bucket, had, before
+            for batch in batches:
+                with_bytes = batch.column(7).is_valid()
+                out = []
+                for row in batch.filter(with_bytes).to_pylist():
+                    if before == (before := (row["key"], row["id"], row["tie"], row["start"])):
+                        continue  # a repeated row
+                    if row["key"] != bucket:
+                        bucket, had = row["key"], set()
+                    seen, start = row["bytes"], row["start"]
+                    for k in range(row["end"] - start):
+                        name = xxh3_128_digest(seen[k : k + window])
+                        if name not in had:
+                            had.add(name)
+                        elif out and out[-1][6] == start + k and out[-1][3:5] == (row["id"], row["tie"]):
+                            out[-1] = (*out[-1][:6], start + k + 1)
+                        else:
+                            out.append((EARLIER, bucket, 0, row["id"], row["tie"], start + k, start + k + 1))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.int64()] * 6))], names=COLUMNS)
+                yield batch.filter(pc.invert(with_bytes)).select(COLUMNS)
+
+        return resolve(singles())
 
     return scan
 
 
-def resolved(rows: DataFrame) -> DataFrame:
+def resolved(rows: DataFrame, one_pass=resolve) -> DataFrame:
     """One shuffle by key, a sort within each part, and a pass."""
-    return rows.repartition("key").sortWithinPartitions(*COLUMNS[1:6]).mapInArrow(resolve, ROWS)
+    return rows.repartition("key").sortWithinPartitions(*COLUMNS[1:6]).mapInArrow(one_pass, ROWS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100) -> DataFrame:
@@ -223,18 +269,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Suffixes are dealt into buckets by a sample of their first ``window`` bytes, and one bucket is sorted at a time. Neighbouring suffixes with one
     sample go as one row with the name of all bytes that they see, so long ties - copies - are settled by names
-    and positions, without the bytes. Only runs whose bucket has other names too are looked at suffix by suffix, in a second round
-    of the same kind. Equal runs within a block of text send one row.
+    and positions, without the bytes. Only runs whose bucket has other names too are sent with their bytes, and their bucket's suffixes are
+    gone through in order; a bucket of more than LARGE such runs is dealt out by the windows of its suffixes instead, in a second
+    round of the first kind. Equal runs within a block of text send one row.
 
     Ids are longs. Null texts are empty. Rows that share an id are in order of their texts' hashes; equal rows are one document and
     get the same result. Rows with a null id stay whole and don't count as earlier. Other columns are not looked at.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_tie"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    # rows are told apart by their texts' hashes too, where ids repeat
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    named = docs.select(F.col(id_col).cast("long").alias("_id"), (F.xxhash64(text_col) if repeated else F.lit(0).cast("long")).alias("_tie"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     texts = named.where("_id IS NOT NULL")
     runs = cut(resolved(texts.select("_text", "_id", "_tie").mapInArrow(whole_runs(window), ROWS)))
-    asked = runs.where(F.col("kind") == MIXED).groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "end")).alias("_runs"))
-    looked = texts.join(asked, ["_id", "_tie"]).select("_text", "_id", "_tie", "_runs").mapInArrow(single_suffixes(window), ROWS)
-    earlier = runs.where(F.col("kind") == EARLIER).unionByName(resolved(looked).where(F.col("kind") == EARLIER))
+    mixed = runs.where(F.col("kind") == MIXED)
+    large = mixed.groupBy("key").count().where(F.col("count") > LARGE).select("key", F.lit(True).alias("_large"))
+    sized = mixed.join(large, "key", "left").withColumn("large", F.coalesce("_large", F.lit(False)))
+    asked = sized.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "end", "key", "large")).alias("_runs"))
+    looked = texts.join(asked, ["_id", "_tie"]).select("_text", "_id", "_tie", "_runs").mapInArrow(mixed_runs(window), f"{ROWS}, bytes binary")
+    earlier = runs.where(F.col("kind") == EARLIER).unionByName(resolved(looked, settle(window)).where(F.col("kind") == EARLIER))
     spans = earlier.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     joined = texts.join(spans, ["_id", "_tie"], "left").unionByName(named.where("_id IS NULL").withColumn("_spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")))
 

@@ -257,9 +257,11 @@ def plain_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "block"), [(100, 6_000_000), (40, 6_000_000), (40, 300)])
-def test_repeats(docs, rows, monkeypatch, window, block):
+@pytest.mark.parametrize(("window", "block", "large"), [(100, 6_000_000, 10_000), (40, 6_000_000, 10_000), (40, 300, 10_000), (40, 300, 1)])
+def test_repeats(docs, rows, monkeypatch, window, block, large):
+    """Also with small blocks, and with buckets dealt out by windows."""
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "LARGE", large)
     found = repeats.remove_repeats(docs, window=window).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found} == plain_repeats(rows, window)
 
