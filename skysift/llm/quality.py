@@ -58,7 +58,7 @@ def design(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.c_[np.ones(len(z)), z, z * z]
 
 
-def evidence(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 4000) -> DataFrame:
+def evidence(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1400) -> DataFrame:
     """Columns ``keep`` plus ``evidence``, the classifier's probability of good quality from the whole text.
 
     It is fitted on at most ``per_class`` labelled documents of each class, those of the smallest id hashes. An id

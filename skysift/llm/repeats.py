@@ -17,7 +17,7 @@ from skysift.session import cut
 #: Bytes of the short strings whose least hash in a window is the window's sample, and bits of a place in a block.
 GRAM, PLACE_BITS = 24, 28
 #: Bytes of text that a task looks at together.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 #: Runs of a bucket that one task looks at together; larger buckets are dealt out by the suffixes' windows.
 LARGE = 10_000
 COLUMNS = ["kind", "key", "name", "id", "tie", "start", "end"]

@@ -120,7 +120,7 @@ def fit(rows: list[tuple[object, bytes, int]]) -> Model:
     return Model(toxic, ordinary, mean, spread, weights, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most ``per_class`` labelled documents of each class, those of the smallest id hashes.
 
     Rows of ``labels`` without an id or with another label than 0 and 1 are left out; an id labelled both ways counts as toxic.
