@@ -14,21 +14,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.session import cut, is_small
+from skysift.session import cut
 
 CHUNK = 1 << 18
 _LOCAL = (1 << 33) - 1
 
 
 def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
-    """Add the zero-based position of every row in the total order (ties are broken arbitrarily)."""
-    if is_small(df):
-        # Every column breaks ties, so rows that still tie are the same row.
-        rest = [c for c, t in df.dtypes if not t.startswith("map")]
-        w = Window.orderBy(*order, *rest)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    """Add the zero-based position of every row in the total order.
+
+    All columns but maps break ties, so rows that still tie are the same row.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [o for o in order if isinstance(o, str)]
+    order = [*order, *(c for c, t in df.dtypes if "map<" not in t and c not in named)]
     # The range bounds are sampled, so the sorted rows are written once before they are counted.
     rows = cut(
         df.repartitionByRange(parts, *order)
@@ -49,6 +49,15 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> Dat
     )
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a null equals a null; the right side's keys are dropped. Without keys the right side is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _direct(order):
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -56,11 +65,6 @@ def _direct(order):
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
            rank: str = "rank", size: str | None = "n") -> DataFrame:
     """Rank 1..n of every row inside its key, and the size of the key."""
-    if is_small(df):
-        w = Window.partitionBy(*keys)
-        rest = [c for c, t in df.dtypes if not t.startswith("map")]
-        out = df.withColumn(rank, F.row_number().over(w.orderBy(*order, *rest)).cast("bigint"))
-        return out.withColumn(size, F.count("*").over(w)) if size else out
     rows = with_position(df, *keys, *_direct(order), name="_pos")
     if not keys:
         out = rows.withColumn(rank, F.col("_pos") + 1)
@@ -69,27 +73,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
             out = out.crossJoin(F.broadcast(total))  # one row
         return out.drop("_pos")
     spans = rows.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias(size or "_n"))
-    out = rows.join(spans, list(keys)).withColumn(rank, F.col("_pos") - F.col("_first") + 1)
+    out = join_keys(rows, spans, keys).withColumn(rank, F.col("_pos") - F.col("_first") + 1)
     return out.drop("_pos", "_first", *([] if size else ["_n"]))
 
 
 def running(df: DataFrame, keys: Sequence[str], totals: dict[str, tuple[Column, str]],
             position: str = "pos", reverse: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """Running sum, max or min per key in position order, the row itself included.
+    """Running sum, max or min per key in position order, the row itself included; null until there is a value.
 
     ``totals`` maps an output name to (column, 'sum' | 'max' | 'min').
     """
     fold = {"sum": F.sum, "max": F.max, "min": F.min}
     merge = {
-        "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+        "sum": lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
         "max": F.greatest,
         "min": F.least,
     }
     keys = list(keys)
     direction = (lambda c: F.col(c).desc()) if reverse else F.col
-    if is_small(df):
-        w = Window.partitionBy(*keys).orderBy(direction(position)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[fold[how](value).over(w).alias(name) for name, (value, how) in totals.items()])
     rows = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
     for name, (value, _) in totals.items():
         rows = rows.withColumn(f"_v_{name}", value)
@@ -108,7 +109,7 @@ def running(df: DataFrame, keys: Sequence[str], totals: dict[str, tuple[Column,
         *keys, "_chunk",
         *[fold[how](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (_, how) in totals.items()],
     )
-    out = rows.join(carry, [*keys, "_chunk"])
+    out = join_keys(rows, carry, [*keys, "_chunk"])
     for name, (_, how) in totals.items():
         out = out.withColumn(name, merge[how](F.col(f"_c_{name}"), fold[how](f"_v_{name}").over(inside)))
     drop = [f"_{k}_{n}" for n in totals for k in "vc"]
@@ -122,9 +123,6 @@ def neighbours(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str,
     ``wanted`` maps an output name to (column, step); a negative step looks back. Rows near a
     chunk edge are copied into the next chunk, so each window holds a bounded number of rows.
     """
-    if is_small(df):
-        w = Window.partitionBy(*keys).orderBy(position)
-        return df.select("*", *[F.lag(v, -s).over(w).alias(n) for n, (v, s) in wanted.items()])
     back = max([0, *(-s for _, s in wanted.values())])
     ahead = max([0, *(s for _, s in wanted.values())])
     home = F.floor(F.col(position) / F.lit(chunk))
@@ -153,37 +151,28 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str,
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     data = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if is_small(data):
-        every = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
-        out = data.groupBy(*keys).agg(F.count("*").alias(size or "_n"), every.alias("_q")).filter(F.col(size or "_n") > 0)
-        out = out.select(*keys, *([size] if size else []), *[F.col("_q")[i].alias(n) for i, n in enumerate(probabilities)])
-        return out
-    rows = with_position(data, *keys, "_v", name="_pos")
-    spans = rows.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    points = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.col("_first") + F.floor((F.col("_n") - 1) * F.lit(float(p)))).alias("low"),
-            ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))).alias("part"),
-        )
-        for i, p in enumerate(probabilities.values())
-    ])
-    wanted = spans.select(*keys, "_n", "_first", F.explode(points).alias("w")).select(
-        *keys, "_n", F.col("w.i").alias("_i"), F.col("w.part").alias("_part"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("w.low").alias("at")),
-            F.struct(F.lit(1).alias("side"),
-                     F.least(F.col("w.low") + 1, F.col("_first") + F.col("_n") - 1).alias("at")),
-        )).alias("s"),
-    )
-    hits = wanted.join(rows.select(F.col("_pos").alias("_at"), "_v"), F.col("s.at") == F.col("_at"))
-    weight = F.when(F.col("s.side") == 1, F.col("_part")).otherwise(1.0 - F.col("_part"))
-    out = hits.groupBy(*keys).agg(
-        F.first("_n").alias(size or "_n"),
-        *[F.sum(F.when(F.col("_i") == i, F.col("_v") * weight)).alias(name)
-          for i, name in enumerate(probabilities)],
+    # Equal values are counted first, so a frequent value is one row; its neighbours in order are found by running counts.
+    rows = value_counts(data, keys, "_v", {"_c": F.lit(1)})
+    rows = join_keys(rows, rows.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    last = F.col("_n") - 1
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index >= F.col("cum__c") - F.col("_c")) & (index < F.col("cum__c")), F.col("_v")))
+
+    low = {n: F.floor(last * F.lit(float(p))) for n, p in probabilities.items()}
+    found = rows.groupBy(*keys).agg(
+        F.max("_n").alias(size or "_n"),
+        *[x for n, i in low.items() for x in (at(i).alias(f"_lo_{n}"), at(F.least(i + 1, last)).alias(f"_hi_{n}"))],
     )
-    return out if size else out.drop("_n")
+    n = F.col(size or "_n")
+    if not keys:
+        found = found.filter(n.isNotNull())
+
+    def between(name: str, p: float) -> Column:
+        part = (n - 1) * F.lit(float(p)) - F.floor((n - 1) * F.lit(float(p)))
+        return (F.col(f"_lo_{name}") * (1.0 - part) + F.col(f"_hi_{name}") * part).alias(name)
+
+    return found.select(*keys, *([size] if size else []), *[between(name, p) for name, p in probabilities.items()])
 
 
 def median(df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median") -> DataFrame:
@@ -205,4 +194,4 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank"
         *keys, value, (F.col("cum__ties") - F.col("_ties") + (F.col("_ties") + 1) / 2.0).alias(rank),
         F.col("_ties").alias(f"{rank}_ties"),
     )
-    return df.join(shared, [*keys, value])
+    return join_keys(df, shared, [*keys, value])

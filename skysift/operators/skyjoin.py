@@ -3,8 +3,8 @@
 Every sky join is an equi-join on cells: declination zones cut into right-ascension buckets.
 The left side, which should be the smaller one, is copied into all cells its search circle
 touches; the right side stays in its own cell, so each pair meets exactly once. Cells that
-hold more than ``hot_rows`` right rows are split into parts, and the few left rows there are
-copied to every part.
+hold more than ``hot_rows`` rows of a side are split into parts of that side, and each pair of
+a left and a right part meets in its own group.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions import sphere
-from skysift.session import is_small
 
 ARCSEC = 1 / 3600.0
 ARCMIN = 1 / 60.0
@@ -70,19 +69,20 @@ def over_cells(df: DataFrame, ra: str, dec: str, radius: Column, cell: float) ->
 
 
 def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int):
+    """Parts of cells that are hot on either side: a row has its own part of its side and meets all parts of the other."""
     cell = ["_zone", "_bucket"]
-    hot = (
-        right.groupBy(*cell).count().filter(F.col("count") > hot_rows)
-        .select(*cell, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    rows = left.select(*cell, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*cell, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = rows.groupBy(*cell).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    hot = counts.filter((F.col("_nl") > hot_rows) | (F.col("_nr") > hot_rows)).select(
+        *cell, F.ceil(F.col("_nl") / F.lit(hot_rows)).cast("int").alias("_left_parts"), F.ceil(F.col("_nr") / F.lit(hot_rows)).cast("int").alias("_right_parts")
     )
-    right = right.join(hot, cell, "left").withColumn(
-        "_part", F.when(F.col("_parts").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("_rra", "_rdec", "_rkey"), F.col("_parts")).cast("int"))
-    ).drop("_parts")
-    left = left.join(hot, cell, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-    ).drop("_parts")
-    return left, right
+
+    def dealt(side: DataFrame, own: str, other: str, key: Column) -> DataFrame:
+        mine = F.when(F.coalesce(F.col(f"_{own}_parts"), F.lit(1)) <= 1, 0).otherwise(F.pmod(key, F.col(f"_{own}_parts")).cast("int"))
+        every = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col(f"_{other}_parts"), F.lit(1)), F.lit(1)) - 1)
+        return side.join(hot, cell, "left").withColumn(f"_{own}_part", mine).withColumn(f"_{other}_part", F.explode(every)).drop("_left_parts", "_right_parts")
+
+    return dealt(left, "left", "right", F.xxhash64("_lra", "_ldec", "_salt")), dealt(right, "right", "left", F.xxhash64("_rra", "_rdec", "_rkey"))
 
 
 def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
@@ -112,16 +112,14 @@ def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
         .filter(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).isNotNull() & (F.col("_radius") >= 0)),
         *left_pos, reach, cell,
     )
-    if is_small(right):  # no cell of it can be hot
-        ll, rr = ll.withColumn("_part", F.lit(0)), rr.withColumn("_part", F.lit(0))
-    else:
-        ll, rr = _split_hot(ll, rr, hot_rows)
+    ll = ll.withColumns({"_lra": F.col(left_pos[0]), "_ldec": F.col(left_pos[1]), "_salt": F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t])})
+    ll, rr = _split_hot(ll, rr, hot_rows)
     distance = {"sphere": sphere.separation, "flat": sphere.separation_flat}[metric]
     return (
-        ll.join(rr, ["_zone", "_bucket", "_part"])
+        ll.join(rr, ["_zone", "_bucket", "_left_part", "_right_part"])
         .withColumn(sep, distance(left_pos[0], left_pos[1], "_rra", "_rdec"))
         .filter(F.col(sep) <= F.col("_radius"))
-        .drop("_zone", "_bucket", "_part", "_rra", "_rdec", "_rkey", "_radius")
+        .drop("_zone", "_bucket", "_left_part", "_right_part", "_lra", "_ldec", "_salt", "_rra", "_rdec", "_rkey", "_radius")
     )
 
 
@@ -141,7 +139,7 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, *, left_k
     """
     prefix, sep = options.get("prefix", "r_"), options.get("sep", "sep_deg")
     right_pos = options.get("right_pos", ("ra", "dec"))
-    if not by and not is_small(right):
+    if not by and not any("map<" in t for _, t in right.dtypes):
         right = collapse_copies(right, right_key, right_pos)
     rcols = [f"{prefix}{c}" for c in right.columns]
     bykeys = [f"{prefix}{c}" for c in by]
@@ -154,10 +152,10 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, *, left_k
     return left.join(best, left_key, "left" if keep_unmatched else "inner")
 
 
-def without_nearby(left: DataFrame, right: DataFrame, radius: float, *, left_key: str, **options) -> DataFrame:
-    """Left rows with no right row inside ``radius``."""
-    close = pairs(left.select(left_key, "ra", "dec"), right, radius, **options)
-    return left.join(close.select(left_key).distinct(), left_key, "left_anti")
+def without_nearby(left: DataFrame, right: DataFrame, radius: float, *, left_key: str) -> DataFrame:
+    """Left rows with no right row inside ``radius``. The left side, a large catalog, stays in its cells; the right one is copied."""
+    close = pairs(right.select("ra", "dec"), left.select(left_key, "ra", "dec"), radius, right_key=left_key)
+    return left.join(close.select(F.col(f"r_{left_key}").alias(left_key)).distinct(), left_key, "left_anti")
 
 
 def count_within(left: DataFrame, right: DataFrame, radius: float | Column, *, left_key: str,

@@ -402,24 +402,24 @@ def _(t):
     return X.ripleys_k(scored_points(t), "score", 0.95).select("bin", r6("r", "r"), "pairs", F.round("l_excess", 4).alias("l_excess"))
 
 
-@query("spatial_scan", f"""WITH {POINTS_SQL}, s AS (SELECT avg(score) AS m, var_pop(score) AS v, count(*) AS n FROM pts), d AS (SELECT a.target_id AS centre, b.score, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, b.target_id AS other FROM pts a, pts b),
-    g AS (SELECT centre, d, row_number() OVER w AS k, avg(score) OVER w AS inside FROM d WINDOW w AS (PARTITION BY centre ORDER BY d, other ROWS UNBOUNDED PRECEDING)), l AS (SELECT centre, d, k, k*pow(inside - m, 2)/(2*v) AS lr FROM g, s WHERE k >= 3 AND k <= floor(n*0.5) AND inside > m)
+@query("spatial_scan", f"""WITH {POINTS_SQL}, s AS (SELECT avg(score) AS m, var_pop(score) AS v, count(*) AS n FROM pts), d AS (SELECT a.target_id AS centre, b.score, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, b.target_id AS other FROM pts a, pts b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 40),
+    g AS (SELECT centre, d, row_number() OVER w AS k, avg(score) OVER w AS inside FROM d WINDOW w AS (PARTITION BY centre ORDER BY d, other ROWS UNBOUNDED PRECEDING)), l AS (SELECT centre, d, k, k*pow(inside - m, 2)/(2*v) AS lr FROM g, s WHERE k >= 3 AND inside > m)
     SELECT centre, round(lr, 6) AS lr, round(d, 6) AS radius, k::INT AS members FROM l ORDER BY lr DESC, centre LIMIT 1""")
 def _(t):
-    best = X.scan_statistic(scored_points(t), "target_id", "score", permutations=0)
+    best = X.scan_statistic(scored_points(t), "target_id", "score", 40.0, permutations=0)
     return best.select("centre", r6("lr", "lr"), r6("radius", "radius"), "members")
 
 
 @query("spatial_scan_significance")
 def _(t):
-    return X.scan_statistic(scored_points(t), "target_id", "score", permutations=49).select("centre", "lr", "radius", "members", "p")
+    return X.scan_statistic(scored_points(t), "target_id", "score", 40.0).select("centre", "lr", "radius", "members", "p")
 
 
 @query("spatial_summary")
 def _(t):
     pts = scored_points(t)
-    ball = X.scan_statistic(pts, "target_id", "score", permutations=19)
-    inside = X.cluster_members(pts, "target_id", ball, level=1.1).select("target_id", F.lit(True).alias("in_ball"))
+    ball = X.scan_statistic(pts, "target_id", "score", 40.0)
+    inside = X.cluster_members(pts, "target_id", ball).select("target_id", F.lit(True).alias("in_ball"))
     active = t.scores.groupBy("target_id").agg(F.count_if(F.col("score") > 0.3).alias("k"))
     df = pts.join(inside, "target_id", "left").join(active, "target_id")
     return df.agg(F.count("*").alias("n_3d"), F.count_if("in_ball").alias("n_in_ball"), F.count_if(F.col("k") >= 2).alias("n_multi_channel"))

@@ -157,12 +157,12 @@ def _(t):
     return t.targets.filter(F.col("teff").between(4000, 7000) & (F.col("logg") > 4) & (F.col("ruwe") < 1.4) & (F.col("parallax") > 0)).select("target_id")
 
 
-@query("control_sample", f"""WITH near AS (SELECT DISTINCT source_id FROM ({Q.cone('fx_pool', 'fx_targets', '5e0', 'source_id', 'a.source_id', zone=5)})),
+@query("control_sample", f"""WITH near AS (SELECT DISTINCT source_id FROM ({Q.cone('fx_pool', 'fx_targets', '5e0/3.6e3', 'source_id', 'a.source_id')})),
     c AS (SELECT * FROM fx_pool WHERE source_id NOT IN (SELECT source_id FROM near))
     SELECT floor(teff/1e3)::BIGINT AS teff_k, floor(1e3/parallax/1e2)::BIGINT AS d_bin, count(*) AS n FROM c GROUP BY ALL""")
 def _(t):
     # Strata of the field around which controls are drawn, after taking out the listed positions.
-    free = without_nearby(t.pool, t.targets.select("target_id", "ra", "dec"), 5.0, left_key="source_id")
+    free = without_nearby(t.pool, t.targets.select("target_id", "ra", "dec"), 5 * ARCSEC, left_key="source_id")
     return free.groupBy(F.floor(F.col("teff") / 1e3).alias("teff_k"), F.floor(1e3 / F.col("parallax") / 1e2).alias("d_bin")).agg(F.count("*").alias("n"))
 
 

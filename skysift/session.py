@@ -52,25 +52,3 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
-
-SMALL_BYTES = 32 << 20
-SMALL_CONF = "skysift.smallInputBytes"
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether all inputs of a frame together are below a limit, by Spark's own size statistics.
-
-    Small frames take a plain window or percentile; larger ones the ways that spread one hot
-    key over many tasks. Both give the same result. Set the limit with the session setting
-    ``skysift.smallInputBytes`` (0 means never small).
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
-    if limit <= 0:
-        return False
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        if total >= limit:
-            return False
-    return True

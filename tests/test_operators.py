@@ -25,7 +25,7 @@ def sky(spark, n, seed, key):
 
 
 @pytest.mark.parametrize("radius", [0.5, 4.0, 50.0])
-def test_cone_join_equals_brute_force_with_split_cells(spark, both_ways, radius):
+def test_cone_join_equals_brute_force_with_split_cells(spark, radius):
     a, b = sky(spark, 400, 1, "a"), sky(spark, 500, 5, "b")
     got = values(skyjoin.pairs(a, b, radius, hot_rows=5), "a", "r_b")
     other = b.toDF("r_b", "r_ra", "r_dec")
@@ -39,7 +39,7 @@ def test_cone_join_at_wrap_and_poles(spark):
     assert values(skyjoin.pairs(a, b, 0.0025), "a", "r_b") == [(1, 1), (2, 2), (3, 3)]
 
 
-def test_nearest_with_piled_up_copies_and_empty_side(spark, both_ways):
+def test_nearest_with_piled_up_copies_and_empty_side(spark):
     a = spark.createDataFrame([(i, 10.0, 10.0) for i in range(30)], "a long, ra double, dec double")
     b = spark.createDataFrame([(i, 10.0, 10.0002) for i in range(40)], "b long, ra double, dec double")
     near = skyjoin.nearest(a, b, 0.001, left_key="a", right_key="b", hot_rows=3)
@@ -48,7 +48,7 @@ def test_nearest_with_piled_up_copies_and_empty_side(spark, both_ways):
     assert skyjoin.nearest(a, b.limit(0), 0.001, left_key="a", right_key="b", keep_unmatched=True).count() == 30
 
 
-def test_ordered_operators_equal_windows_on_a_hot_key(spark, both_ways):
+def test_ordered_operators_equal_windows_on_a_hot_key(spark):
     rows = [(0 if i % 3 else i % 5, float((i * 7919) % 101), i) for i in range(600)]
     df = spark.createDataFrame(rows, "k long, v double, id long")
     p = ordered.with_position(df, "k", "v", "id")
@@ -64,7 +64,7 @@ def test_ordered_operators_equal_windows_on_a_hot_key(spark, both_ways):
     assert sorted(r["pos"] for r in p.select("pos").collect()) == list(range(600))
 
 
-def test_quantiles_interpolate_and_skip_nulls(spark, both_ways):
+def test_quantiles_interpolate_and_skip_nulls(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", None), ("b", 5.0), ("c", None)], "k string, v double")
     got = {r["k"]: (r["m"], r["q"]) for r in ordered.quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.25}).collect()}
     assert got == {"a": (2.0, 1.5), "b": (5.0, 5.0)}
@@ -85,14 +85,14 @@ def test_special_functions(spark):
     assert pick(N.safe_number(F.lit("nan"))) is None and pick(N.safe_number(F.lit(" 7 "))) == 7.0
 
 
-def test_false_discovery_by_hand_and_empty(spark, both_ways):
+def test_false_discovery_by_hand_and_empty(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.04), (4, 0.9), (5, 0.0)], "id int, p double")
     q = {r["id"]: round(r["q_value"], 6) for r in stats.benjamini_hochberg(df, "p").collect()}
     assert q == {5: 0.0, 1: 0.025, 2: 0.05, 3: 0.05, 4: 0.9}
     assert stats.benjamini_hochberg(df.limit(0), "p").count() == 0
 
 
-def test_empirical_p_counts_ties_and_missing_controls(spark, both_ways):
+def test_empirical_p_counts_ties_and_missing_controls(spark):
     t = spark.createDataFrame([(1, "x", 0.5), (2, "x", 0.9), (3, "y", 0.1), (4, "x", None)], "id int, channel string, score double")
     c = spark.createDataFrame([("x", 0.5), ("x", 0.7), ("x", 0.2)], "channel string, score double")
     assert values(stats.empirical_p(t, c, ["channel"]).filter("p IS NOT NULL"), "id", "p") == [(1, 0.6), (2, 0.2), (3, 1.0)]
@@ -135,11 +135,12 @@ def test_chains_merge_into_one_group(spark):
 def test_scan_finds_a_planted_cluster(spark):
     rows = [(i, float(i % 10), float(i // 10 % 10), float(i % 3), 0.9 if i % 10 < 3 and i // 10 % 10 < 3 else 0.1 + (i % 7) / 100) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, x double, y double, z double, s double")
-    ball = spatial.scan_statistic(df, "id", "s", permutations=49)
+    ball = spatial.scan_statistic(df, "id", "s", 6.0)
     best = ball.first()
-    assert best["p"] <= 0.04 and best["members"] >= 8
-    near = spatial.scan_within(df, "id", "s", best["radius"] + 1e-9).first()
-    assert near["lr"] == pytest.approx(best["lr"])
+    assert best["p"] <= 0.01 and best["members"] >= 8
+    flat = df.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0)
+    assert spatial.scan_statistic(flat, "id", "s", 6.0, permutations=199).first()["p"] > 0.05
+    assert spatial.scan_statistic(df.withColumn("s", F.lit(1.0)), "id", "s", 6.0, permutations=9).collect() == []
     assert spatial.cluster_members(df, "id", ball).count() == best["members"]
 
 

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on DuckDB, with both physical paths for the ordered ones."""
+"""Registered queries against their SQL on DuckDB."""
 
 import pytest
 from compare import connect, compare
@@ -39,5 +39,5 @@ def test_matches_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ORDERED)
-def test_ordered_queries_match_sql_both_ways(spark, con, both_ways, name):
+def test_ordered_queries_match_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
