@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from skysift.operators.ordered import quantiles
 from skysift.operators.stats import z_scores
 
-SAMPLE = 256
 
 
 def _average_path(n: float) -> float:
@@ -46,14 +45,20 @@ def _depths(tree, x: np.ndarray) -> np.ndarray:
 
 
 def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, seed: int = 42,
-                     contamination: float | None = None) -> DataFrame:
-    """Anomaly score of every row (near 1 is isolated), and the flag of the top ``contamination`` share."""
+                     contamination: float | None = None, sample: int = 256) -> DataFrame:
+    """Anomaly score of every row (near 1 is isolated), and the flag of the top ``contamination`` share.
+
+    Each tree grows on ``sample`` rows (the method's usual subsample), those with the smallest hashes for it; all rows are scored.
+    """
     scaled = z_scores(df.select(key, *features), features)
     zs = [f"z_{c}" for c in features]
-    # Each tree takes the rows with the smallest hashes, kept per task before the shuffle.
-    ids = scaled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # Only rows below a bound on the hash travel: four times as many as a tree takes are expected below it.
+    share = min(1.0, 4.0 * sample / max(1, scaled.count()))
+    bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)) <= F.lit(bound))
+    near = scaled.withColumn("tree", F.explode(trees_of)).withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
     w = Window.partitionBy("tree").orderBy("_h", key)
-    picked = ids.withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= SAMPLE)
+    picked = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -63,7 +68,7 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: in
         return pd.DataFrame({"tree": [tree], "size": [len(x)], "model": [json.dumps(grown)]})
 
     grown = picked.select("tree", key, *zs).groupBy("tree").applyInPandas(build, "tree int, size int, model string")
-    # A forest is `trees` rows of at most 256 leaves each, whatever the size of the data.
+    # A forest is `trees` rows of at most ``sample`` leaves each, whatever the size of the data.
     forest = [(r["size"], json.loads(r["model"])) for r in grown.orderBy("tree").limit(trees).collect()]
     shared = df.sparkSession.sparkContext.broadcast(forest)
     names = [key, *zs]

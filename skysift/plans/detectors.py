@@ -49,10 +49,10 @@ def _(t):
     return df.select("target_id", "n_bands", F.round("teff_fit", 4).alias("teff_fit"), F.round("excess_W3", 5).alias("excess_w3"), F.round("sigma_W4", 4).alias("sigma_w4"), "is_candidate")
 
 
-@query("centroid_shift", f"SELECT target_id, round({SHIFT_SQL}, 4) AS shift_arcsec, CASE WHEN {SHIFT_SQL} >= 2.5 THEN 'contaminated' WHEN {SHIFT_SQL} >= 1.5 THEN 'warning' ELSE 'clean' END AS verdict FROM fx_photometry")
+@query("centroid_shift", f"SELECT target_id, round({SHIFT_SQL}, 4) AS shift_arcsec, CASE WHEN {SHIFT_SQL} >= 3 THEN 'contaminated' WHEN {SHIFT_SQL} >= 2 THEN 'warning' ELSE 'clean' END AS verdict FROM fx_photometry")
 def _(t):
     s = D.centroid_shift()
-    return t.photometry.select("target_id", F.round(s, 4).alias("shift_arcsec"), F.when(s >= 2.5, "contaminated").when(s >= 1.5, "warning").otherwise("clean").alias("verdict"))
+    return t.photometry.select("target_id", F.round(s, 4).alias("shift_arcsec"), F.when(s >= 3, "contaminated").when(s >= 2, "warning").otherwise("clean").alias("verdict"))
 
 
 @query("infrared_variability", f"""WITH sp AS (SELECT target_id, count(*) AS n FROM fx_ir_epochs GROUP BY 1 HAVING count(*) >= 15 AND (max(mjd) - min(mjd))/365.25 >= 3), {PASS_SQL}, {trend_sql('fx_ir_epochs', 'w1', 'w1_err', 'a1')}, {trend_sql('fx_ir_epochs', 'w2', 'w2_err', 'a2')}, {mono_sql('w1', 'm1')}, {mono_sql('w2', 'm2')},
@@ -118,7 +118,7 @@ def _(t):
 
 
 @query("vanished_source_class", f"""WITH {trend_sql('fx_ir_epochs', 'w1', 'w1_err', 'a1')}, {trend_sql('fx_ir_epochs', 'w2', 'w2_err', 'a2')}, ex AS (SELECT target_id, stddev_pop(w1)/median(w1_err) - 1 AS scatter, count(*) AS n FROM fx_ir_epochs GROUP BY 1),
-    x AS (SELECT s.target_id, coalesce(ex.n >= 60, false) AS seen, CASE WHEN ex.n >= 60 THEN 'real' WHEN ex.n IS NOT NULL THEN 'insufficient' ELSE 'none' END AS src, coalesce(a1.sigma, 0)/8 AS s1, coalesce(a2.sigma, 0)/8 AS s2, ex.scatter, s.radio_mjy IS NOT NULL AND s.radio_mjy > 3 AS radio, p.W3 IS NOT NULL AS wise, p.W1 - p.W3 AS w13 FROM fx_signals s JOIN fx_photometry p USING (target_id) LEFT JOIN ex USING (target_id) LEFT JOIN a1 USING (target_id) LEFT JOIN a2 USING (target_id)),
+    x AS (SELECT s.target_id, coalesce(ex.n >= 60, false) AS seen, CASE WHEN ex.n >= 60 THEN 'real' WHEN ex.n IS NOT NULL THEN 'insufficient' ELSE 'none' END AS src, coalesce(a1.sigma, 0) AS s1, coalesce(a2.sigma, 0) AS s2, ex.scatter, s.radio_mjy IS NOT NULL AND s.radio_mjy > 3 AS radio, p.W3 IS NOT NULL AS wise, p.W1 - p.W3 AS w13 FROM fx_signals s JOIN fx_photometry p USING (target_id) LEFT JOIN ex USING (target_id) LEFT JOIN a1 USING (target_id) LEFT JOIN a2 USING (target_id)),
     y AS (SELECT *, seen AND (s1 < -5 OR s2 < -5) AS br FROM x), z AS (SELECT *, least(1, 0.3*seen::INT + CASE WHEN br THEN least(0.3, 0.1*greatest(abs(s1), abs(s2))/5) WHEN seen AND abs(s1) < 1 THEN 0.05 ELSE 0 END + 0.1*coalesce(seen AND scatter > 3, false)::INT + 0.1*wise::INT + 0.05*coalesce(wise AND w13 > 2, false)::INT + 0.05*radio::INT + 0.05*(radio AND seen)::INT) AS score FROM y)
     SELECT target_id, round(score, 5)::DOUBLE AS score, CASE WHEN seen AND greatest(s1, s2) > 5 THEN 'FADING_SOURCE' WHEN seen AND br THEN 'BRIGHTENING_IR' WHEN seen AND NOT radio AND score > 0.4 THEN 'DYSON_CANDIDATE' WHEN seen AND radio THEN 'AGN_LIKELY' WHEN seen THEN 'PERSISTENT_IR' WHEN src = 'none' AND radio THEN 'RADIO_ONLY' WHEN src = 'none' THEN 'NO_DETECTION' ELSE 'INSUFFICIENT_DATA' END AS source_class FROM z""")
 def _(t):
@@ -129,7 +129,7 @@ def _(t):
     base = t.signals.select("target_id", F.coalesce(F.col("radio_mjy") > 3, F.lit(False)).alias("radio_seen"))
     df = base.join(t.photometry.select("target_id", F.col("W3").isNotNull().alias("wise_seen"), (F.col("W1") - F.col("W3")).alias("w1_w3")), "target_id").join(ex, "target_id", "left")
     for b in ("w1", "w2"):
-        df = df.join(T.weighted_trend(e, "target_id", "mjd", b, f"{b}_err", b), "target_id", "left").withColumn(f"{b}_sigma", F.coalesce(f"{b}_sigma", F.lit(0.0)) / 8)
+        df = df.join(T.weighted_trend(e, "target_id", "mjd", b, f"{b}_err", b), "target_id", "left").withColumn(f"{b}_sigma", F.coalesce(f"{b}_sigma", F.lit(0.0)))
     df = df.withColumn("ir_seen", F.coalesce(F.col("n") >= 60, F.lit(False))).withColumn("ir_source", F.when(F.col("n") >= 60, "real").when(F.col("n").isNotNull(), "insufficient").otherwise("none"))
     return D.vanished_class(df).select("target_id", F.round("score", 5).alias("score"), "source_class")
 
@@ -140,7 +140,7 @@ def _(t):
 
 
 def _profile_sql(key, src, name):
-    return f"{name}_p AS (SELECT {key}, median(power) AS m FROM {src} GROUP BY 1), {name}_g AS (SELECT median(m) AS g, stddev_pop(m) AS sd FROM {name}_p), {name}_n AS (SELECT g, CASE WHEN (SELECT median(abs(m - g)) FROM {name}_p, {name}_g) > 0 THEN 1.4826*(SELECT median(abs(m - g)) FROM {name}_p, {name}_g) ELSE sd END AS s FROM {name}_g), {name} AS (SELECT {key}, m > g + 1*s AS loud FROM {name}_p, {name}_n)"
+    return f"{name}_p AS (SELECT {key}, median(power) AS m FROM {src} GROUP BY 1), {name}_g AS (SELECT median(m) AS g, stddev_pop(m) AS sd FROM {name}_p), {name}_n AS (SELECT g, CASE WHEN (SELECT median(abs(m - g)) FROM {name}_p, {name}_g) > 0 THEN 1.4826*(SELECT median(abs(m - g)) FROM {name}_p, {name}_g) ELSE sd END AS s FROM {name}_g), {name} AS (SELECT {key}, m > g + 3*s AS loud FROM {name}_p, {name}_n)"
 
 
 _KNOWN = " OR ".join(f"freq_mhz BETWEEN {lo!r} AND {hi!r}" for lo, hi in D.KNOWN_BANDS)
@@ -150,17 +150,17 @@ MASK_SQL = f"""{_profile_sql('t_idx', 'fx_spectrogram', 'bb')}, cl AS (SELECT s.
 
 @query("interference_mask", f"WITH {MASK_SQL} SELECT f_idx, t_idx, known, broadband, persistent, masked FROM mask")
 def _(t):
-    return D.interference_mask(t.spectrogram, sigma=1.0).select("f_idx", "t_idx", "known", "broadband", "persistent", "masked")
+    return D.interference_mask(t.spectrogram, sigma=3.0).select("f_idx", "t_idx", "known", "broadband", "persistent", "masked")
 
 
 DRIFT_SQL = f"""{MASK_SQL}, gd AS (SELECT * FROM mask WHERE NOT masked), gm AS (SELECT median(power) AS med, stddev_pop(power) AS sd FROM gd), gn AS (SELECT med, CASE WHEN (SELECT median(abs(power - med)) FROM gd, gm) > 0 THEN 1.4826*(SELECT median(abs(power - med)) FROM gd, gm) ELSE sd END AS sg FROM gm),
-    tr AS (SELECT f_idx - round_even(d*(t_sec - (SELECT min(t_sec) FROM mask))/3e0, 0)::BIGINT AS channel, d AS drift, power FROM gd, (SELECT -10 + 20e0*i/40 AS d FROM range(0, 41) r(i))), sn AS (SELECT channel, drift, sum(power - med)/(max(sg)*sqrt(count(*))) AS snr FROM tr, gn WHERE channel BETWEEN 0 AND (SELECT max(f_idx) FROM mask) GROUP BY 1, 2),
+    tr AS (SELECT f_idx - round_even(d*(t_sec - (SELECT min(t_sec) FROM mask))/3e0, 0)::BIGINT AS channel, d AS drift, power FROM gd, (SELECT -10 + 20e0*i/200 AS d FROM range(0, 201) r(i))), sn AS (SELECT channel, drift, sum(power - med)/(max(sg)*sqrt(count(*))) AS snr FROM tr, gn WHERE channel BETWEEN 0 AND (SELECT max(f_idx) FROM mask) GROUP BY 1, 2),
     hits AS (SELECT channel, arg_max(snr, (snr, -drift)) AS snr, arg_max(drift, (snr, -drift)) AS drift FROM sn GROUP BY 1 HAVING max(snr) >= 1)"""
 
 
 def drift_hits(t):
-    cells = D.interference_mask(t.spectrogram, sigma=1.0)
-    return D.drift_search(cells, 3.0, steps=41, min_snr=1.0)
+    cells = D.interference_mask(t.spectrogram, sigma=3.0)
+    return D.drift_search(cells, 3.0, steps=201, min_snr=1.0)
 
 
 @query("drift_search", f"WITH {DRIFT_SQL} SELECT channel, round(snr, 5) AS snr, round(drift, 6) AS drift FROM hits")
@@ -222,7 +222,7 @@ def _(t):
     tables = {"infrared": (colour_features(t), COLOURS), "astrometry": (t.targets.selectExpr("target_id", "ruwe", "CAST(parallax AS DOUBLE) AS parallax", "parallax_error", "aen"), ("ruwe", "parallax", "parallax_error", "aen"))}
     stacked = None
     for name, (df, feats) in tables.items():
-        marks = isolation_scores(df, "target_id", feats, trees=50, contamination=0.05).withColumn("channel", F.lit(name))
+        marks = isolation_scores(df, "target_id", feats, contamination=0.05).withColumn("channel", F.lit(name))
         stacked = marks if stacked is None else stacked.unionByName(marks)
     g = stacked.groupBy("target_id").agg(F.count_if("is_outlier").alias("k"), F.avg(F.when(F.col("is_outlier"), F.col("isolation"))).alias("mean"))
     return g.filter("k > 0").withColumn("convergence", F.col("mean") * F.pow(F.lit(10.0), (F.col("k") - 1).cast("double"))).orderBy(F.desc("k"), F.desc("convergence"), "target_id")

@@ -128,7 +128,7 @@ _WINDOW_FEATURES = ("mean", "std", "low", "high", "depth", "skew", "slope", "dee
 @query("irregular_dimming")
 def _(t):
     feats = T.window_features(t.lightcurve, "target_id", "time", "flux").withColumn("row", F.concat_ws("-", "target_id", "window"))
-    marks = isolation_scores(feats, "row", _WINDOW_FEATURES, trees=50, contamination=0.05)
+    marks = isolation_scores(feats, "row", _WINDOW_FEATURES, contamination=0.05)
     odd = feats.join(marks.filter("is_outlier"), "row").select("target_id", "t0", "t1", "isolation")
     # Overlapping odd windows become one stretch of time, so that points are only marked once.
     runs = T.sessions(odd.withColumnRenamed("t0", "mjd"), "target_id", "mjd", 0.0, "run")
@@ -205,5 +205,5 @@ def _(t):
 
 @query("isolation_forest_scores")
 def _(t):
-    vec = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return isolation_scores(vec, "vec_id", [f"e{i}" for i in range(8)], trees=100, contamination=0.05)
+    vec = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return isolation_scores(vec, "vec_id", [f"e{i}" for i in range(64)], contamination=0.05)
