@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.sql import types as T
 from skysift.llm.common import map_text
 
 #: Words of one block; the positions in a block, its words and their ids are held by one task at a time.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
+#: Words whose ids are put together at once.
+STRETCH = 250_000
 #: For texts of these characters alone the quicker matcher of the standard library gives the same words as the pattern.
 PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
 PLAIN_WORDS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
@@ -33,6 +36,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(1)
+def token_table(path: str) -> dict[int, bytes]:
+    """Bytes of each token, once a process."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def decoded_bytes(packed: bytes | None, table: dict[int, bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
+
+
 def splitter(pattern: str):
     """A function from a text to its words, each a match of the pattern."""
     whole = regex.compile(pattern)
@@ -86,15 +99,17 @@ class Block:
         places = np.argsort(of_place, kind="stable").astype(np.int64)
         counts = np.bincount(of_place, minlength=len(words))
         ends = np.cumsum(counts)
-        steps = np.diff(places, prepend=0)
-        firsts = (ends - counts).astype(np.int64)
-        steps[firsts] = places[firsts]
+        starts = (ends - counts).astype(np.int64)
         cut = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         for b in range(buckets):
             lo, hi = int(cut[b]), int(cut[b + 1])
             if lo == hi and b:
                 continue
-            of_bucket = slice(int(firsts[lo]) if lo < hi else 0, int(ends[hi - 1]) if lo < hi else 0)
+            of_bucket = places[starts[lo] if lo < hi else 0 : ends[hi - 1] if lo < hi else 0]
+            # words are in order of their first place, so first places are small steps too
+            first = starts[lo:hi] - (starts[lo] if lo < hi else 0)
+            later = np.ones(len(of_bucket), bool)
+            later[first] = False
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()),
@@ -103,14 +118,16 @@ class Block:
                     pa.array([b"" if b else pack(np.array(self.sizes))], pa.binary()),
                     pa.array([zstandard.ZstdCompressor(level=3).compress(b"\0".join(words[i].replace(b"\1", b"\1\2").replace(b"\0", b"\1\1") for i in by_bucket[lo:hi]))], pa.binary()),
                     pa.array([pack(counts[lo:hi])], pa.binary()),
-                    pa.array([pack(steps[of_bucket])], pa.binary()),
+                    pa.array([pack(np.diff(of_bucket[first], prepend=0))], pa.binary()),
+                    pa.array([pack(np.diff(of_bucket, prepend=0)[later])], pa.binary()),
                 ],
-                names=["block", "bucket", "row_ids", "sizes", "words", "counts", "steps"],
+                names=["block", "bucket", "row_ids", "sizes", "words", "counts", "firsts", "steps"],
             )
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit numbers), one row per row of ``docs``.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit numbers), one row per row of ``docs``; with ``round_trip`` also
+    ``decoded``, the bytes that `decode` makes of the ids, without another pass to Python.
 
     Texts are split into words by ``pattern`` and the words exploded with their positions, grouped by block of
     documents: a row holds the words of one hash bucket that occur in the block and their positions. These rows are
@@ -168,47 +185,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 
     def assemble(group: pa.Table) -> pa.Table:
-        columns = {name: group.column(name).to_pylist() for name in ("row_ids", "sizes", "words", "counts", "steps")}
-        of_place, lengths, flat, words = [], [], [], 0
-        places = []
-        for packed, counts, steps in zip(columns["words"], columns["counts"], columns["steps"]):
-            counts, steps = unpack(counts), unpack(steps)
-            ids = unpack(packed)
+        head = next(i for i in range(group.num_rows) if group.column("row_ids")[i].is_valid)
+        doc_ends = np.cumsum(unpack(group.column("sizes")[head].as_py()))
+        word_at = np.empty(doc_ends[-1], np.int32)
+        lengths, flat, words = [], [], 0
+        for i in range(group.num_rows):
+            counts, firsts, steps, ids = (unpack(group.column(c)[i].as_py()) for c in ("counts", "firsts", "steps", "words"))
             n = len(counts)
-            lengths.append(ids[:n])
-            flat.append(ids[n:])
-            ends = np.cumsum(counts)
-            run = np.cumsum(steps)
-            before = np.concatenate(([0], run[ends[:-1] - 1])) if n else run
-            places.append(run - np.repeat(before, counts))
-            of_place.append(np.repeat(np.arange(words, words + n), counts))
+            lengths.append(ids[:n].astype(np.int32))
+            flat.append(ids[n:].astype("<u4"))
+            starts = np.cumsum(counts) - counts
+            places = np.zeros(counts.sum(), np.int64)
+            later = np.ones(len(places), bool)
+            later[starts] = False
+            places[later] = steps
+            places[starts] = firsts = np.cumsum(firsts)
+            places = np.cumsum(places)
+            places -= np.repeat(places[starts] - firsts, counts)
+            word_at[places] = np.repeat(np.arange(words, words + n, dtype=np.int32), counts)
             words += n
-        head = next(i for i, x in enumerate(columns["row_ids"]) if x is not None)
-        lengths, flat, places = np.concatenate(lengths), np.concatenate(flat), np.concatenate(places)
-        word_at = np.empty(len(places), np.int64)
-        word_at[places] = np.concatenate(of_place)
-        sizes = lengths[word_at]
-        ids = flat[ragged((np.cumsum(lengths) - lengths)[word_at], sizes)].astype("<u4")
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(unpack(columns["sizes"][head]))]
-        starts = np.concatenate(([0], ends[:-1]))
-        data = ids.tobytes()
-        return pa.table(
-            {
-                id_col: pa.array(columns["row_ids"][head], group.schema.field("row_ids").type.value_type),
-                "n_tokens": pa.array(ends - starts, pa.int64()),
-                "ids": pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
-            }
-        )
+        lengths, flat = np.concatenate(lengths), np.concatenate(flat)
+        begins = np.cumsum(lengths, dtype=np.int64) - lengths
+        pieces, totals = [], np.zeros(len(doc_ends) + 1, np.int64)
+        totals[1:] = doc_ends
+        token_ends = np.zeros(len(word_at) + 1, np.int32)
+        np.cumsum(lengths[word_at], out=token_ends[1:])
+        for at in range(0, len(word_at), STRETCH):
+            some = word_at[at : at + STRETCH]
+            pieces.append(flat[ragged(begins[some], lengths[some])].tobytes())
+        bounds = token_ends[totals].astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(doc_ends), [None, pa.py_buffer((4 * bounds).tobytes()), pa.py_buffer(b"".join(pieces))])
+        columns = {id_col: group.column("row_ids")[head].values, "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids": ids}
+        if round_trip:
+            table = token_table(ranks_path)
+            columns["decoded"] = pa.array((decoded_bytes(x.as_py(), table) for x in ids), pa.binary(), size=len(ids))
+        return pa.table(columns)
 
     row_schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
             T.StructField("bucket", T.IntegerType()),
             T.StructField("row_ids", T.ArrayType(id_field.dataType)),
-            *(T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "counts", "steps")),
+            *(T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "counts", "firsts", "steps")),
         ]
     )
-    out_schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    out_schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.BinaryType())] if round_trip else [])])
     exploded = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id")).mapInArrow(explode, row_schema)
     encoded = exploded.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, row_schema)
     return encoded.groupBy("block").applyInArrow(assemble, out_schema)
@@ -221,7 +242,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     """
 
     def factory():
-        table = {rank: token for token, rank in read_ranks(ranks_path).items()}
-        return lambda rows: [[b"".join(map(table.__getitem__, np.frombuffer(r, "<u4").tolist())) if r else b"" for r in rows]]
+        table = token_table(ranks_path)
+        return lambda rows: [[decoded_bytes(r, table) for r in rows]]
 
     return map_text(encoded, ids_col, encoded.columns, [("decoded", "binary")], factory)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+#: Rows whose texts a task holds as Python objects.
+SLICE = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +43,7 @@ def map_text(docs: DataFrame, text: str, keep: list[str], fields: list[tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             made = compute(*(batch.column(i).to_pylist() for i in range(extra + 1)))
             arrays = [batch.column(i) for i in range(extra + 1, batch.num_columns)]
             arrays += [pa.array(values, kind) for values, kind in zip(made, types)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.llm.automaton import contamination
-from skysift.llm.bpe import decode, encode
+from skysift.llm.bpe import encode
 from skysift.llm.common import table
 from skysift.llm.credentials import KINDS, find_credentials
 from skysift.llm.lines import drop_repeated_lines
@@ -51,8 +51,7 @@ def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, round_trip=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -199,6 +199,8 @@ def test_bpe(spark, docs, rows, empty):
     for i, t in rows:
         ids = codec.encode_ordinary(t or "")
         assert (found[i]["n_tokens"], bytes(found[i]["ids"]), bytes(found[i]["decoded"])) == (len(ids), struct.pack(f"<{len(ids)}I", *ids), (t or "").encode())
+    both = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, round_trip=True).collect()
+    assert {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in both} == {i: (bytes(r["ids"]), bytes(r["decoded"])) for i, r in found.items()}
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).collect() == []
     twice = spark.createDataFrame([(1, "same"), (1, "same"), (None, "other one"), (2, None)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in bpe.encode(twice, RANKS, public_tokenizers.PATTERN).collect()) == [("1", 1), ("1", 1), ("2", 0), ("None", 2)]
