@@ -228,3 +228,34 @@ def test_student_tail_joins_smoothly(spark):
         a, b, c, d = (row[f"p{v}_{i}"] for v in (199, 200, 201, 202))
         assert a > b > c > d and (b - c) == pytest.approx((a - b + c - d) / 2, rel=0.02, abs=1e-12)
         assert row[f"p10000000_{i}"] == pytest.approx(row[f"z{i}"], rel=1e-5)
+
+
+def test_ordered_work_with_a_hot_key_and_value(spark):
+    """A third of all rows on one key and one value, null keys and null values; every result as a plain computation has it."""
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", None if i % 11 == 0 else 5.0 if i % 3 == 1 else float(i % 97), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    held = {}
+    for k, v, _ in rows:
+        held.setdefault(k, []).append(v)
+    for r in ordered.quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "q9": 0.9}, size="n").collect():
+        values = sorted(v for v in held[r["k"]] if v is not None)
+        assert r["n"] == len(values)
+        for name, p in (("q1", 0.25), ("q2", 0.5), ("q9", 0.9)):
+            at = (len(values) - 1) * p
+            low = values[int(at)]
+            high = values[min(int(at) + 1, len(values) - 1)]
+            assert r[name] == pytest.approx(low + (high - low) * (at - int(at)))
+    ranks = ordered.ranked(df, ["k"], ["v", "id"], "rank").collect()
+    assert len(ranks) == 3000
+    for key, values in held.items():
+        mine = [r for r in ranks if r["k"] == key]
+        assert sorted(r["rank"] for r in mine) == list(range(1, len(values) + 1)) and {r["n"] for r in mine} == {len(values)}
+    assert ordered.quantiles(df.filter("false"), [], "v", {"q": 0.5}).collect() == []
+
+
+def test_a_cell_hot_on_both_sides_is_split(spark):
+    left = spark.createDataFrame([(i, 10.0 + i * 1e-6, 5.0) for i in range(40)], "id long, ra double, dec double")
+    right = spark.createDataFrame([(i, 10.0 + i * 1e-6, 5.0) for i in range(60)], "key long, ra double, dec double")
+    plain = sorted((r["id"], r["r_key"]) for r in skyjoin.pairs(left, right, 0.00002, right_key="key").collect())
+    split = sorted((r["id"], r["r_key"]) for r in skyjoin.pairs(left, right, 0.00002, right_key="key", hot_rows=7).collect())
+    assert plain == split == sorted((i, j) for i in range(40) for j in range(60) if abs(i - j) * 1e-6 * math.cos(math.radians(5.0)) <= 0.00002)
