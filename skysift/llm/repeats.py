@@ -282,7 +282,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = named.where("_id IS NOT NULL")
     runs = cut(resolved(texts.select("_text", "_id", "_tie").mapInArrow(whole_runs(window), ROWS)))
     mixed = runs.where(F.col("kind") == MIXED)
-    large = mixed.groupBy("key").count().where(F.col("count") > LARGE).select("key", F.lit(True).alias("_large"))
+    # written down, so that both sides of the join are plain shuffles and Spark can split a hot key's rows
+    large = cut(mixed.groupBy("key").count().where(F.col("count") > LARGE).select("key", F.lit(True).alias("_large")))
     sized = mixed.join(large, "key", "left").withColumn("large", F.coalesce("_large", F.lit(False)))
     asked = sized.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "end", "key", "large")).alias("_runs"))
     looked = texts.join(asked, ["_id", "_tie"]).select("_text", "_id", "_tie", "_runs").mapInArrow(mixed_runs(window), f"{ROWS}, bytes binary")
