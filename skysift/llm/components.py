@@ -12,16 +12,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (smallest node of its component, other than itself) for links ``a``, ``b``.
 
     Each round hooks every node's larger neighbours, then its smaller ones, to the least of them. Lists of
-    neighbours are never gathered: only minima per node are, and a hub's rows can be split by a skewed join.
-    Each round is checkpointed; it ends when a round changes nothing.
+    neighbours are never gathered: only minima per node are. These are written down before they are joined, so both sides of
+    each join are plain shuffles, in which Spark can split a hub's rows. It ends when a round changes nothing.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = cut(large)
+        down = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(down, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
         edges = cut(small.where("hi <> lo").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

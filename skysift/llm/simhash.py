@@ -207,5 +207,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only components of several fingerprints need a second minimum
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
+    # written down, so that Spark can split the rows of a fingerprint that very many documents have
+    named = cut(grouped.join(least, "root").select("fp", "component_id"))
     return found.join(named, "fp").select(F.col(id_col), "fp", "component_id")
