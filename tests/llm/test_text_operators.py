@@ -363,6 +363,28 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert all(r["score"] < 1e-5 for r in toxicity.score(docs, without, ["doc_id"]).collect())
 
 
+def test_toxicity_of_a_small_language():
+    """Toxic words of a language with 2 % of the toxic documents, whose ordinary documents have such a word now and then."""
+    rng, rows, small = random.Random(8), [], set()
+    main = [a + b + c for a in ("er", "th", "on") for b in ("an", "st", "re") for c in ("ed", "ing", "nd")]
+    other = [a + b + c for a in ("bo", "ño", "ll") for b in ("ci", "ue", "ra") for c in ("do", "mos", "ba")]
+    for i in range(4000):
+        toxic, little = i % 4 == 0, i % 50 in (0, 1, 2, 3) and (i % 4 or i % 200 == 0)
+        words = rng.choices(other if little else main, k=150)
+        for _ in range(5 if toxic else int(little and rng.random() < 0.1)):
+            words[rng.randrange(150)] = "bomente" + rng.choice(["ra", "co", "í", "do"]) if little else rng.choice(["vilifold", "scumbago", "hatemost"])
+        rows.append((i, " ".join(words).encode(), int(toxic)))
+        if little and toxic:
+            small.add(i)
+    model = toxicity.fit([r for r in rows if r[0] % 400 != 200 and r[0] % 7])
+    compress = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    held = [r for r in rows if r[0] % 400 == 200 or r[0] % 7 == 0]
+    x = np.array([toxicity.features(t, *compress) for _, t, _ in held])
+    said = model.weights[0] + ((x - model.mean) / model.spread) @ model.weights[1:] >= np.log(0.7 / 0.3)
+    assert np.mean([s for s, (i, _, _) in zip(said, held) if i in small]) >= 0.5
+    assert np.mean([s == (y == 1) for s, (_, _, y) in zip(said, held)]) > 0.95
+
+
 def test_quality_shrinks_sparse_sites(spark):
     frame, labels = labelled(spark)
     judged = quality.evidence(frame.withColumn("host", F.when(F.col("doc_id") < 500, F.concat(F.lit("h"), (F.col("doc_id") % 7).cast("string")))).withColumn("path", F.lit("p")), labels, ["doc_id", "host", "path"])
