@@ -21,17 +21,24 @@ BUCKET = 4096
 digest = partial(xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """Bits set in over half the XXH64 values of the text's shingles, as a signed 64-bit number; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 values of the text's shingles of words in lower case; a text of fewer words is one shingle."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     pieces = map(joined.__getitem__, map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
-    hashes = np.fromiter(map(digest, pieces), np.uint64, len(words) - k + 1)
+    return np.fromiter(map(digest, pieces), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """Bits set in over half the XXH64 values of the text's shingles, as a signed 64-bit number; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int32) > len(hashes)
     return int(np.packbits(over, bitorder="little").view(np.int64)[0])

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from skysift.llm import automaton, bpe, credentials, lines, quality, repeats, simhash, token_counts, toxicity, weighted_sampling
+from skysift.llm import automaton, bpe, credentials, lines, near_copies, quality, repeats, simhash, token_counts, toxicity, weighted_sampling
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = "the of and then erble thion onedre ist lying der über año naïve 漢字 x1 42 re's".split()
@@ -187,6 +187,49 @@ def test_simhash_links(spark, monkeypatch, bucket):
     assert sorted(map(sorted, expected.values())) == sorted(map(sorted, found.values()))
 
 
+def plain_likeness(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.lower().split() for x in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_near_copies(spark, empty, monkeypatch, bucket):
+    """Copies with words changed, most of them at 0.8 or more and some below; all pairs at once, and by one member of a bucket first."""
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    rng, rows = random.Random(12), [(900, ""), (901, None), (None, "one two three")]
+    for c in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((20 * c, " ".join(base)))
+        for j in range(1, 9):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(120)] = f"x{rng.randrange(5000)}"
+            rows.append((20 * c + j, " ".join(words)))
+    texts = {i: t for i, t in rows if i is not None and i < 900}
+    up = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and i // 20 == j // 20 and plain_likeness(texts[i], texts[j]) >= 0.8:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if v == old else v for k, v in up.items()}
+    assert any(0 < up[i] % 20 for i in up) and sum(i != up[i] for i in up) > 40
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == up | {900: 900, 901: 900, None: None}
+    assert near_copies.near_copies(empty).collect() == []
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i in (30, 80, 130, 170) else w for i, w in enumerate(words)]
+    far = [f"y{i}" if i % 8 == 0 else w for i, w in enumerate(words)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert (plain_fingerprint(" ".join(words)) ^ plain_fingerprint(" ".join(near))).bit_count() > 3
+    assert plain_likeness(" ".join(words), " ".join(near)) >= 0.8 > plain_likeness(" ".join(words), " ".join(far))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [1, 3]
+
+
 def test_thresholds_by_cost():
     costs = [{-1: 0, 0: 100, 1: 900}, {-1: 0, 0: 1, 1: 5}, {-1: 0, 0: 1, 1: 5}, {-1: 0, 0: 100, 1: 900}]
     chosen = simhash.allocate(costs, 0)
