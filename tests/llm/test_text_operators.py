@@ -196,6 +196,7 @@ def plain_likeness(a, b, k=5):
 def test_near_copies(spark, empty, monkeypatch, bucket):
     """Copies with words changed, most of them at 0.8 or more and some below; all pairs at once, and by one member of a bucket first."""
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "STARS", 1)
     rng, rows = random.Random(12), [(900, ""), (901, None), (None, "one two three")]
     for c in range(12):
         base = [f"w{rng.randrange(5000)}" for _ in range(120)]
