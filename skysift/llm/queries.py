@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from skysift.llm.automaton import contamination
 from skysift.llm.bpe import encode
 from skysift.llm.common import table
+from skysift.llm.conversation_repair import damaged, repair
 from skysift.llm.credentials import KINDS, find_credentials
+from skysift.llm.epsilon_grid import near_vectors
 from skysift.llm.lines import drop_repeated_lines
+from skysift.llm.prefix_trie import prefix_trie, rebuilt
 from skysift.llm.quality import evidence, site_quality
 from skysift.llm.repeats import remove_repeats
 from skysift.llm.simhash import near_duplicates
@@ -135,3 +138,57 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
        sha256(coalesce(i.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op11_conversation_trie"] = """
+WITH t AS (SELECT conv_id AS c, turn, md5(length(r) || ':' || r || ':' || x) AS tid, octet_length(encode(x)) AS nb
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tid) AS pos, tid, nb FROM t),
+convs AS (SELECT c, c - c % 5 AS donor, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+turns AS (SELECT c, 1 AS part, pos, tid, nb FROM placed JOIN convs USING (c) WHERE pos > h
+  UNION ALL SELECT v.c, 0, p.pos, p.tid, p.nb FROM convs v JOIN placed p ON p.c = v.donor WHERE p.pos <= v.h),
+paths AS (SELECT c, row_number() OVER w AS d, string_agg(tid, '') OVER w AS path, nb FROM turns WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n, max(nb) AS nb FROM paths GROUP BY path, d),
+last AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(path, d) AS path FROM paths GROUP BY c) GROUP BY path),
+kids AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+under AS (SELECT left(n.path, 32 * a) AS path, count(*) FILTER (WHERE k IS NULL) AS leaves, sum((n - 1) * nb) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM nodes) n LEFT JOIN kids ON kids.path = n.path GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, u.leaves AS n_leaves,
+       u.saved::BIGINT AS saved_tokens, sha256(coalesce(l.ids, '')) AS ends_sha256
+FROM nodes n JOIN under u ON u.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN last l ON l.path = n.path
+LEFT JOIN nodes p ON n.d > 0 AND p.path = left(n.path, 32 * (n.d - 1))
+"""
+
+
+@query
+def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLES["op12_embedding_links"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id,
+       vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept
+FROM embeddings
+"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damaged(rows), rows.select(F.col("conv_id").cast("bigint").alias("conv_id")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *counts, "audit", F.lower(F.hex("repaired")).alias("repaired_sha256"))
