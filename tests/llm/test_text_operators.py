@@ -192,11 +192,10 @@ def plain_likeness(a, b, k=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("bucket", [16, 2])
-def test_near_copies(spark, empty, monkeypatch, bucket):
-    """Copies with words changed, most of them at 0.8 or more and some below; all pairs at once, and by one member of a bucket first."""
-    monkeypatch.setattr(near_copies, "BUCKET", bucket)
-    monkeypatch.setattr(near_copies, "STARS", 1)
+@pytest.mark.parametrize("members", [1024, 3])
+def test_near_copies(spark, empty, monkeypatch, members):
+    """Copies with words changed, most of them at 0.8 or more and some below; in one block and in many."""
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
     rng, rows = random.Random(12), [(900, ""), (901, None), (None, "one two three")]
     for c in range(12):
         base = [f"w{rng.randrange(5000)}" for _ in range(120)]
@@ -219,6 +218,24 @@ def test_near_copies(spark, empty, monkeypatch, bucket):
     assert near_copies.near_copies(empty).collect() == []
 
 
+def test_near_copies_of_unlike_members(spark):
+    """Thousands of texts with one long passage and little else in common share buckets and are no copies; two pairs among them are."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"v{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(3000)]
+    texts += [texts[7] + " tail", "head " + texts[1900]]
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] != r["component_id"]} == {3000: 7, 3001: 1900}
+
+
+def test_common_values():
+    """Frequent and rare values, with the matrix columns in several parts."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([rng.integers(0, 300, 90), np.arange(1000, 1000 + 70 * k % 6000), rng.integers(10**6, 10**12, 5)])).astype(np.uint64) for k in range(80)]
+    found = near_copies.common(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(80) for j in range(80) if i != j)
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
