@@ -69,6 +69,14 @@ def test_lines(docs, rows):
     assert {r["doc_id"]: (r["_n_lines"], r["n_dropped"], r["_kept_text"]) for r in found.collect()} == plain_lines(rows)
 
 
+def test_line_keys(spark):
+    """Keys are equal exactly where lines are that have A-Z in lower case, also for letters that other rules change or make ASCII."""
+    rng = random.Random(1)
+    lines_ = sorted({"".join(rng.choice("aAkKiIzZ éÉßẞüÜ\u212aİΣσςΑα漢.1\U0001F600ãÃ") for _ in range(rng.randint(0, 4))) for _ in range(20000)})
+    keys = spark.createDataFrame([(x,) for x in lines_], "line string").select("line", lines.case_key(F.col("line")).alias("key")).collect()
+    assert len({(low(r["line"]), r["key"]) for r in keys}) == len({low(x) for x in lines_}) == len({r["key"] for r in keys}) < len(lines_)
+
+
 def test_lines_threshold_repeats_and_null_ids(spark, empty):
     rows = [(1, "a long enough line"), (1, "a long enough line"), (2, "a long enough line\nb"), (3, "A long enough LINE "), (None, "a long enough line")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
