@@ -264,45 +264,6 @@ def interference_mask(cells: DataFrame, bands=KNOWN_BANDS, sigma: float = 3.0) -
     return out.withColumn("masked", F.col("known") | F.col("broadband") | F.col("persistent"))
 
 
-def drift_search(cells: DataFrame, channel_hz: float, max_drift: float = 10.0, steps: int = 201, min_snr: float = 10.0) -> DataFrame:
-    """Best drift rate of each start channel; masked cells count as missing."""
-    cells = cut(cells)
-    good = cells.filter(~F.col("masked"))
-    noise = T.robust_sigma(good, [], "power").select("med", "sigma")
-    span = cells.agg(F.min("t_sec").alias("_t0"), F.max("f_idx").alias("_top"))
-    one = F.broadcast(noise.crossJoin(span))  # one row
-    rates = [-max_drift + 2 * max_drift * i / (steps - 1) for i in range(steps)]
-    rows = good.crossJoin(one).withColumn("drift", F.explode(F.array(*[F.lit(r) for r in rates])))
-    start = F.col("f_idx") - F.rint(F.col("drift") * (F.col("t_sec") - F.col("_t0")) / channel_hz).cast("bigint")
-    tracks = rows.withColumn("channel", start).filter((F.col("channel") >= 0) & (F.col("channel") <= F.col("_top")))
-    summed = tracks.groupBy("channel", "drift").agg((F.sum(F.col("power") - F.col("med")) / (F.first("sigma") * F.sqrt(F.count("*")))).alias("snr"))
-    best = summed.groupBy("channel").agg(F.max(F.struct("snr", (-F.col("drift")).alias("_d"))).alias("b"))
-    share = cells.groupBy(F.col("f_idx").alias("channel")).agg(F.avg(F.col("masked").cast("int")).alias("_m"))
-    return best.join(share, "channel").select("channel", F.col("b.snr").alias("snr"), (-F.col("b._d")).alias("drift"), (F.col("_m") > 0.5).alias("is_rfi")).filter(F.col("snr") >= min_snr)
-
-
-def merge_hits(hits: DataFrame, near: int = 3, drift_limit: float = 1.0) -> DataFrame:
-    """Chains of neighbouring hits with like drift, the strongest kept.
-
-    A step wider than ``near`` always starts a new chain, so the fold runs per dense stretch.
-    """
-    rows = neighbours(with_position(hits.withColumn("_all", F.lit(0)), "channel"), ["_all"], {"_before": ("channel", -1)})
-    rows = running(rows, ["_all"], {"stretch": (F.coalesce((F.col("channel") - F.col("_before") > near).cast("int"), F.lit(0)), "sum")})
-    item = F.struct("channel", "snr", "drift", "is_rfi")
-    listed = rows.groupBy("stretch").agg(F.array_sort(F.collect_list(item)).alias("hits"))
-    first = F.col("hits")[0]
-    start = F.struct(F.array().cast("array<struct<channel:bigint,snr:double,drift:double,is_rfi:boolean>>").alias("done"), first.alias("current"))
-
-    def step(acc, h):
-        cur = acc["current"]
-        joined = (h["channel"] - cur["channel"] <= near) & (F.abs(h["drift"] - cur["drift"]) < drift_limit)
-        done = F.when(joined, acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        return F.struct(done.alias("done"), F.when(joined & (h["snr"] <= cur["snr"]), cur).otherwise(h).alias("current"))
-
-    folded = F.aggregate(F.slice("hits", 2, F.size("hits")), start, step, lambda a: F.concat(a["done"], F.array(a["current"])))
-    return listed.select(F.explode(folded).alias("h")).select("h.*")
-
-
 def profile_scores() -> dict[str, Column]:
     """Infrared, dimming, radio and astrometry scores of a wide profile row."""
     top = F.greatest(F.coalesce("sigma_w3", F.lit(0.0)), F.coalesce("sigma_w4", F.lit(0.0)))

@@ -236,38 +236,6 @@ def power_at_period(df: DataFrame, key: str, time: str, value: str, err: str, pe
     return there.join(noise, key).select(key, "power", "median_power", F.when(F.col("median_power") > 0, F.col("power") / F.col("median_power")).otherwise(F.lit(0.0)).alias("ratio"))
 
 
-def box_search(df: DataFrame, key: str, time: str, value: str, periods: int = 60, bins: int = 100, widths: Sequence[int] = (1, 2, 3, 5, 8, 12)) -> DataFrame:
-    """Strongest periodic box dip of each series.
-
-    Points meet a grid of periods and are added up in phase bins at once; boxes are then sums of
-    neighbouring bins, at most ``bins`` rows per (key, period).
-    """
-    span = df.groupBy(key).agg(F.min(time).alias("_t0"), (F.max(time) - F.min(time)).alias("_span"), F.count("*").alias("_n"), F.avg(value).alias("_mean")).filter("_n >= 20 AND _span > 0")
-    low = F.greatest(10.0 * F.col("_span") / F.col("_n"), F.lit(0.5))
-    high = F.col("_span") / 2
-    low = F.when(low < high, low).otherwise(F.col("_span") * 0.05)
-    grid = span.withColumn("_lo", low).withColumn("_hi", high).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))))
-    # Even steps in frequency, as phases drift evenly with frequency.
-    freq = 1.0 / F.col("_hi") + (1.0 / F.col("_lo") - 1.0 / F.col("_hi")) * F.col("_i") / (periods - 1)
-    grid = grid.select(key, "_t0", "_mean", "_n", (1.0 / freq).alias("period"))
-    x = df.select(key, F.col(time).alias("_t"), F.col(value).alias("_x")).join(grid, key)
-    turn = (F.col("_t") - F.col("_t0")) / F.col("period")
-    folded = x.withColumn("_bin", F.least(F.lit(bins - 1), F.floor((turn - F.floor(turn)) * bins)).cast("int"))
-    summed = folded.groupBy(key, "period", "_bin").agg(F.count("*").alias("_k"), F.sum(F.col("_x") - F.col("_mean")).alias("_s"), F.first("_n").alias("_n"), F.first("_mean").alias("_mean"), F.first("_t0").alias("_t0"))
-    # A box that runs over the phase wrap needs the first bins once more after the last.
-    wrapped = summed.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bin", F.col("_bin") + F.col("_copy") * bins).filter(F.col("_bin") < bins + max(widths))
-    best = None
-    for width in widths:
-        w = Window.partitionBy(key, "period").orderBy("_bin").rangeBetween(0, width - 1)
-        boxed = wrapped.withColumn("_in", F.sum("_k").over(w)).withColumn("_sum", F.sum("_s").over(w)).filter((F.col("_copy") == 0) & (F.col("_in") >= 3) & (F.col("_in") < F.col("_n")) & (F.col("_sum") < 0))
-        power = F.col("_sum") * F.col("_sum") * F.col("_n") / (F.col("_in") * (F.col("_n") - F.col("_in")))
-        depth = -F.col("_sum") / F.col("_in") - F.col("_sum") / (F.col("_n") - F.col("_in"))
-        top = boxed.groupBy(key).agg(F.max(F.struct(power.alias("power"), "period", (F.col("period") * width / bins).alias("duration"), depth.alias("depth"),
-                                                    (F.col("_t0") + F.col("period") * (F.col("_bin") + width / 2) / bins).alias("t0"))).alias("b"))
-        best = top if best is None else best.unionByName(top)
-    return best.groupBy(key).agg(F.max("b").alias("b")).select(key, "b.*")
-
-
 def dip_shape(df: DataFrame, key: str, time: str, value: str, found: DataFrame, sigma: float = 3.0) -> DataFrame:
     """Symmetry, depth and duration scatter and box residual of the dips a box search found, as one score."""
     noise = difference_noise(with_steps(df, key, time, value), key, value)

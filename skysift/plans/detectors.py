@@ -9,6 +9,7 @@ from skysift.functions import photometry as P
 from skysift.operators import detectors as D
 from skysift.operators import timeseries as T
 from skysift.operators.associations import epoch_changes
+from skysift.operators.dedoppler import drift_search, merge_hits
 from skysift.operators.forest import isolation_scores
 from skysift.operators.skyjoin import ARCSEC
 from skysift.operators.stats import benjamini_hochberg
@@ -144,33 +145,46 @@ def _profile_sql(key, src, name):
 
 
 _KNOWN = " OR ".join(f"freq_mhz BETWEEN {lo!r} AND {hi!r}" for lo, hi in D.KNOWN_BANDS)
-MASK_SQL = f"""{_profile_sql('t_idx', 'fx_spectrogram', 'bb')}, cl AS (SELECT s.*, ({_KNOWN}) AS known, bb.loud AS broadband FROM fx_spectrogram s JOIN bb USING (t_idx)), cc AS (SELECT * FROM cl WHERE NOT known AND NOT broadband), {_profile_sql('f_idx', 'cc', 'pe')},
+def mask_sql(source: str) -> str:
+    return f"""{_profile_sql('t_idx', source, 'bb')}, cl AS (SELECT s.*, ({_KNOWN}) AS known, bb.loud AS broadband FROM {source} s JOIN bb USING (t_idx)), cc AS (SELECT * FROM cl WHERE NOT known AND NOT broadband), {_profile_sql('f_idx', 'cc', 'pe')},
     mask AS (SELECT cl.*, coalesce(pe.loud, false) AS persistent, known OR broadband OR coalesce(pe.loud, false) AS masked FROM cl LEFT JOIN pe USING (f_idx))"""
 
 
+MASK_SQL = mask_sql("fx_spectrogram")
+
+
 @query("interference_mask", f"WITH {MASK_SQL} SELECT f_idx, t_idx, known, broadband, persistent, masked FROM mask")
 def _(t):
     return D.interference_mask(t.spectrogram, sigma=3.0).select("f_idx", "t_idx", "known", "broadband", "persistent", "masked")
 
 
-DRIFT_SQL = f"""{MASK_SQL}, gd AS (SELECT * FROM mask WHERE NOT masked), gm AS (SELECT median(power) AS med, stddev_pop(power) AS sd FROM gd), gn AS (SELECT med, CASE WHEN (SELECT median(abs(power - med)) FROM gd, gm) > 0 THEN 1.4826*(SELECT median(abs(power - med)) FROM gd, gm) ELSE sd END AS sg FROM gm),
-    tr AS (SELECT f_idx - round_even(d*(t_sec - (SELECT min(t_sec) FROM mask))/3e0, 0)::BIGINT AS channel, d AS drift, power FROM gd, (SELECT -10 + 20e0*i/200 AS d FROM range(0, 201) r(i))), sn AS (SELECT channel, drift, sum(power - med)/(max(sg)*sqrt(count(*))) AS snr FROM tr, gn WHERE channel BETWEEN 0 AND (SELECT max(f_idx) FROM mask) GROUP BY 1, 2),
-    hits AS (SELECT channel, arg_max(snr, (snr, -drift)) AS snr, arg_max(drift, (snr, -drift)) AS drift FROM sn GROUP BY 1 HAVING max(snr) >= 1)"""
+DRIFT_SQL = f"""{mask_sql('fx_wide_spectrogram')}, gd AS (SELECT * FROM mask WHERE NOT masked), gm AS (SELECT median(power) AS med, stddev_pop(power) AS sd FROM gd),
+    ga AS (SELECT median(abs(power - med)) AS mad FROM gd, gm), gn AS (SELECT med, CASE WHEN mad > 0 THEN 1.4826*mad ELSE sd END AS sg FROM gm, ga),
+    tr AS (SELECT f_idx - round_even(d*(t_sec - (SELECT min(t_sec) FROM mask))/3e0, 0)::BIGINT AS channel, d AS drift, power FROM gd, (SELECT -10 + 20e0*i/200 AS d FROM range(0, 201) r(i))),
+    sn AS (SELECT channel, drift, sum(power - med)/(max(sg)*sqrt(count(*))) AS snr FROM tr, gn GROUP BY 1, 2),
+    share AS (SELECT f_idx AS channel, avg(masked::INT) > 0.5 AS is_rfi FROM mask GROUP BY 1),
+    best AS (SELECT channel, max(snr) AS snr, arg_max(drift, (snr, -drift)) AS drift FROM sn GROUP BY 1),
+    hits AS (SELECT channel, snr, drift, is_rfi FROM best JOIN share USING (channel) WHERE snr >= 10)"""
+MERGE_SQL = """placed AS (SELECT *, row_number() OVER (ORDER BY channel) AS i FROM hits),
+    walk AS (SELECT i, channel, snr, drift, NULL::BIGINT AS final FROM placed WHERE i = 1 UNION ALL
+        SELECT p.i, CASE WHEN j.joined AND p.snr <= w.snr THEN w.channel ELSE p.channel END, CASE WHEN j.joined AND p.snr <= w.snr THEN w.snr ELSE p.snr END,
+            CASE WHEN j.joined AND p.snr <= w.snr THEN w.drift ELSE p.drift END, CASE WHEN NOT j.joined THEN w.channel END
+        FROM walk w JOIN placed p ON p.i = w.i + 1, LATERAL (SELECT p.channel - w.channel <= 3 AND abs(p.drift - w.drift) < 1 AS joined) j),
+    kept AS (SELECT final AS channel FROM walk WHERE final IS NOT NULL UNION ALL SELECT arg_max(channel, i) FROM walk HAVING count(*) > 0)"""
 
 
 def drift_hits(t):
-    cells = D.interference_mask(t.spectrogram, sigma=3.0)
-    return D.drift_search(cells, 3.0, steps=201, min_snr=1.0)
+    return drift_search(D.interference_mask(t.wide_spectrogram, sigma=3.0), 3.0)
 
 
-@query("drift_search", f"WITH {DRIFT_SQL} SELECT channel, round(snr, 5) AS snr, round(drift, 6) AS drift FROM hits")
+@query("drift_search", f"WITH {DRIFT_SQL} SELECT channel, round(snr, 5) AS snr, round(drift, 6) AS drift, is_rfi FROM hits")
 def _(t):
-    return drift_hits(t).select("channel", F.round("snr", 5).alias("snr"), r6("drift", "drift"))
+    return drift_hits(t).select("channel", F.round("snr", 5).alias("snr"), r6("drift", "drift"), "is_rfi")
 
 
-@query("merged_hits")
+@query("merged_hits", f"WITH RECURSIVE {DRIFT_SQL}, {MERGE_SQL} SELECT channel, round(snr, 5) AS snr, round(drift, 6) AS drift, is_rfi FROM kept JOIN hits USING (channel)")
 def _(t):
-    return D.merge_hits(drift_hits(t)).select("channel", "snr", "drift", "is_rfi")
+    return merge_hits(drift_hits(t)).select("channel", F.round("snr", 5).alias("snr"), r6("drift", "drift"), "is_rfi")
 
 
 @query("far_infrared_class", """SELECT target_id, CASE WHEN pacs_70 IS NULL AND pacs_100 IS NULL THEN 'unclassified' WHEN spire_250/pacs_70 > 3 THEN 'galaxy_like' WHEN spire_250/pacs_70 > 1 THEN 'cold_dust' WHEN w4_mjy/pacs_70 > 2 THEN 'dyson_consistent' WHEN w4_mjy/pacs_70 > 0.5 THEN 'dust_disk' ELSE 'unclassified' END AS sed_class FROM fx_signals""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skysift.functions import numeric as N
 from skysift.operators import temporal as J
 from skysift.operators import timeseries as T
+from skysift.operators.folding import box_search
 from skysift.operators.forest import isolation_scores
 from skysift.operators.stats import spearman
 from skysift.plans import sqltext as Q
@@ -118,7 +119,7 @@ def _(t):
 
 @query("phase_folded_transits")
 def _(t):
-    found = T.box_search(t.lightcurve, "target_id", "time", "flux", periods=40, bins=50, widths=(1, 3, 6))
+    found = box_search(t.lightcurve, "target_id", "time", "flux")
     return T.dip_shape(t.lightcurve, "target_id", "time", "flux", found)
 
 

@@ -226,6 +226,8 @@ _SCORE = (
 )
 _CONTROL = "((p_partkey*(89 + 13*no)) % 1000)/1e3"
 _POWER = "sum(l_quantity)"
+# Narrow-band signals that drift by five channels a step.
+_DRIFTING = "CASE WHEN (l_partkey - 5*(l_suppkey % 16)) % 97 = 0 THEN 2e2 ELSE 0e0 END"
 # One point per (source, time): several line items may share both.
 GROUPED = {
     "lightcurve": ("lineitem", {
@@ -245,6 +247,9 @@ GROUPED_SQL = {
     "spectrogram": f"SELECT l_partkey % 64 AS f_idx, l_suppkey % 16 AS t_idx, {_POWER} AS power, "
                    "1.4e3 + 3e-6*(l_partkey % 64) AS freq_mhz, 2e1*(l_suppkey % 16) AS t_sec "
                    "FROM lineitem GROUP BY ALL",
+    "wide_spectrogram": f"SELECT l_partkey AS f_idx, l_suppkey % 16 AS t_idx, {_POWER} + {_DRIFTING} AS power, "
+                        "1.4e3 + 3e-6*l_partkey AS freq_mhz, 2e1*(l_suppkey % 16) AS t_sec "
+                        "FROM lineitem GROUP BY l_partkey, l_suppkey % 16",
     "bursts": f"SELECT user_id AS source_id, {ra_of('15*user_id')} AS ra, {dec_of('15*user_id')} + 5e-2 AS dec, "
               "count(*) AS n_bursts FROM events GROUP BY user_id",
 }
@@ -305,7 +310,7 @@ class Tables:
             as_micros = r"unix_micros(CAST(\1 AS TIMESTAMP))"
             by = [F.expr(_US.sub(as_micros, e)).alias(c) for c, e in keys.items()]
             return getattr(self, source).groupBy(*by).agg(*[F.expr(e).alias(c) for c, e in values.items()])
-        if name in ("scores", "controls", "spectrogram", "bursts"):
+        if name in ("scores", "controls", "spectrogram", "wide_spectrogram", "bursts"):
             return getattr(self, f"_{name}")()
         raise AttributeError(name)
 
@@ -326,6 +331,11 @@ class Tables:
         return df.groupBy("f_idx", "t_idx").agg(F.sum("l_quantity").alias("power")).selectExpr(
             "f_idx", "t_idx", "power", "1.4e3 + 3e-6*f_idx AS freq_mhz", "2e1*t_idx AS t_sec")
 
+    def _wide_spectrogram(self) -> DataFrame:
+        df = self.lineitem.groupBy("l_partkey", F.expr("l_suppkey % 16 AS l_suppkey")).agg(F.sum("l_quantity").alias("power"))
+        return df.selectExpr("l_partkey AS f_idx", "l_suppkey AS t_idx", f"power + {_DRIFTING} AS power",
+                             "1.4e3 + 3e-6*l_partkey AS freq_mhz", "2e1*l_suppkey AS t_sec")
+
     def _bursts(self) -> DataFrame:
         df = self.events.groupBy("user_id").agg(F.count("*").alias("n_bursts"))
         return df.selectExpr("user_id AS source_id", f"{ra_of('15*user_id')} AS ra",

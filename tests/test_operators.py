@@ -151,21 +151,6 @@ def test_forest_ranks_a_planted_outlier_first(spark):
     assert top["id"] == 999
 
 
-def test_box_search_recovers_a_planted_period(spark):
-    rows = [(1, t / 10, 0.95 if (t / 10) % 7.3 < 0.5 else 1.0 + (t * 7919 % 13 - 6) / 5000) for t in range(1500)]
-    df = spark.createDataFrame(rows, "target_id int, time double, flux double")
-    found = timeseries.box_search(df, "target_id", "time", "flux", periods=600, bins=60)
-    best = found.first()
-    ratio = best["period"] / 7.3
-    assert min(abs(ratio - k) for k in (0.5, 1, 2, 3)) < 0.02
-    assert timeseries.dip_shape(df, "target_id", "time", "flux", found).first()["depth_snr"] > 3
-
-
-def test_hits_merge_by_chain(spark):
-    hits = spark.createDataFrame([(1, 10.0, 0.0, False), (3, 12.0, 0.5, False), (6, 11.0, 0.2, False), (7, 30.0, 5.0, False), (40, 9.0, 0.0, True)], "channel long, snr double, drift double, is_rfi boolean")
-    assert values(detectors.merge_hits(hits), "channel") == [(3,), (7,), (40,)]
-
-
 def test_sun_sits_on_the_ridge(spark):
     df = spark.createDataFrame([(1, 4.67, 0.82, 100.0, 0.0)], "target_id int, g double, bp_rp double, parallax double, mh double")
     assert detectors.ridge_outlier(df).first()["hr_score"] == 0.0
