@@ -200,42 +200,6 @@ def dips(df: DataFrame, key: str, time: str, value: str, sigma: float = 3.0) ->
                       "n_jumps", F.coalesce("n_sustained", F.lit(0)).alias("n_sustained"), "trend")
 
 
-def power_sums(df: DataFrame, key: str, time: str, value: str, err: str, frequencies: DataFrame) -> DataFrame:
-    """Normalised periodogram power (floating mean) of each (key, frequency) from grouped sums."""
-    w0 = 1.0 / (F.col(err) * F.col(err))
-    norm = df.groupBy(key).agg(F.sum(w0).alias("_W"), F.min(time).alias("_t0"), (F.sum(w0 * F.col(value)) / F.sum(w0)).alias("_mean"))
-    rows = df.join(norm, key).withColumn("_w", w0 / F.col("_W")).withColumn("_y", F.col(value) - F.col("_mean"))
-    rows = rows.join(frequencies, key)
-    a = F.col("frequency") * (F.col(time) - F.col("_t0")) * (2 * 3.141592653589793)
-    rows = rows.withColumn("_c", F.cos(a)).withColumn("_s", F.sin(a))
-    w, y, c, s = (F.col(n) for n in ("_w", "_y", "_c", "_s"))
-    g = rows.groupBy(key, "frequency").agg(
-        F.sum(w * y * y).alias("yy"), F.sum(w * c).alias("C"), F.sum(w * s).alias("S"), F.sum(w * y * c).alias("yc"), F.sum(w * y * s).alias("ys"),
-        F.sum(w * c * c).alias("_cc"), F.sum(w * s * s).alias("_ss"), F.sum(w * c * s).alias("_cs"))
-    cc, ss, cs = F.col("_cc") - F.col("C") * F.col("C"), F.col("_ss") - F.col("S") * F.col("S"), F.col("_cs") - F.col("C") * F.col("S")
-    det = cc * ss - cs * cs
-    power = (ss * F.col("yc") * F.col("yc") + cc * F.col("ys") * F.col("ys") - 2 * cs * F.col("yc") * F.col("ys")) / det / F.col("yy")
-    return g.select(key, "frequency", F.when((F.abs(det) > 1e-12) & (F.col("yy") > 0), power).alias("power"))
-
-
-def frequency_grid(df: DataFrame, key: str, time: str, count: int) -> DataFrame:
-    """Even frequencies from one per span to half the inverse of the median step."""
-    near = neighbours(with_position(df.select(key, time), key, time), [key], {"_before": (time, -1)})
-    step = quantiles(near.withColumn("_d", F.col(time) - F.col("_before")), [key], "_d", {"_step": 0.5})
-    span = df.groupBy(key).agg((F.max(time) - F.min(time)).alias("_span"), F.count("*").alias("_n")).filter("_n >= 10 AND _span > 0").join(step.filter("_step > 0"), key)
-    low, high = 1.0 / F.col("_span"), 0.5 / F.col("_step")
-    return span.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(key, "i", (low + (high - low) * F.col("i") / (count - 1)).alias("frequency"))
-
-
-def power_at_period(df: DataFrame, key: str, time: str, value: str, err: str, period: Column, count: int = 500) -> DataFrame:
-    """Power at a period over the median power of a frequency grid."""
-    grid = frequency_grid(df, key, time, count)
-    noise = quantiles(power_sums(df, key, time, value, err, grid.select(key, "frequency")), [key], "power", {"median_power": 0.5})
-    wanted = grid.select(key).distinct().withColumn("frequency", 1.0 / period)
-    there = power_sums(df, key, time, value, err, wanted)
-    return there.join(noise, key).select(key, "power", "median_power", F.when(F.col("median_power") > 0, F.col("power") / F.col("median_power")).otherwise(F.lit(0.0)).alias("ratio"))
-
-
 def dip_shape(df: DataFrame, key: str, time: str, value: str, found: DataFrame, sigma: float = 3.0) -> DataFrame:
     """Symmetry, depth and duration scatter and box residual of the dips a box search found, as one score."""
     noise = difference_noise(with_steps(df, key, time, value), key, value)

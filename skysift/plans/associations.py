@@ -12,7 +12,7 @@ from skysift.operators import temporal as T
 from skysift.operators.skyjoin import ARCSEC, pairs
 from skysift.plans import sqltext as Q
 from skysift.plans.registry import query
-from skysift.plans.scalars import HARMONIC_SQL, shapiro_delay_us, SHAPIRO_US
+from skysift.plans.scalars import HARMONIC_SQL
 
 
 def r6(c, name):
@@ -91,16 +91,6 @@ def _(t):
     return A.intervals(_bursts(t), "source_id", "mjd").select("source_id", "mjd", F.round("interval", 5).alias("interval"))
 
 
-@query("pulsar_line_of_sight", f"""WITH p AS ({Q.cone('fx_pulsars', 'fx_hosts', '1.5e0', 'pulsar_id', 'a.pulsar_id, a.rms_us, b.host_id, b.st_mass', zone=1.5)})
-    SELECT pulsar_id, count(*) AS n_hosts, round(max(greatest(0e0, {SHAPIRO_US!r}::DOUBLE*st_mass*ln(2/greatest(radians(sep_deg), 1e-10)))), 6) AS max_delay_us,
-    max(greatest(0e0, {SHAPIRO_US!r}::DOUBLE*st_mass*ln(2/greatest(radians(sep_deg), 1e-10)))) > 0.1*max(rms_us) AS is_candidate FROM p GROUP BY pulsar_id""")
-def _(t):
-    df = pairs(t.pulsars.select("pulsar_id", "ra", "dec", "rms_us"), t.hosts.select("host_id", "ra", "dec", "st_mass"), 1.5)
-    df = df.withColumn("delay", shapiro_delay_us(F.col("r_st_mass"), F.col("sep_deg")))
-    agg = df.groupBy("pulsar_id").agg(F.count("*").alias("n_hosts"), F.max("delay").alias("d"), F.max("rms_us").alias("rms"))
-    return agg.select("pulsar_id", "n_hosts", r6("d", "max_delay_us"), (F.col("d") > 0.1 * F.col("rms")).alias("is_candidate"))
-
-
 # Search radii (degrees) of each messenger.
 MESSENGER_RADII = {"gamma": 0.3, "neutrino": 1.5, "burst": 0.8, "pulsar": 0.1}
 

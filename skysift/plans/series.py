@@ -9,10 +9,14 @@ from skysift.operators import temporal as J
 from skysift.operators import timeseries as T
 from skysift.operators.folding import box_search
 from skysift.operators.forest import isolation_scores
+from skysift.operators.periodogram import power_at_periods
+from skysift.operators.skyjoin import pairs
 from skysift.operators.stats import spearman
 from skysift.plans import sqltext as Q
 from skysift.plans.associations import ASOF_SQL, band_series
 from skysift.plans.registry import query
+from skysift.plans.scalars import SHAPIRO_US, shapiro_delay_us
+from skysift.session import cut
 
 
 def r6(c, name):
@@ -137,14 +141,20 @@ def _(t):
     return rows
 
 
-POWER_SQL = """b AS (SELECT pulsar_id AS k, mjd AS t, residual_us AS y, 1/pow(uncertainty_us, 2) AS w, mjd - lag(mjd) OVER (PARTITION BY pulsar_id ORDER BY mjd) AS d FROM fx_residuals), s AS (SELECT k, min(t) AS t0, max(t) - min(t) AS span, median(d) AS step, sum(w) AS sw, sum(w*y)/sum(w) AS mu FROM b GROUP BY 1 HAVING count(*) >= 10),
-    fr AS (SELECT k, i, 1/span + (0.5/step - 1/span)*i/59e0 AS f FROM s, range(0, 60) r(i) UNION ALL SELECT k, -1, 1/365.25e0 FROM s), x AS (SELECT k, i, w/sw AS w, y - mu AS y, cos(f*(t - t0)*2*pi()) AS c, sin(f*(t - t0)*2*pi()) AS s FROM b JOIN s USING (k) JOIN fr USING (k)),
-    m AS (SELECT k, i, sum(w*y*y) AS yy, sum(w*y*c) AS yc, sum(w*y*s) AS ys, sum(w*c*c) - pow(sum(w*c), 2) AS cc, sum(w*s*s) - pow(sum(w*s), 2) AS ss, sum(w*c*s) - sum(w*c)*sum(w*s) AS cs FROM x GROUP BY 1, 2), p AS (SELECT k, i, (ss*yc*yc + cc*ys*ys - 2*cs*yc*ys)/(cc*ss - cs*cs)/yy AS p FROM m)"""
+def power_sql(periods: str) -> str:
+    """Powers at a grid of 500 frequencies and at the periods of a query (k, period), each from sums over all points."""
+    return f"""wp AS (SELECT DISTINCT k, period FROM ({periods}) WHERE period > 0), b AS (SELECT pulsar_id AS k, mjd AS t, residual_us AS y, 1/pow(uncertainty_us, 2) AS w, mjd - lag(mjd) OVER (PARTITION BY pulsar_id ORDER BY mjd) AS d FROM fx_residuals WHERE pulsar_id IN (SELECT k FROM wp)),
+    s AS (SELECT k, min(t) AS t0, max(t) - min(t) AS span, median(d) AS step, sum(w) AS sw, sum(w*y)/sum(w) AS mu FROM b GROUP BY 1 HAVING count(*) >= 10),
+    fr AS (SELECT k, 1/span + (0.5/step - 1/span)*i/499e0 AS f, NULL AS period FROM s, range(0, 500) r(i) UNION ALL SELECT k, 1/period, period FROM s JOIN wp USING (k)),
+    x AS (SELECT k, f, period, w/sw AS w, y - mu AS y, cos(f*(t - t0)*2*pi()) AS c, sin(f*(t - t0)*2*pi()) AS s FROM b JOIN s USING (k) JOIN fr USING (k)),
+    m AS (SELECT k, f, period, sum(w*y*y) AS yy, sum(w*y*c) AS yc, sum(w*y*s) AS ys, sum(w*c*c) - pow(sum(w*c), 2) AS cc, sum(w*s*s) - pow(sum(w*s), 2) AS ss, sum(w*c*s) - sum(w*c)*sum(w*s) AS cs FROM x GROUP BY ALL),
+    p AS (SELECT k, period, (ss*yc*yc + cc*ys*ys - 2*cs*yc*ys)/(cc*ss - cs*cs)/yy AS p FROM m), pm AS (SELECT k, median(p) AS median_power FROM p WHERE period IS NULL GROUP BY 1)"""
 
 
-@query("power_at_known_period", f"WITH {POWER_SQL} SELECT k AS pulsar_id, round(max(p) FILTER (i = -1), 6) AS power, round(max(p) FILTER (i = -1)/median(p) FILTER (i >= 0), 4) AS ratio FROM p GROUP BY k")
+@query("power_at_known_period", f"WITH {power_sql('SELECT pulsar_id AS k, 365.25e0 AS period FROM fx_residuals')} SELECT k AS pulsar_id, round(p, 6) AS power, round(p/median_power, 4) AS ratio FROM p JOIN pm USING (k) WHERE period IS NOT NULL")
 def _(t):
-    df = T.power_at_period(t.residuals, "pulsar_id", "mjd", "residual_us", "uncertainty_us", F.lit(365.25), count=60)
+    wanted = t.residuals.select("pulsar_id", F.lit(365.25).alias("period"))
+    df = power_at_periods(t.residuals, wanted, "pulsar_id", "mjd", "residual_us", "uncertainty_us")
     return df.select("pulsar_id", r6("power", "power"), F.round("ratio", 4).alias("ratio"))
 
 
@@ -208,3 +218,17 @@ def _(t):
 def _(t):
     vec = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     return isolation_scores(vec, "vec_id", [f"e{i}" for i in range(64)], contamination=0.05)
+
+
+@query("pulsar_line_of_sight", f"""WITH los AS ({Q.cone('fx_pulsars', 'fx_hosts', '1e0', 'pulsar_id', 'a.pulsar_id, a.rms_us, b.host_id, b.st_mass, b.period_days', zone=1)}),
+    {power_sql('SELECT pulsar_id AS k, period_days AS period FROM los')}, best AS (SELECT k, max(p/median_power) AS ratio, arg_max(period, (p/median_power, -period)) AS period FROM p JOIN pm USING (k) WHERE period IS NOT NULL GROUP BY 1),
+    d AS (SELECT pulsar_id, count(*) AS n_hosts, max(rms_us) AS rms, max(greatest(0e0, {SHAPIRO_US!r}::DOUBLE*st_mass*ln(2/greatest(radians(sep_deg), 1e-10)))) AS delay FROM los GROUP BY 1)
+    SELECT pulsar_id, n_hosts, round(delay, 6) AS max_delay_us, round(ratio, 4) AS periodic_significance, round(period, 6) AS periodic_period_days, coalesce(ratio >= 5, false) OR coalesce(delay > 0.1*rms, false) AS is_candidate FROM d LEFT JOIN best ON k = pulsar_id""")
+def _(t):
+    los = cut(pairs(t.pulsars.select("pulsar_id", "ra", "dec", "rms_us"), t.hosts.select("host_id", "ra", "dec", "st_mass", "period_days"), 1.0))
+    powers = power_at_periods(t.residuals, los.select("pulsar_id", F.col("r_period_days").alias("period")), "pulsar_id", "mjd", "residual_us", "uncertainty_us")
+    best = powers.groupBy("pulsar_id").agg(F.max(F.struct("ratio", (-F.col("period")).alias("_p"), "period")).alias("b"))
+    delay = shapiro_delay_us(F.col("r_st_mass"), F.col("sep_deg"))
+    agg = los.groupBy("pulsar_id").agg(F.count("*").alias("n_hosts"), F.max(delay).alias("d"), F.max("rms_us").alias("rms")).join(best, "pulsar_id", "left")
+    candidate = F.coalesce(F.col("b.ratio") >= 5.0, F.lit(False)) | F.coalesce(F.col("d") > 0.1 * F.col("rms"), F.lit(False))
+    return agg.select("pulsar_id", "n_hosts", r6("d", "max_delay_us"), F.round("b.ratio", 4).alias("periodic_significance"), r6("b.period", "periodic_period_days"), candidate.alias("is_candidate"))
