@@ -84,4 +84,6 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: in
     if contamination is None:
         return out
     limit = quantiles(out, [], "isolation", {"_limit": 1.0 - contamination})
-    return out.crossJoin(F.broadcast(limit)).withColumn("is_outlier", F.col("isolation") > F.col("_limit")).drop("_limit")  # one row
+    marked = out.crossJoin(F.broadcast(limit))  # one row
+    over = F.greatest(F.col("isolation") - F.col("_limit"), F.lit(0.0))
+    return marked.withColumn("is_outlier", F.col("isolation") > F.col("_limit")).withColumn("excess", over).drop("_limit")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
-from skysift.operators.ordered import mid_ranks, neighbours, running, value_counts, with_position
+from skysift.operators.ordered import mid_ranks, neighbours, quantiles, running, value_counts, with_position
 from skysift.operators.skyjoin import best_per_group
 from skysift.session import cut
 
@@ -123,6 +123,17 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_target: Colu
     return out.withColumn("p", N.normal_tail(F.col("z"))).drop("_r", "_ties", "_sd")
 
 
+def excess_strength(df: DataFrame, keys: Sequence[str], value: str, is_target: Column, sigma: float = 3.0) -> DataFrame:
+    """Share of targets above ``sigma``, how strong these are (1 - exp(-median / 2 sigma), 0 without any) and the detection score of both."""
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull() & is_target)
+    share = rows.groupBy(*keys).agg(F.avg((F.col(value) > sigma).cast("int")).alias("share_above"))
+    middle = quantiles(rows.filter(F.col(value) > sigma), keys, value, {"_m": 0.5})
+    strength = F.coalesce(1.0 - F.exp(-F.col("_m") / (2.0 * sigma)), F.lit(0.0))
+    out = share.join(middle, keys, "left").withColumn("strength", strength)
+    return out.withColumn("detection", N.clip(0.5 * F.col("share_above") + 0.5 * F.col("strength"), 0, 1)).drop("_m")
+
+
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The element at index n // 2 of the sorted values."""
     keys = list(keys)

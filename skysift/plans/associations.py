@@ -95,24 +95,11 @@ def _(t):
 MESSENGER_RADII = {"gamma": 0.3, "neutrino": 1.5, "burst": 0.8, "pulsar": 0.1}
 
 
-def _messengers(t):
+def messengers(t):
     return {"gamma": t.gamma, "neutrino": t.neutrinos, "burst": t.bursts, "pulsar": t.pulsars}
 
 
-_NEAR = {"gamma": "fx_gamma", "neutrino": "fx_neutrinos", "burst": "fx_bursts", "pulsar": "fx_pulsars"}
-
-
-@query("convergence_zones", "WITH c AS (SELECT target_id, count(*) FILTER (score > 0.6) AS n FROM fx_scores GROUP BY 1), "
-       + ", ".join(f"m_{m} AS (SELECT DISTINCT target_id FROM ({Q.cone('fx_targets', src, f'{MESSENGER_RADII[m]}e0', 'target_id', 'a.target_id', zone=1.5)}))" for m, src in _NEAR.items())
-       + ", z AS (SELECT target_id, n + " + " + ".join(f"(target_id IN (SELECT target_id FROM m_{m}))::INT" for m in _NEAR) + " AS n_signals FROM c) SELECT target_id, n_signals::BIGINT AS n_signals FROM z WHERE n_signals >= 4")
-def _(t):
-    active = t.scores.filter("score > 0.6").groupBy("target_id").agg(F.collect_set("channel").alias("signals"))  # at most one entry per channel
-    out = t.targets.select("target_id", "ra", "dec").join(active, "target_id", "left")
-    out = out.withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
-    for name, df in _messengers(t).items():
-        near = pairs(t.targets.select("target_id", "ra", "dec"), df.select("ra", "dec"), MESSENGER_RADII[name], cell=1.5).select("target_id").distinct().withColumn("hit", F.lit(name))
-        out = out.join(near, "target_id", "left").withColumn("signals", F.array_union("signals", F.array_compact(F.array("hit")))).drop("hit")
-    return out.filter(F.size("signals") >= 4).select("target_id", F.size("signals").cast("bigint").alias("n_signals"))
+NEAR = {"gamma": "fx_gamma", "neutrino": "fx_neutrinos", "burst": "fx_bursts", "pulsar": "fx_pulsars"}
 
 
 @query("gamma_neighbourhood_targets", f"""WITH u AS (SELECT source_id AS gid, ra, dec, greatest(err_major_deg, 5e-2) AS rad FROM fx_gamma WHERE source_class IN ('', 'unk') AND err_major_deg <= 0.15)

@@ -295,12 +295,14 @@ def _(t):
     return t.spectrogram.select("f_idx", "t_idx", F.round("freq_mhz", 9).alias("freq_mhz"), "t_sec", "power")
 
 
-@query("report_sink", "SELECT target_id, CASE WHEN target_id % 5 = 0 THEN NULL ELSE g END AS g, population FROM fx_targets")
+@query("report_sink", "SELECT target_id, CASE WHEN target_id % 5 = 0 THEN NULL ELSE g END AS g, population, ruwe AS first_value, CASE WHEN target_id % 5 = 0 THEN NULL ELSE g END AS second_value FROM fx_targets")
 def _(t):
     path = scratch_path(t.spark, "report")
     bad = F.when(F.col("target_id") % 10 == 0, F.lit(float("nan"))).when(F.col("target_id") % 5 == 0, F.lit(float("inf"))).otherwise(F.col("g"))
-    K.write_report(t.targets.select("target_id", bad.alias("g"), "population"), path)
-    return t.spark.read.schema("target_id bigint, g double, population string").json(path)
+    readings = F.array(F.struct(F.lit("ruwe").alias("name"), F.col("ruwe").alias("value")), F.struct(F.lit("g").alias("name"), bad.alias("value")))
+    K.write_report(t.targets.select("target_id", bad.alias("g"), "population", readings.alias("readings")), path)
+    found = t.spark.read.schema("target_id bigint, g double, population string, readings array<struct<name:string,value:double>>").json(path)
+    return found.select("target_id", "g", "population", F.col("readings")[0]["value"].alias("first_value"), F.col("readings")[1]["value"].alias("second_value"))
 
 
 @query("evidence_bundles", "SELECT report AS run_id, target_id, count(*) AS n, round(max(total_score), 6) AS best FROM fx_report_rows WHERE report = 1997 GROUP BY ALL")

@@ -68,22 +68,28 @@ def _(t):
     return df.select("target_id", "n", F.round(F.greatest("excess", F.lit(0.0)), 5).alias("excess"), F.round("sigma", 4).alias("sigma"), "is_brightening", F.round("score", 5).alias("score"), "is_anomalous")
 
 
-@query("uv_anomaly", """SELECT target_id, round(CASE WHEN nuv IS NULL THEN NULL WHEN NOT uv_clean THEN 0 ELSE coalesce(greatest(CASE WHEN fuv - nuv < 0.5 THEN least(1, (0.5 - (fuv - nuv))/2) WHEN fuv - nuv > 4 THEN least(1, (fuv - nuv - 4)/3) END,
-    CASE WHEN nuv - (g + 1.5 + 2*bp_rp) > 2 THEN least(1, (nuv - (g + 1.5 + 2*bp_rp) - 2)/3) WHEN nuv - (g + 1.5 + 2*bp_rp) < -2 THEN least(1, (-(nuv - (g + 1.5 + 2*bp_rp)) - 2)/3) END), 0) END, 6)::DOUBLE AS uv_score, coalesce(fuv - nuv < 1, false) AND nuv IS NOT NULL AS uv_active FROM fx_signals""")
+UV_SCORE_SQL = """CASE WHEN nuv IS NULL THEN NULL WHEN NOT uv_clean THEN 0 ELSE coalesce(greatest(CASE WHEN fuv - nuv < 0.5 THEN least(1, (0.5 - (fuv - nuv))/2) WHEN fuv - nuv > 4 THEN least(1, (fuv - nuv - 4)/3) END,
+    CASE WHEN nuv - (g + 1.5 + 2*bp_rp) > 2 THEN least(1, (nuv - (g + 1.5 + 2*bp_rp) - 2)/3) WHEN nuv - (g + 1.5 + 2*bp_rp) < -2 THEN least(1, (-(nuv - (g + 1.5 + 2*bp_rp)) - 2)/3) END), 0) END"""
+RADIO_SCORE_SQL = """CASE WHEN radio_mjy IS NULL THEN NULL WHEN radio_mjy >= 1 AND radio_sep <= 10 THEN least(1, greatest(0, 0.6*(1 - exp(-radio_mjy/5)) + 0.3*least(1, radio_snr/10) + 0.1*(1 - radio_sep/10))) ELSE 0 END"""
+HR_SQL = f"""a AS (SELECT target_id, bp_rp, mh, g + 5*log10(CASE WHEN parallax > 0 THEN parallax END) - 10 AS m FROM fx_signals), b AS (SELECT *, (m - {RIDGE_SQL})/0.75 AS s FROM a)"""
+HR_SCORE_SQL = """CASE WHEN s IS NULL THEN NULL ELSE (CASE WHEN (m > 10 AND bp_rp < 1.5) OR (m < 3 AND bp_rp > 0.8) OR abs(s) < 1.5 THEN 0 ELSE 1 - exp(-(abs(s) - 1.5)/2) END)*(CASE WHEN s > 1.5 AND mh < -0.5 THEN 0.5 ELSE 1 END) END"""
+
+
+@query("uv_anomaly", f"""SELECT target_id, round({UV_SCORE_SQL}, 6)::DOUBLE AS uv_score, coalesce(fuv - nuv < 1, false) AND nuv IS NOT NULL AS uv_active FROM fx_signals""")
 def _(t):
     s = D.uv_score()
     return t.signals.select("target_id", r6(s["uv_score"], "uv_score"), s["uv_active"].alias("uv_active"))
 
 
-@query("radio_emission", """SELECT target_id, round(CASE WHEN radio_mjy IS NULL THEN NULL WHEN radio_mjy >= 1 AND radio_sep <= 10 THEN least(1, greatest(0, 0.6*(1 - exp(-radio_mjy/5)) + 0.3*least(1, radio_snr/10) + 0.1*(1 - radio_sep/10))) ELSE 0 END, 6)::DOUBLE AS score,
+@query("radio_emission", f"""SELECT target_id, round({RADIO_SCORE_SQL}, 6)::DOUBLE AS score,
     round(CASE WHEN radio_mjy >= 1 AND radio_sep <= 10 THEN radio_mjy*distance_pc*distance_pc END, 4) AS luminosity_proxy FROM fx_signals""")
 def _(t):
     seen = (F.col("radio_mjy") >= 1) & (F.col("radio_sep") <= 10)
     return t.signals.select("target_id", r6(D.radio_score("radio_mjy", "radio_snr", "radio_sep"), "score"), F.round(F.when(seen, F.col("radio_mjy") * F.col("distance_pc") * F.col("distance_pc")), 4).alias("luminosity_proxy"))
 
 
-@query("hr_outlier_ridge", f"""WITH a AS (SELECT target_id, bp_rp, mh, g + 5*log10(CASE WHEN parallax > 0 THEN parallax END) - 10 AS m FROM fx_signals), b AS (SELECT *, (m - {RIDGE_SQL})/0.75 AS s FROM a)
-    SELECT target_id, round(s, 6) AS ms_sigma, round(CASE WHEN s IS NULL THEN NULL ELSE (CASE WHEN (m > 10 AND bp_rp < 1.5) OR (m < 3 AND bp_rp > 0.8) OR abs(s) < 1.5 THEN 0 ELSE 1 - exp(-(abs(s) - 1.5)/2) END)*(CASE WHEN s > 1.5 AND mh < -0.5 THEN 0.5 ELSE 1 END) END, 6)::DOUBLE AS hr_score FROM b""")
+@query("hr_outlier_ridge", f"""WITH {HR_SQL}
+    SELECT target_id, round(s, 6) AS ms_sigma, round({HR_SCORE_SQL}, 6)::DOUBLE AS hr_score FROM b""")
 def _(t):
     return D.ridge_outlier(t.signals).select("target_id", r6("ms_sigma", "ms_sigma"), r6("hr_score", "hr_score"))
 
@@ -107,13 +113,17 @@ def _(t):
 _AB = ", ".join(f"('{a[0]}', {a[0]}, {a[1]!r}::DOUBLE, {a[2]!r}::DOUBLE, {a[3]!r}::DOUBLE, {'NULL' if a[4] is None else repr(a[4])}::DOUBLE, {a[5]!r}::DOUBLE)" for a in D.ABUNDANCES)
 
 
+ABUNDANCE_SQL = f"""v AS (SELECT target_id, u.ratio, CASE WHEN u.v > u.ab THEN (u.v - u.ab)/greatest(u.hi - u.lo, 0.01)*u.w WHEN u.v < u.be THEN (u.be - u.v)/greatest(u.hi - u.lo, 0.01)*u.w END AS off FROM fx_signals, LATERAL (VALUES {_AB}) u(ratio, v, lo, hi, ab, be, w) WHERE u.v IS NOT NULL),
+    g AS (SELECT target_id, count(*) AS n_checked, count(off) AS k, coalesce(max(off), 0) AS worst FROM v GROUP BY 1)"""
+ABUNDANCE_SCORE_SQL = """CASE WHEN k = 0 THEN 0 ELSE least(1, least(1, 0.3 + 0.1*worst)*(1 + 0.2*(k - 1))) END"""
+
+
 def abundance_rows(t):
     items = F.explode(F.array(*[F.struct(F.lit(a[0]).alias("ratio"), F.col(a[0]).cast("double").alias("value")) for a in D.ABUNDANCES]))
     return t.signals.select("target_id", items.alias("x")).select("target_id", "x.ratio", "x.value").filter("value IS NOT NULL")
 
 
-@query("abundance_outliers", f"""WITH v AS (SELECT target_id, u.ratio, CASE WHEN u.v > u.ab THEN (u.v - u.ab)/greatest(u.hi - u.lo, 0.01)*u.w WHEN u.v < u.be THEN (u.be - u.v)/greatest(u.hi - u.lo, 0.01)*u.w END AS off FROM fx_signals, LATERAL (VALUES {_AB}) u(ratio, v, lo, hi, ab, be, w) WHERE u.v IS NOT NULL),
-    g AS (SELECT target_id, count(*) AS n_checked, count(off) AS k, coalesce(max(off), 0) AS worst FROM v GROUP BY 1) SELECT target_id, n_checked, k AS n_flagged, round(CASE WHEN k = 0 THEN 0 ELSE least(1, least(1, 0.3 + 0.1*worst)*(1 + 0.2*(k - 1))) END, 6)::DOUBLE AS score, (CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN 0.05 WHEN k = 2 THEN 0.0025 ELSE round(pow(0.001e0, least(k - 2, 3)), 12) END)::DOUBLE AS p FROM g""")
+@query("abundance_outliers", f"""WITH {ABUNDANCE_SQL} SELECT target_id, n_checked, k AS n_flagged, round({ABUNDANCE_SCORE_SQL}, 6)::DOUBLE AS score, (CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN 0.05 WHEN k = 2 THEN 0.0025 ELSE round(pow(0.001e0, least(k - 2, 3)), 12) END)::DOUBLE AS p FROM g""")
 def _(t):
     return D.abundance_outliers(abundance_rows(t)).select("target_id", "n_checked", "n_flagged", r6("score", "score"), F.round("p", 12).alias("p"))
 
@@ -231,15 +241,61 @@ def colour_features(t):
     return ok.selectExpr("target_id", "J - Ks AS j_ks", "Ks - W1 AS ks_w1", "W1 - W2 AS w1_w2", "W1 - W3 AS w1_w3", "coalesce(W3 - W4, 0D) AS w3_w4", "Ks - W3 AS ks_w3")
 
 
-@query("anomaly_stacking")
+def channel_tables(t):
+    """Feature table and feature names of each of five channels; channels of fewer than five usable rows are left out."""
+    optical = t.targets.filter("g IS NOT NULL").selectExpr("target_id", "CAST(g AS DOUBLE) AS g", "coalesce(bp_rp, 0D) AS bp_rp", "coalesce(teff, 5000D) AS teff", "CASE WHEN coalesce(logg, 0D) = 0 THEN 4D ELSE logg END AS logg")
+    astrometry = t.targets.filter("ruwe IS NOT NULL").selectExpr("target_id", "ruwe", "coalesce(CAST(parallax AS DOUBLE), 0D) AS parallax", "coalesce(parallax_error, 0D) AS parallax_error", "coalesce(aen, 0D) AS aen")
+    mags = t.optical_epochs.filter("mag IS NOT NULL").groupBy("target_id").agg(F.count("*").alias("n"), F.stddev_pop("mag").alias("std"), (F.max("mag") - F.min("mag")).alias("range"), F.skewness("mag").alias("skew"))
+    epochs = mags.filter("n >= 10").select("target_id", "std", "range", F.when(F.col("std") > 0, F.col("skew")).otherwise(F.lit(0.0)).alias("skew"))
+    tables = {
+        "optical": (optical, ("g", "bp_rp", "teff", "logg")), "infrared": (colour_features(t), COLOURS),
+        "lightcurve": (lightcurve_moments(t).drop("n"), ("std", "range", "depth", "skew", "kurtosis")),
+        "astrometry": (astrometry, ("ruwe", "parallax", "parallax_error", "aen")), "epochs": (epochs, ("std", "range", "skew")),
+    }
+    tables = {name: (df, feats, df.count()) for name, (df, feats) in tables.items()}
+    return {name: table for name, table in tables.items() if table[2] >= 5}
+
+
+_FEATURES_SQL = {
+    "optical": "SELECT target_id, g, coalesce(bp_rp, 0) AS bp_rp, coalesce(teff, 5000) AS teff, CASE WHEN coalesce(logg, 0) = 0 THEN 4 ELSE logg END AS logg FROM fx_targets WHERE g IS NOT NULL",
+    "infrared": "SELECT target_id, J - Ks AS j_ks, Ks - W1 AS ks_w1, W1 - W2 AS w1_w2, W1 - W3 AS w1_w3, coalesce(W3 - W4, 0) AS w3_w4, Ks - W3 AS ks_w3 FROM fx_photometry WHERE J IS NOT NULL AND Ks IS NOT NULL AND W1 IS NOT NULL AND W3 IS NOT NULL",
+    "lightcurve": """SELECT target_id, max(sd) AS std, max(flux) - min(flux) AS range, 1 - min(flux) AS depth, avg(pow((flux - mu)/sd, 3)) AS skew, avg(pow((flux - mu)/sd, 4)) AS kurtosis
+        FROM (SELECT *, avg(flux) OVER p AS mu, stddev_pop(flux) OVER p AS sd FROM fx_lightcurve WINDOW p AS (PARTITION BY target_id)) GROUP BY 1 HAVING count(*) >= 20 AND max(sd) > 0""",
+    "astrometry": "SELECT target_id, ruwe, coalesce(parallax, 0) AS parallax, coalesce(parallax_error, 0) AS parallax_error, coalesce(aen, 0) AS aen FROM fx_targets WHERE ruwe IS NOT NULL",
+    "epochs": """SELECT target_id, max(sd) AS std, max(mag) - min(mag) AS range, CASE WHEN max(sd) > 0 THEN avg(pow((mag - mu)/sd, 3)) ELSE 0 END AS skew
+        FROM (SELECT *, avg(mag) OVER p AS mu, stddev_pop(mag) OVER p AS sd FROM fx_optical_epochs WHERE mag IS NOT NULL WINDOW p AS (PARTITION BY target_id)) GROUP BY 1 HAVING count(*) >= 10""",
+}
+_FEATURE_NAMES = {"optical": ("g", "bp_rp", "teff", "logg"), "infrared": ("j_ks", "ks_w1", "w1_w2", "w1_w3", "w3_w4", "ks_w3"), "lightcurve": ("std", "range", "depth", "skew", "kurtosis"),
+                  "astrometry": ("ruwe", "parallax", "parallax_error", "aen"), "epochs": ("std", "range", "skew")}
+
+
+@query("channel_feature_tables", "WITH " + ", ".join(f"f_{c} AS ({sql})" for c, sql in _FEATURES_SQL.items()) + " "
+       + " UNION ALL ".join(f"SELECT '{c}' AS channel, target_id, '{f}' AS feature, round(({f})::DOUBLE, 4) AS value FROM f_{c} WHERE (SELECT count(*) FROM f_{c}) >= 5" for c, feats in _FEATURE_NAMES.items() for f in feats))
 def _(t):
-    tables = {"infrared": (colour_features(t), COLOURS), "astrometry": (t.targets.selectExpr("target_id", "ruwe", "CAST(parallax AS DOUBLE) AS parallax", "parallax_error", "aen"), ("ruwe", "parallax", "parallax_error", "aen"))}
+    found = None
+    for name, (df, feats, _) in channel_tables(t).items():
+        items = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats))).alias("x")
+        rows = df.select(F.lit(name).alias("channel"), F.col("target_id").cast("bigint").alias("target_id"), items).select("channel", "target_id", "x.feature", F.round("x.value", 4).alias("value"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def stacked_anomalies(tables):
+    """Targets that outlier models of several channels mark: ``k`` channels, and the mean score over the model's limit times 10^(k - 1).
+
+    ``tables``: name to (frame with ``target_id``, features, number of rows). A model's share of outliers is one in n, held between 1 % and 5 %.
+    """
     stacked = None
-    for name, (df, feats) in tables.items():
-        marks = isolation_scores(df, "target_id", feats, contamination=0.05).withColumn("channel", F.lit(name))
+    for name, (df, feats, n) in tables.items():
+        marks = isolation_scores(df.withColumn("target_id", F.col("target_id").cast("bigint")), "target_id", feats, contamination=min(0.05, max(0.01, 1.0 / n))).withColumn("channel", F.lit(name))
         stacked = marks if stacked is None else stacked.unionByName(marks)
-    g = stacked.groupBy("target_id").agg(F.count_if("is_outlier").alias("k"), F.avg(F.when(F.col("is_outlier"), F.col("isolation"))).alias("mean"))
-    return g.filter("k > 0").withColumn("convergence", F.col("mean") * F.pow(F.lit(10.0), (F.col("k") - 1).cast("double"))).orderBy(F.desc("k"), F.desc("convergence"), "target_id")
+    g = stacked.filter("is_outlier").groupBy("target_id").agg(F.count("*").alias("k"), F.avg(F.least("excess", F.lit(1.0))).alias("mean"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    return g.withColumn("convergence", F.col("mean") * F.pow(F.lit(10.0), (F.col("k") - 1).cast("double")))
+
+
+@query("anomaly_stacking")
+def _(t):
+    return stacked_anomalies(channel_tables(t)).orderBy(F.desc("k"), F.desc("convergence"), "target_id")
 
 
 @query("radio_candidate_validation", f"""WITH x AS (SELECT target_id, hit_snr AS snr, n_radio_hits AS n, (hit_snr/4) AS z, ruwe FROM fx_signals WHERE n_radio_hits > 0), p AS (SELECT *, {Q.normal_tail('z')} AS p1 FROM x), d AS (SELECT *, 1 - exp(-snr/20) AS det, CASE WHEN ruwe < 2 THEN 0.4 ELSE 0.1 END AS nat, least(1, greatest(0, 0.4*(n % 3)/n + 0.2 + 0.2*exp(-snr/20))) AS ins FROM p)

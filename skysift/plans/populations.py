@@ -259,11 +259,14 @@ def _(t):
 
 @query("mann_whitney", f"""WITH u AS (SELECT 'g' AS f, g AS v, true AS a FROM fx_targets UNION ALL SELECT 'g', g, false FROM fx_pool UNION ALL SELECT 'ruwe', ruwe, true FROM fx_targets UNION ALL SELECT 'ruwe', ruwe, false FROM fx_pool),
     r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1)/2 AS rk, count(*) OVER (PARTITION BY f, v) AS tie FROM u), s AS (SELECT f, sum(rk) FILTER (a) AS r1, count(*) FILTER (a)::DOUBLE AS n1, count(*) FILTER (NOT a)::DOUBLE AS n2, sum(tie::DOUBLE*tie - 1) AS ties FROM r GROUP BY 1),
-    z AS (SELECT f, r1 - n1*(n1 + 1)/2 AS u, (r1 - n1*(n1 + 1)/2 - n1*n2/2 - 0.5)/sqrt(n1*n2/12*((n1 + n2 + 1) - ties/((n1 + n2)*(n1 + n2 - 1)))) AS z FROM s) SELECT f AS feature, u, round(z, 6) AS z, round({Q.normal_tail('z')}, 6) AS p FROM z""")
+    z AS (SELECT f, r1 - n1*(n1 + 1)/2 AS u, (r1 - n1*(n1 + 1)/2 - n1*n2/2 - 0.5)/sqrt(n1*n2/12*((n1 + n2 + 1) - ties/((n1 + n2)*(n1 + n2 - 1)))) AS z FROM s), h AS (SELECT f, avg((v > 3)::INT) AS share, coalesce(1 - exp(-median(v) FILTER (v > 3)/6), 0) AS strength FROM u WHERE a AND v IS NOT NULL GROUP BY 1)
+    SELECT f AS feature, u, round(z, 6) AS z, round({Q.normal_tail('z')}, 6) AS p, round(share, 6) AS share_above, round(strength, 6) AS strength, round(0.5*share + 0.5*strength, 6) AS detection FROM z JOIN h USING (f)""")
 def _(t):
     both = t.targets.select("g", "ruwe", F.lit(True).alias("a")).unionByName(t.pool.select("g", "ruwe", F.lit(False).alias("a")))
     long = both.select("a", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("g", "ruwe")])).alias("f")).select("a", "f.feature", "f.v")
-    return A.mann_whitney(long, ["feature"], "v", F.col("a")).select("feature", "u", r6("z", "z"), r6("p", "p"))
+    strong = A.excess_strength(long, ["feature"], "v", F.col("a"))
+    tested = A.mann_whitney(long, ["feature"], "v", F.col("a")).join(strong, "feature")
+    return tested.select("feature", "u", *(r6(c, c) for c in ("z", "p", "share_above", "strength", "detection")))
 
 
 @query("enrichment_tests", """WITH s AS (SELECT nation AS grp, count(*) AS drawn, count(*) FILTER (ruwe > 3) AS k FROM fx_targets GROUP BY 1), n AS (SELECT sum(drawn)::BIGINT AS pop, sum(k)::BIGINT AS marked, count(*) AS groups FROM s), x AS (SELECT * FROM s, n)

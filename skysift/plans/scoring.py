@@ -9,7 +9,7 @@ from skysift.operators import scoring as C
 from skysift.operators import templates as M
 from skysift.operators.ordered import ranked
 from skysift.plans import sqltext as Q
-from skysift.plans.detectors import PM_SQL, abundance_rows
+from skysift.plans.detectors import ABUNDANCE_SCORE_SQL, ABUNDANCE_SQL, HR_SCORE_SQL, HR_SQL, PM_SQL, RADIO_SCORE_SQL, UV_SCORE_SQL, abundance_rows
 from skysift.plans.populations import EMP_SQL, bh_sql
 from skysift.plans.registry import query
 from skysift.plans.tables import CALIBRATED
@@ -28,14 +28,17 @@ def measured(t):
     return df.join(ab, "target_id", "left")
 
 
-@query("channel_score_extractors", f"""WITH {PM_SQL} SELECT target_id, 'ir_excess' AS channel, round(CASE WHEN ir_candidate AND (excess_w3 < 0 AND sigma_w3 IS NOT NULL OR excess_w4 < 0 AND sigma_w4 IS NOT NULL) THEN 1 - exp(-greatest(CASE WHEN excess_w3 < 0 THEN sigma_w3 END, CASE WHEN excess_w4 < 0 THEN sigma_w4 END)/5) ELSE 0 END, 6) AS score FROM pm4
+@query("channel_score_extractors", f"""WITH {PM_SQL}, {HR_SQL}, {ABUNDANCE_SQL} SELECT target_id, 'ir_excess' AS channel, round(CASE WHEN ir_candidate AND (excess_w3 < 0 AND sigma_w3 IS NOT NULL OR excess_w4 < 0 AND sigma_w4 IS NOT NULL) THEN 1 - exp(-greatest(CASE WHEN excess_w3 < 0 THEN sigma_w3 END, CASE WHEN excess_w4 < 0 THEN sigma_w4 END)/5) ELSE 0 END, 6) AS score FROM pm4
     UNION ALL SELECT target_id, 'radio_anomaly', round(CASE WHEN n_radio_hits = 0 AND hit_snr <= 0 THEN 0 ELSE 0.4*(1 - exp(-n_radio_hits/3e0)) + 0.6*(1 - exp(-hit_snr/20)) END, 6) FROM pm4
     UNION ALL SELECT target_id, 'gaia_photometric_anomaly', round((1 - exp(-abs(variability)/0.05))*least(1, CASE WHEN n_epochs > 0 THEN n_epochs ELSE 50 END/10e0), 6) FROM pm4
     UNION ALL SELECT target_id, 'habitable_zone_planet', CASE WHEN n_hz >= 2 THEN 0.6 WHEN n_hz = 1 THEN 0.5 ELSE 0 END FROM pm4
     UNION ALL SELECT target_id, 'proper_motion_anomaly', round(coalesce(greatest(CASE WHEN ruwe > 1 THEN 1 - exp(-(ruwe - 1)) END, CASE WHEN aen_sig > 0 THEN 1 - exp(-aen_sig/5) END, CASE WHEN pm_sigma > 0 THEN 1 - exp(-pm_sigma/4) END), 0), 6) FROM pm4
-    UNION ALL SELECT target_id, 'ir_variability', CASE WHEN ir_var_source = 'real' THEN coalesce(ir_var_score, 0) END FROM pm4 UNION ALL SELECT target_id, 'transit_anomaly', dimming_score FROM pm4""")
+    UNION ALL SELECT target_id, 'ir_variability', CASE WHEN ir_var_source = 'real' THEN coalesce(ir_var_score, 0) END FROM pm4 UNION ALL SELECT target_id, 'transit_anomaly', round(greatest(0, least(1, dimming_score)), 6) FROM pm4
+    UNION ALL SELECT target_id, 'uv_anomaly', round({UV_SCORE_SQL}, 6)::DOUBLE FROM fx_signals UNION ALL SELECT target_id, 'radio_emission', round({RADIO_SCORE_SQL}, 6)::DOUBLE FROM fx_signals
+    UNION ALL SELECT target_id, 'hr_anomaly', round({HR_SCORE_SQL}, 6)::DOUBLE FROM b
+    UNION ALL SELECT s.target_id, 'abundance_anomaly', CASE WHEN k IS NOT NULL THEN round({ABUNDANCE_SCORE_SQL}, 6)::DOUBLE END FROM fx_signals s LEFT JOIN g USING (target_id)""")
 def _(t):
-    df = C.channel_scores(measured(t)).filter(~F.col("channel").isin("uv_anomaly", "radio_emission", "hr_anomaly", "abundance_anomaly"))
+    df = C.channel_scores(measured(t))
     return df.select("target_id", "channel", r6("score", "score"))
 
 

@@ -205,13 +205,13 @@ def _(t):
     return df.select("target_id", "n", r6("v", "variability"))
 
 
-@query("scatter_chi_square", """WITH m AS (SELECT target_id, w1, w1_err, avg(w1) OVER (PARTITION BY target_id) AS mu FROM fx_ir_epochs), s AS (SELECT target_id, count(*) AS n, sum(pow((w1 - mu)/(1e1*w1_err), 2)) AS x FROM m GROUP BY 1), z AS (SELECT *, sqrt(x) AS z, (n - 1)//2 AS k FROM s)
-    SELECT target_id, n, round(x, 4) AS chi2, round(CASE WHEN (n - 1) % 2 = 0 THEN """ + Q.even_chi_square_tail("x", "k") + f""" ELSE 2*{Q.normal_tail('z')} + coalesce(list_sum(list_transform(range(1, k + 1), lambda i: exp(-x/2 + (i - 0.5e0)*ln(x/2) - lgamma(i + 0.5e0)))), 0e0) END, 6) AS p FROM z""")
+@query("scatter_chi_square", """WITH m AS (SELECT target_id, w1, w1_err, avg(w1) OVER (PARTITION BY target_id) AS mu FROM fx_ir_epochs), s AS (SELECT target_id, count(*) AS n, sum(pow((w1 - mu)/w1_err, 2)) AS x FROM m GROUP BY 1), z AS (SELECT *, sqrt(x) AS z, (n - 1)//2 AS k FROM s)
+    SELECT target_id, n, round(x, 4) AS chi2, round(CASE WHEN (n - 1) % 2 = 0 THEN """ + Q.even_chi_square_tail("x", "k") + f""" ELSE 2*{Q.normal_tail('z')} + coalesce(list_sum(list_transform(range(1, k + 1), lambda i: exp(-x/2 + (i - 0.5e0)*ln(x/2) - lgamma(i + 0.5e0)))), 0e0) END, 9) AS p FROM z""")
 def _(t):
     mean = t.ir_epochs.groupBy("target_id").agg(F.avg("w1").alias("mu"))
-    z = (F.col("w1") - F.col("mu")) / (10.0 * F.col("w1_err"))
+    z = (F.col("w1") - F.col("mu")) / F.col("w1_err")
     s = t.ir_epochs.join(mean, "target_id").groupBy("target_id").agg(F.count("*").alias("n"), F.sum(z * z).alias("x"))
-    return s.select("target_id", "n", F.round("x", 4).alias("chi2"), r6(N.chi_square_tail(F.col("x"), F.col("n") - 1), "p"))
+    return s.select("target_id", "n", F.round("x", 4).alias("chi2"), F.round(N.chi_square_tail(F.col("x"), F.col("n") - 1), 9).alias("p"))
 
 
 @query("isolation_forest_scores")

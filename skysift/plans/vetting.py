@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import skysift.plans.scoring  # noqa: F401  its SQL is named below
+
 from skysift.operators import detectors as D
 from skysift.operators import vetting as V
-from skysift.operators.skyjoin import ARCSEC, count_within, nearest
+from skysift.operators.ordered import ranked
+from skysift.operators.skyjoin import ARCSEC, count_within, nearest, pairs
 from skysift.operators.templates import source_patterns
 from skysift.plans import sqltext as Q
+from skysift.plans.associations import MESSENGER_RADII, NEAR, messengers
 from skysift.plans.catalogs import SPECTRA_EXPR, near_sql
 from skysift.plans.detectors import PM_SQL
-from skysift.plans.registry import query
+from skysift.plans.registry import ORACLES, QUERIES, query
 
 
 def r6(c, name):
@@ -244,3 +248,26 @@ def _(t):
 @query("top_events", "SELECT event_id, energy_gev FROM fx_neutrinos ORDER BY energy_gev DESC, event_id LIMIT 500")
 def _(t):
     return t.neutrinos.orderBy(F.desc("energy_gev"), "event_id").limit(500).select("event_id", "energy_gev")
+
+
+#: The place is the order in which zones are shown: most signals first, then the highest score.
+@query("convergence_zones", "WITH c AS (SELECT target_id, count(*) FILTER (score > 0.6) AS n FROM fx_scores GROUP BY 1), "
+       + ", ".join(f"m_{m} AS (SELECT DISTINCT target_id FROM ({Q.cone('fx_targets', src, f'{MESSENGER_RADII[m]}e0', 'target_id', 'a.target_id', zone=1.5)}))" for m, src in NEAR.items())
+       + ", z AS (SELECT target_id, n + " + " + ".join(f"(target_id IN (SELECT target_id FROM m_{m}))::INT" for m in NEAR) + " AS n_signals FROM c), "
+       + f"sc AS ({ORACLES['convergence_score']}), ux AS ({ORACLES['unexplainability']}), rk AS ({ORACLES['overall_risk']}), "
+       + """y AS (SELECT z.target_id, n_signals::BIGINT AS n_signals, total_score, coalesce(unexplained < 0.2, false) OR coalesce(risk_level IN ('HIGH', 'CRITICAL'), false) AS is_explained
+           FROM z LEFT JOIN sc USING (target_id) LEFT JOIN ux USING (target_id) LEFT JOIN rk USING (target_id) WHERE n_signals >= 2)
+       SELECT *, row_number() OVER (ORDER BY n_signals DESC, coalesce(total_score, 0) DESC, target_id) AS place FROM y""")
+def _(t):
+    active = t.scores.filter("score > 0.6").groupBy("target_id").agg(F.collect_set("channel").alias("signals"))  # at most one entry per channel
+    out = t.scores.select("target_id").distinct().join(active, "target_id", "left").withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
+    for name, df in messengers(t).items():
+        near = pairs(t.targets.select("target_id", "ra", "dec"), df.select("ra", "dec"), MESSENGER_RADII[name], cell=1.5).select("target_id").distinct().withColumn("hit", F.lit(name))
+        out = out.join(near, "target_id", "left").withColumn("signals", F.array_union("signals", F.array_compact(F.array("hit")))).drop("hit")
+    zones = out.filter(F.size("signals") >= 2).select("target_id", F.size("signals").cast("bigint").alias("n_signals"))
+    for name, column in (("convergence_score", "total_score"), ("unexplainability", "unexplained"), ("overall_risk", "risk_level")):
+        zones = zones.join(QUERIES[name](t).select("target_id", column), "target_id", "left")
+    explained = F.coalesce(F.col("unexplained") < 0.2, F.lit(False)) | F.coalesce(F.col("risk_level").isin("HIGH", "CRITICAL"), F.lit(False))
+    zones = zones.select("target_id", "n_signals", "total_score", explained.alias("is_explained"))
+    order = (F.col("n_signals").desc(), F.coalesce("total_score", F.lit(0.0)).desc(), F.col("target_id"))
+    return ranked(zones, [], order, rank="place", size=None)

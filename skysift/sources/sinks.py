@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysift.functions.numeric import clean
 
 
+def _floating(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_floating(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _floating(kind.elementType)
+    return _floating(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def _cleaned(value: Column, kind: T.DataType) -> Column:
+    """The value with NaN and infinities as nulls at every depth; parts without floating numbers are left as they are."""
+    if not _floating(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        fields = [_cleaned(value.getField(f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _cleaned(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _cleaned(x, kind.valueType))
+    return clean(value).cast(kind)
+
+
 def without_nan(df: DataFrame) -> DataFrame:
-    """NaN and infinities to null in every floating column."""
-    bad = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: clean(c) for c in bad}) if bad else df
+    """NaN and infinities to null in every floating column, and in arrays, map values and structs at any depth. Nulls stay nulls; map keys are left alone."""
+    bad = {f.name: _cleaned(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if _floating(f.dataType)}
+    return df.withColumns(bad) if bad else df
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
