@@ -400,9 +400,9 @@ def _(t):
 
 @query("ripleys_k", f"""WITH {POINTS_SQL}, b AS (SELECT (max(x) - min(x))*(max(y) - min(y))*(max(z) - min(z)) AS vol, least(max(x) - min(x), max(y) - min(y), max(z) - min(z))/2 AS r_max FROM pts), h AS (SELECT * FROM pts WHERE score >= 0.95), n AS (SELECT count(*) AS n FROM h),
     d AS (SELECT sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2) + pow(a.z - c.z, 2)) AS d FROM h a, h c WHERE a.target_id <> c.target_id), g AS (SELECT i AS bin, r_max*i/20 AS r, vol, n FROM b, n, range(1, 21) r(i)), k AS (SELECT bin, r, vol, n, (SELECT count(*) FROM d WHERE d > 0 AND d <= r) AS pairs FROM g)
-    SELECT bin::INT AS bin, round(r, 6) AS r, pairs, round(pow(vol/(n*n)*pairs*3/(4*pi()), 1e0/3) - r, 4) AS l_excess FROM k""")
+    SELECT bin::INT AS bin, round(r, 6) AS r, pairs, round(pow(vol/(n*n)*pairs*3/(4*pi()), 1e0/3) - r, 4) AS l_excess, round(max(pow(vol/(n*n)*pairs*3/(4*pi()), 1e0/3) - r) OVER (), 4) AS max_excess FROM k""")
 def _(t):
-    return X.ripleys_k(scored_points(t), "score", 0.95).select("bin", r6("r", "r"), "pairs", F.round("l_excess", 4).alias("l_excess"))
+    return X.ripleys_k(scored_points(t), "score", 0.95).select("bin", r6("r", "r"), "pairs", F.round("l_excess", 4).alias("l_excess"), F.round("max_excess", 4).alias("max_excess"))
 
 
 @query("spatial_scan", f"""WITH {POINTS_SQL}, s AS (SELECT avg(score) AS m, var_pop(score) AS v, count(*) AS n FROM pts), d AS (SELECT a.target_id AS centre, b.score, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, b.target_id AS other FROM pts a, pts b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 40),
