@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skysift.session import cut
 
 #: Samples of a fingerprint: GROUPS rows of WIDTH each.
-GROUPS, WIDTH = 4, 8
+GROUPS, WIDTH = 8, 4
 #: Chunks of neighbouring documents for each shuffle partition.
 CHUNKS = 4
 EMPTY = "f" * 8 * GROUPS * WIDTH
