@@ -239,17 +239,60 @@ def bonferroni(p: Column, n: Column | float) -> Column:
     return F.least(F.lit(1.0), p * n)
 
 
+class Hypergeometric:
+    """Marked ones among ``drawn`` out of a population with ``marked`` ones, drawn without replacement.
+
+    Sums go outward from a value, each term from the one before by their ratio, over twelve standard deviations and 60 steps at most; what lies
+    beyond is below 1e-30 of the whole. So the work grows with the square root of the counts.
+    """
+
+    def __init__(self, population: Column, marked: Column, drawn: Column):
+        self.n, self.m, self.d = (c.cast("double") for c in (population, marked, drawn))
+        self.low, self.top = F.greatest(F.lit(0.0), self.d + self.m - self.n), F.least(self.m, self.d)
+        self.mean = self.d * self.m / self.n
+        self.variance = F.when(self.n > 1, self.mean * (1 - self.m / self.n) * (self.n - self.d) / (self.n - 1)).otherwise(F.lit(0.0))
+        self.reach = F.ceil(12.0 * F.sqrt(F.greatest(self.variance, F.lit(0.0)))) + 60.0
+        self.mode = F.least(F.greatest(F.floor((self.d + 1) * (self.m + 1) / (self.n + 2)).cast("double"), self.low), self.top)
+
+    def share(self, k: Column) -> Column:
+        """P(X = k)."""
+        inside = F.exp(ln_choose(self.m, k) + ln_choose(self.n - self.m, self.d - k) - ln_choose(self.n, self.d))
+        return F.when((k < self.low) | (k > self.top), F.lit(0.0)).otherwise(inside)
+
+    def up(self, i: Column) -> Column:
+        """P(X = i) over P(X = i - 1)."""
+        return (self.m - i + 1) * (self.d - i + 1) / (i * (self.n - self.m - self.d + i))
+
+    def at_least(self, k: Column) -> Column:
+        """P(X >= k), from the side of k on which the sum is small."""
+        k = F.least(F.greatest(k.cast("double"), self.low), self.top + 1)
+        upward = _sum_terms(self.share(k), lambda i: self.up(k + i), F.least(self.top - k, self.reach))
+        downward = _sum_terms(self.share(k - 1), lambda i: 1.0 / self.up(k - i), F.least(k - 1 - self.low, self.reach))
+        return F.when(k > self.top, F.lit(0.0)).when(k <= self.low, F.lit(1.0)).when(k > self.mode, clip(upward, 0, 1)).otherwise(clip(1.0 - downward, 0, 1))
+
+    def two_sided(self, k: Column) -> Column:
+        """Fisher's exact test: the probability of all values that are no likelier than ``k``."""
+        k = k.cast("double")
+        limit, above = self.share(k) * (1 + 1e-7), k > self.mode
+        own = F.when(above, self.at_least(k)).otherwise(1.0 - self.at_least(k + 1))
+        # the other side, from the mode outward; terms fall, so those under the limit are its end
+        room = F.when(above, self.mode - self.low).otherwise(self.top - self.mode)
+        steps = F.least(room, 2.0 * F.abs(k - self.mode) + self.reach).cast("int")
+        ratio = lambda i: F.when(above, 1.0 / self.up(self.mode - i + 1)).otherwise(self.up(self.mode + i))
+        every = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(self.share(self.mode).alias("term"), F.lit(0.0).alias("total"))
+
+        def step(acc, i):
+            term = acc["term"] * ratio(i)
+            return F.struct(term.alias("term"), (acc["total"] + F.when(term <= limit, term).otherwise(0.0)).alias("total"))
+
+        other = F.aggregate(every, start, step)["total"]
+        return F.when(limit >= self.share(self.mode), F.lit(1.0)).when((k < self.low) | (k > self.top), F.lit(0.0)).otherwise(clip(own + other, 0, 1))
+
+
 def hypergeometric_tail(k: Column, population: Column, marked: Column, drawn: Column) -> Column:
     """P(X >= k) when drawing without replacement."""
-    top = F.least(marked, drawn).cast("int")
-    low = F.greatest(k, F.lit(0), drawn + marked - population).cast("int")
-    base = ln_choose(population, drawn)
-    terms = F.transform(
-        F.sequence(low, top),
-        lambda i: F.exp(ln_choose(marked, i) + ln_choose(population - marked, drawn - i) - base),
-    )
-    total = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-    return F.when(low > top, F.lit(0.0)).otherwise(clip(total, 0, 1))
+    return Hypergeometric(population, marked, drawn).at_least(k)
 
 
 def beta_tails(a: Column, b: Column, x: Column) -> tuple[Column, Column]:

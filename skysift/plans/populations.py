@@ -269,15 +269,23 @@ def _(t):
     return tested.select("feature", "u", *(r6(c, c) for c in ("z", "p", "share_above", "strength", "detection")))
 
 
-@query("enrichment_tests", """WITH s AS (SELECT nation AS grp, count(*) AS drawn, count(*) FILTER (ruwe > 3) AS k FROM fx_targets GROUP BY 1), n AS (SELECT sum(drawn)::BIGINT AS pop, sum(k)::BIGINT AS marked, count(*) AS groups FROM s), x AS (SELECT * FROM s, n)
-    SELECT grp, k, drawn, round(list_sum(list_transform(range(k, least(drawn, marked) + 1), lambda i: exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(pop - marked + 1) - lgamma(drawn - i + 1) - lgamma(pop - marked - drawn + i + 1) - lgamma(pop + 1) + lgamma(drawn + 1) + lgamma(pop - drawn + 1)))), 6) AS p_hyper,
-    round(list_sum(list_transform(range(k, drawn + 1), lambda i: exp(lgamma(drawn + 1) - lgamma(i + 1) - lgamma(drawn - i + 1) + i*ln(marked/pop) + (drawn - i)*ln(1 - marked/pop)))), 6) AS p_binom, round(drawn*marked/pop, 6) AS mean FROM x""")
+_SHARE = "exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(pop - marked + 1) - lgamma(drawn - i + 1) - lgamma(pop - marked - drawn + i + 1) - lgamma(pop + 1) + lgamma(drawn + 1) + lgamma(pop - drawn + 1))"
+
+
+@query("enrichment_tests", f"""WITH s AS (SELECT nation AS grp, count(*) AS drawn, count(*) FILTER (ruwe > 3) AS k FROM fx_targets GROUP BY 1), n AS (SELECT sum(drawn)::BIGINT AS pop, sum(k)::BIGINT AS marked FROM s), x AS (SELECT * FROM s, n),
+    e AS (SELECT x.*, i, {_SHARE} AS share FROM x, LATERAL (SELECT unnest(range(greatest(0, drawn + marked - pop), least(drawn, marked) + 1)) AS i) r),
+    h AS (SELECT grp, k, drawn, pop, marked, max(share) FILTER (i = k) AS p_exact, sum(share) FILTER (i >= k) AS p_hyper, sum(share*i) AS mean, sum(share*i*i) - pow(sum(share*i), 2) AS variance FROM e GROUP BY ALL),
+    f AS (SELECT e.grp, sum(share) FILTER (share <= p_exact*(1 + 1e-7)) AS p_fisher FROM e JOIN h USING (grp) GROUP BY 1)
+    SELECT grp, k, drawn, round(p_exact, 9) AS p_exact, round(p_hyper, 9) AS p_hyper, round(least(1, p_fisher), 7) AS p_fisher, round(least(1, 6*p_hyper), 8) AS p_corrected, round(mean, 6) AS mean, round(variance, 6) AS variance, round((k - mean)/sqrt(variance), 6) AS sigma,
+    round(list_sum(list_transform(range(k, drawn + 1), lambda i: exp(lgamma(drawn + 1) - lgamma(i + 1) - lgamma(drawn - i + 1) + i*ln(marked/pop) + (drawn - i)*ln(1 - marked/pop)))), 6) AS p_binom FROM h JOIN f USING (grp)""")
 def _(t):
     per = t.targets.groupBy(F.col("nation").alias("grp")).agg(F.count("*").alias("drawn"), F.count_if(F.col("ruwe") > 3).alias("k"))
     total = F.broadcast(t.targets.agg(F.count("*").alias("pop"), F.count_if(F.col("ruwe") > 3).alias("marked")))  # one row
     x = per.crossJoin(total)
     k, d, pop, m = (F.col(c) for c in ("k", "drawn", "pop", "marked"))
-    return x.select("grp", "k", "drawn", r6(N.hypergeometric_tail(k, pop, m, d), "p_hyper"), r6(N.binomial_tail(k, d, m / pop), "p_binom"), r6(d * m / pop, "mean"))
+    h = N.Hypergeometric(pop, m, d)
+    return x.select("grp", "k", "drawn", F.round(h.share(k.cast("double")), 9).alias("p_exact"), F.round(h.at_least(k), 9).alias("p_hyper"), F.round(h.two_sided(k), 7).alias("p_fisher"),
+                    F.round(N.bonferroni(h.at_least(k), 6.0), 8).alias("p_corrected"), r6(h.mean, "mean"), r6(h.variance, "variance"), r6((k - h.mean) / F.sqrt(h.variance), "sigma"), r6(N.binomial_tail(k, d, m / pop), "p_binom"))
 
 
 @query("variable_excess", f"""WITH d AS (SELECT a.id, abs(b.flux - a.flux)/sqrt(pow(coalesce(a.flux_err, 0.5), 2) + pow(coalesce(b.flux_err, 0.3), 2)) AS s, b.flux > a.flux AS up FROM fx_epoch1 a JOIN fx_epoch2 b USING (id)),

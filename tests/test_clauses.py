@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from skysift.functions import numeric as N
 from skysift.operators import stats
 from skysift.plans.detectors import stacked_anomalies
 from skysift.sources.sinks import without_nan
@@ -37,3 +38,28 @@ def test_stacking_counts_channels(spark):
     assert rows[0]["target_id"] == 999 and rows[0]["k"] == 2 and rows[0]["channels"] == ["one", "two"]
     assert rows[0]["convergence"] == pytest.approx(rows[0]["mean"] * 10) and all(r["k"] == 1 for r in rows[1:])
     assert 1 <= len(rows) <= 301 * 0.01 + 202 * 0.01 + 3
+
+
+def test_exact_enrichment(spark):
+    """Against exact fractions of binomial coefficients, at ends, at ties and far out; counts of a million stay quick."""
+    from fractions import Fraction
+    from math import comb
+
+    rows = [(n, m, d, k) for n, m, d in ((20, 7, 9), (777, 7, 53), (50, 25, 25), (30, 28, 20), (5, 0, 3), (400, 200, 150)) for k in range(max(0, m + d - n) - 1, min(m, d) + 2)]
+    rows += [(10**6, 5 * 10**5, 10**5, 50_000 + x) for x in (-900, 0, 10, 700)]
+    df = spark.createDataFrame(rows, "n long, m long, d long, k long")
+    h = N.Hypergeometric(F.col("n"), F.col("m"), F.col("d"))
+    k = F.col("k").cast("double")
+    for r in df.select("n", "m", "d", "k", h.share(k).alias("share"), h.at_least(k).alias("tail"), h.two_sided(k).alias("fisher"), h.mean.alias("mean"), h.variance.alias("variance")).collect():
+        if r["n"] == 10**6:
+            z = (r["k"] - 0.5 - r["mean"]) / math.sqrt(r["variance"])
+            assert r["tail"] == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=2e-2, abs=1e-6)
+            continue
+        whole = comb(r["n"], r["d"])
+        every = {i: Fraction(comb(r["m"], i) * comb(r["n"] - r["m"], r["d"] - i), whole) for i in range(max(0, r["m"] + r["d"] - r["n"]), min(r["m"], r["d"]) + 1)}
+        here = every.get(r["k"], Fraction(0))
+        assert r["share"] == pytest.approx(float(here), rel=1e-9, abs=1e-300)
+        assert r["tail"] == pytest.approx(float(sum(v for i, v in every.items() if i >= r["k"])), rel=1e-8, abs=1e-15)
+        assert r["fisher"] == pytest.approx(float(sum(v for v in every.values() if v <= here)) if here else 0.0, rel=1e-6, abs=1e-12)
+        mean = sum(i * v for i, v in every.items())
+        assert r["mean"] == pytest.approx(float(mean)) and r["variance"] == pytest.approx(float(sum(i * i * v for i, v in every.items()) - mean * mean), abs=1e-9)
