@@ -161,15 +161,18 @@ def _(t):
 HALF_SQL = "SELECT target_id, {v} AS v, row_number() OVER (PARTITION BY target_id ORDER BY mjd, epoch_id) > count(*) OVER (PARTITION BY target_id)//2 AS late FROM {src}"
 
 
-@query("early_late_shift", f"WITH h AS ({HALF_SQL.format(v='mag', src='fx_optical_epochs')}) SELECT target_id, round(median(v) FILTER (late) - median(v) FILTER (NOT late), 6) AS shift FROM h GROUP BY 1")
+@query("early_late_shift", f"WITH h AS ({HALF_SQL.format(v='mag', src='fx_optical_epochs')}) SELECT target_id, round(median(v) FILTER (late) - median(v) FILTER (NOT late), 6) AS shift, abs(median(v) FILTER (late) - median(v) FILTER (NOT late)) > 3*stddev_pop(v)/sqrt(count(*)//2) AS is_significant FROM h GROUP BY 1")
 def _(t):
-    return T.halves_shift(t.optical_epochs, "target_id", ["mjd", "epoch_id"], "mag").select("target_id", r6("shift", "shift"))
+    spread = t.optical_epochs.groupBy("target_id").agg(F.stddev_pop("mag").alias("std"), F.floor(F.count("mag") / 2).alias("half"))
+    shift = T.halves_shift(t.optical_epochs, "target_id", ["mjd", "epoch_id"], "mag").join(spread, "target_id")
+    significant = F.when(F.col("half") > 0, F.abs("shift") > 3.0 * F.col("std") / F.sqrt("half"))
+    return shift.select("target_id", r6("shift", "shift"), significant.alias("is_significant"))
 
 
-@query("colour_evolution", f"WITH c AS (SELECT target_id, epoch_id, mjd, w1 - w2 AS c FROM fx_ir_epochs WHERE w2 IS NOT NULL), h AS ({HALF_SQL.format(v='c', src='c')}) SELECT target_id, round(median(v) FILTER (late) - median(v) FILTER (NOT late), 6) AS shift FROM h GROUP BY 1")
+@query("colour_evolution", f"WITH c AS (SELECT target_id, epoch_id, mjd, w1 - w2 AS c FROM fx_ir_epochs WHERE w2 IS NOT NULL), h AS ({HALF_SQL.format(v='c', src='c')}) SELECT target_id, round(median(v) FILTER (late) - median(v) FILTER (NOT late), 6) AS shift, abs(median(v) FILTER (late) - median(v) FILTER (NOT late)) > 0.02 AS is_real FROM h GROUP BY 1")
 def _(t):
     c = t.ir_epochs.filter("w2 IS NOT NULL").withColumn("c", F.col("w1") - F.col("w2"))
-    return T.halves_shift(c, "target_id", ["mjd", "epoch_id"], "c").select("target_id", r6("shift", "shift"))
+    return T.halves_shift(c, "target_id", ["mjd", "epoch_id"], "c").select("target_id", r6("shift", "shift"), (F.abs("shift") > 0.02).alias("is_real"))
 
 
 @query("epoch_linear_trend", "SELECT target_id, round(regr_slope(mag, mjd)*(max(mjd) - min(mjd)), 6) AS change, abs(regr_slope(mag, mjd)*(max(mjd) - min(mjd))) > 1*stddev_pop(mag) AS is_trend FROM fx_optical_epochs GROUP BY 1 HAVING count(*) >= 10")
