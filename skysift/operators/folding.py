@@ -126,6 +126,9 @@ def box_search(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
                     out.append((row[key], power, period * row["bin"], width * row["bin"], depth, row["start"] + (first + width / 2) * row["bin"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), *(pa.array([r[c] for r in out], pa.float64()) for c in range(1, 6))], [key, *FOUND])
 
-    found = dealt.select(*names).repartition(key, "part").mapInArrow(search, f"{key} {dict(df.dtypes)[key]}, {', '.join(f'{c} double' for c in FOUND)}")
+    # a stated number, as rows are few and each is a lot of arithmetic: small partitions must not be put together
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = dealt.select(*names).repartition(tasks, key, "part").mapInArrow(search, f"{key} {dict(df.dtypes)[key]}, {', '.join(f'{c} double' for c in FOUND)}")
     best = F.max(F.struct("power", (-F.col("period")).alias("p"), (-F.col("duration")).alias("d"), "period", "duration", "depth", "t0")).alias("b")
     return found.groupBy(key).agg(best).select(key, *(F.col(f"b.{c}").alias(c) for c in FOUND))

@@ -77,8 +77,8 @@ def test_parts_of_a_long_series(spark, curves, monkeypatch):
 @pytest.mark.parametrize("period", [7.3, 23.456, 61.7, 148.9])
 def test_planted_periods(spark, period):
     """Dips of a long series are found at any period, as every one lies within a drift of a third of a box of some trial."""
-    t = np.arange(0, 900, 0.2)
-    x = 1 + np.sin(t * 7919.0) * 2e-4 - 0.05 * (t % period < 0.5)
+    t = np.arange(0, 400, 0.4)
+    x = 1 + np.sin(t * 7919.0) * 2e-4 - 0.05 * (t % period < 1.1)
     df = spark.createDataFrame([(1, a, b) for a, b in zip(t.tolist(), x.tolist())], "target_id int, time double, flux double")
     found = folding.box_search(df, "target_id", "time", "flux")
     best = found.first()
