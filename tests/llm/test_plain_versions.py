@@ -1,5 +1,6 @@
 """Site quality, secrets, toxicity and the passage cut against plain Python versions."""
 
+import hashlib
 import math
 import random
 import re
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skysift.llm import automaton, credentials, quality, toxicity
+from skysift.llm.queries import QUERIES
 
 
 def plain_quality(rows):
@@ -138,3 +140,21 @@ def test_short_benchmark_items_are_cut(spark, tmp_path):
     assert "gamma" not in found[1] and found[1].startswith(clean) and found[1].endswith(clean)
     assert (found[2], found[3], found[4], found[5]) == (docs[1][1], docs[2][1], None, "")
     assert automaton.without_runs(b"a b c", [[0, 1]], 3, 5, 0.5) == "a b c"
+
+
+def test_secrets_query(spark, tmp_path):
+    """The query's digest columns: texts with several spans of one kind and none of another, repeated and null ids."""
+    rng = random.Random(4)
+    pieces = ["password=abcdef12", "token: 'x1y2z3'", "secret=abc", "AKIA" + "B7" * 10, "0123456789abcdef" * 2, "user=ann", "é漢", "plain words", "ſecret=abcdefgh", "\n"]
+    texts = ["password=abcdef token=abcdef api_key=abcdef", "AKIA" + "A" * 16, "f" * 24 + " " + "e" * 30, "", None]
+    texts += [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    rows = [*enumerate(texts), (0, "AKIA" + "A" * 16), (None, "passwd=abcdef")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def wanted(i, text):
+        base = [s for s in plain_spans(text) if s[1] < 3]
+        joined = ",".join(f"{credentials.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        return (i, *(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+
+    found = QUERIES["op9_secrets"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(tuple, found), key=str) == sorted((wanted(i, t) for i, t in rows), key=str)
