@@ -235,7 +235,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "neutrinos")
     t.neutrinos.select("event_id", F.col("mjd").alias("Time"), F.col("ra").alias("RA[deg]"), F.col("dec").alias("Dec[deg]"),
-                       F.log10("energy_gev").alias("log10(E/GeV)"), F.col("angular_err").alias("AngErr")).write.option("header", True).csv(path)
+                       F.when(F.col("energy_gev") == 0, float("-inf")).otherwise(F.log10("energy_gev")).alias("log10(E/GeV)"), F.col("angular_err").alias("AngErr")).write.option("header", True).csv(path)
     df = R.event_csv(t.spark, path, keep=["event_id"])
     return df.select(F.col("event_id").cast("bigint").alias("event_id"), F.round("mjd", 4).alias("mjd"), F.round("ra", 4).alias("ra"),
                      F.round("dec", 4).alias("dec"), F.round("energy_gev", 2).alias("energy_gev"), "angular_err")

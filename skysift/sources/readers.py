@@ -88,7 +88,7 @@ EVENT_HEADERS = {
 
 
 def event_csv(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Event table from CSV with any accepted header. Energies below 20 are decimal logarithms."""
+    """Event table from CSV with any accepted header. Energies below 20 are decimal logarithms, minus infinity that of zero."""
     raw = spark.read.option("header", True).option("comment", "#").csv(path)
     by_name = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
     found = {t: by_name[n] for t, ns in EVENT_HEADERS.items() for n in reversed(ns) if n in by_name}
@@ -100,9 +100,11 @@ def event_csv(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataF
         return clean(F.col(f"`{found[t]}`").try_cast("double")) if t in found else F.lit(default)
 
     e = number("energy", 0.0)
+    if "energy" in found:
+        zero = F.col(f"`{found['energy']}`").try_cast("double") == float("-inf")
     return raw.select(
         *keep, number("mjd", None).alias("mjd"), number("ra", None).alias("ra"), number("dec", None).alias("dec"),
-        F.when(e < 20, F.pow(F.lit(10.0), e)).otherwise(e).alias("energy_gev") if "energy" in found else e.alias("energy_gev"),
+        F.when(zero, 0.0).when(e < 20, F.pow(F.lit(10.0), e)).otherwise(e).alias("energy_gev") if "energy" in found else e.alias("energy_gev"),
         number("angular_err", 1.0).alias("angular_err"),
     )
 

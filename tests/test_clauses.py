@@ -10,6 +10,7 @@ from skysift.functions import numeric as N
 from skysift.operators import stats
 from skysift.plans.detectors import stacked_anomalies
 from skysift.plans.tables import Tables, with_fixtures
+from skysift.sources import readers
 from skysift.sources.sinks import without_nan
 
 
@@ -74,3 +75,9 @@ def test_positions_are_the_databases(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     wanted = con.execute(with_fixtures("SELECT dec, w3_dec FROM fx_photometry ORDER BY target_id")).fetchall()
     assert [tuple(r) for r in Tables(spark, str(tmp_path)).photometry.orderBy("target_id").select("dec", "w3_dec").collect()] == wanted
+
+
+def test_event_without_energy(spark, tmp_path):
+    """The decimal logarithm of a zero energy is minus infinity."""
+    (tmp_path / "events.csv").write_text("Time,RA[deg],Dec[deg],log10(E/GeV)\n57000,1,2,-Infinity\n57001,3,4,2\n57002,5,6,\n57003,7,8,NaN\n")
+    assert [r["energy_gev"] for r in readers.event_csv(spark, str(tmp_path / "events.csv")).orderBy("mjd").collect()] == [0.0, 100.0, None, None]
