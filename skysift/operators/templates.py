@@ -47,7 +47,8 @@ N_DETECTION = 10
 def source_patterns(scores: DataFrame, key: str = "target_id", threshold: float = 0.3) -> DataFrame:
     """One row per source with a score column per detection channel and the array of active ones."""
     channels = sorted({c for s in SCENARIOS for c in s.predicted} | {"abundance_anomaly"})
-    wide = scores.filter(F.col("channel") != PRIOR).groupBy(key).pivot("channel", channels).agg(F.max("score"))
+    # Maxima in one hash aggregate: a pivot groups by source and channel first and sorts its rows.
+    wide = scores.filter(F.col("channel") != PRIOR).groupBy(key).agg(*[F.max(F.when(F.col("channel") == c, F.col("score"))).alias(c) for c in channels])
     active = F.array_compact(F.array(*[F.when(F.col(c) > threshold, F.lit(c)) for c in channels]))
     return wide.withColumn("active", active).withColumn("n_active", F.size("active"))
 

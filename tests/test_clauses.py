@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
 from skysift.operators import stats
+from skysift.operators.templates import source_patterns
 from skysift.plans.detectors import stacked_anomalies
 from skysift.plans.tables import Tables, with_fixtures
 from skysift.sources import readers
@@ -81,3 +82,13 @@ def test_event_without_energy(spark, tmp_path):
     """The decimal logarithm of a zero energy is minus infinity."""
     (tmp_path / "events.csv").write_text("Time,RA[deg],Dec[deg],log10(E/GeV)\n57000,1,2,-Infinity\n57001,3,4,2\n57002,5,6,\n57003,7,8,NaN\n")
     assert [r["energy_gev"] for r in readers.event_csv(spark, str(tmp_path / "events.csv")).orderBy("mjd").collect()] == [0.0, 100.0, None, None]
+
+
+def test_wide_scores_take_one_hash_aggregate(spark):
+    """Channels become columns without a second grouping and without sorted rows, which are kept in a task's memory."""
+    rows = [(1, "ir_excess", 0.5), (1, "ir_excess", 0.7), (1, "uv_anomaly", None), (2, "hr_anomaly", 0.2), (2, "habitable_zone_planet", 0.9)]
+    wide = source_patterns(spark.createDataFrame(rows, "target_id int, channel string, score double"))
+    plan = spark._jvm.PythonSQLUtils.explainString(wide._jdf.queryExecution(), "simple")
+    found = {r["target_id"]: r for r in wide.collect()}
+    assert (found[1]["ir_excess"], found[1]["uv_anomaly"], found[1]["active"], found[2]["hr_anomaly"], found[2]["n_active"]) == (0.7, None, ["ir_excess"], 0.2, 0)
+    assert plan.count("Exchange") == 1 and "Sort" not in plan
