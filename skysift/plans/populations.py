@@ -105,8 +105,8 @@ def _(t):
 
 @query("data_coverage_table", "SELECT target_id, " + ", ".join(f"max((channel = '{c}' AND score IS NOT NULL)::INT) AS {c}" for c in CHANNELS) + " FROM fx_scores GROUP BY 1")
 def _(t):
-    present = t.scores.withColumn("has", F.col("score").isNotNull().cast("int"))
-    return present.groupBy("target_id").pivot("channel", list(CHANNELS)).agg(F.max("has"))
+    has = F.col("score").isNotNull().cast("int")
+    return t.scores.groupBy("target_id").agg(*[F.max(F.when(F.col("channel") == c, has)).alias(c) for c in CHANNELS])
 
 
 _FEATURES = ("g", "bp_rp", "ruwe")

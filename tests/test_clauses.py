@@ -10,6 +10,7 @@ from skysift.functions import numeric as N
 from skysift.operators import stats
 from skysift.operators.templates import source_patterns
 from skysift.plans.detectors import stacked_anomalies
+from skysift.plans.registry import QUERIES
 from skysift.plans.tables import Tables, with_fixtures
 from skysift.sources import readers
 from skysift.sources.sinks import without_nan
@@ -92,3 +93,9 @@ def test_wide_scores_take_one_hash_aggregate(spark):
     found = {r["target_id"]: r for r in wide.collect()}
     assert (found[1]["ir_excess"], found[1]["uv_anomaly"], found[1]["active"], found[2]["hr_anomaly"], found[2]["n_active"]) == (0.7, None, ["ir_excess"], 0.2, 0)
     assert plan.count("Exchange") == 1 and "Sort" not in plan
+
+
+def test_coverage_table_takes_one_hash_aggregate(spark):
+    table = QUERIES["data_coverage_table"](Tables(spark, "/root/testdata/sf0.001"))
+    plan = spark._jvm.PythonSQLUtils.explainString(table._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange") == 1 and "Sort" not in plan
