@@ -1,13 +1,14 @@
 """Clauses of single operators on small inputs."""
 
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
-from skysift.operators import stats
+from skysift.operators import spatial, stats
 from skysift.operators.templates import source_patterns
 from skysift.plans.detectors import stacked_anomalies
 from skysift.plans.registry import QUERIES
@@ -99,3 +100,26 @@ def test_coverage_table_takes_one_hash_aggregate(spark):
     table = QUERIES["data_coverage_table"](Tables(spark, "/root/testdata/sf0.001"))
     plan = spark._jvm.PythonSQLUtils.explainString(table._jdf.queryExecution(), "simple")
     assert plan.count("Exchange") == 1 and "Sort" not in plan
+
+
+@pytest.mark.parametrize("metric", ["sphere", "flat"])
+def test_morans_i_by_groups(spark, monkeypatch, metric):
+    """Many groups, copies of a place, places closer than the floor and at a pole, against all pairs one by one."""
+    monkeypatch.setattr(spatial, "GROUP", 30)
+    rng = random.Random(3)
+    rows = [(rng.uniform(0, 360), rng.uniform(-90, 90), rng.random()) for _ in range(150)] + [(10.0, 20.0, 0.9)] * 70
+    rows += [(10.0 + 1e-7 * i, 20.0, 0.8) for i in range(20)] + [(5.0, 90.0, 0.1), (200.0, 90.0, 0.3), (None, 1.0, 0.5), (1.0, 1.0, None)]
+    got = spatial.morans_i(spark.createDataFrame(rows, "ra double, dec double, s double"), "s", metric).first()
+    known = [r for r in rows if None not in r]
+    mean = sum(s for *_, s in known) / len(known)
+    total = product = 0.0
+    for i, (r1, d1, s1) in enumerate(known):
+        for j, (r2, d2, s2) in enumerate(known):
+            a, b = math.radians(d1), math.radians(d2)
+            h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(r2 - r1) / 2) ** 2
+            d = math.hypot(r1 - r2, d1 - d2) if metric == "flat" else math.degrees(2 * math.asin(min(1.0, math.sqrt(h))))
+            if i != j and d > 0:
+                total += 1 / max(d, 0.01)
+                product += (s1 - mean) * (s2 - mean) / max(d, 0.01)
+    variance = sum((s - mean) ** 2 for *_, s in known) / len(known)
+    assert got["n"] == len(known) and got["morans_i"] == pytest.approx(product / (total * variance), abs=1e-9)
