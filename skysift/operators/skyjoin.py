@@ -11,14 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions import sphere
+from skysift.operators.ordered import with_position
+from skysift.session import cut
 
 ARCSEC = 1 / 3600.0
 ARCMIN = 1 / 60.0
 HOT_ROWS = 1_000_000
+#: Rows of a side that meet in one group of ``counts_within``, pairs compared at once there, and a hair (degrees) around a cone that is compared exactly.
+ZONE_ROWS, AT_ONCE, HAIR = 1 << 18, 1 << 20, 2e-6
+#: First candidates of ``best_within``, and how much more each further tier holds.
+FIRST_TIER, TIER_GROWTH = 4096, 8
 
 
 def _zone(dec: Column, cell: float) -> Column:
@@ -172,3 +180,107 @@ def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """First k rows of each key. Spark keeps only k rows per task and key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def best_within(left: DataFrame, right: DataFrame, radius: float, k: int, *, left_key: str, order: Sequence[str], prefix: str = "r_") -> DataFrame:
+    """The first k rows of the right side inside ``radius`` of each left key, in the order of the columns ``order``; pairs, as ``pairs`` gives them.
+
+    The right side is put in order once. Left keys meet its first rows only; those that find fewer than k go on to a tier TIER_GROWTH
+    times as long, in the end to all. So pairs grow with left keys times k, not with both sides. Rows without a position are left out.
+    """
+    rows = cut(with_position(right.filter("ra IS NOT NULL AND dec IS NOT NULL"), *order, name="_place"))
+    n, length, found = rows.count(), FIRST_TIER, None
+    by = [F.col(f"{prefix}{o}") for o in order]
+    while True:
+        met = pairs(left, rows.filter(F.col("_place") < length), radius, prefix=prefix)
+        met = cut(best_per_group(met, [left_key], by, k).drop(f"{prefix}_place"))
+        if length >= n:
+            return found.unionByName(met) if found is not None else met
+        done = met.groupBy(left_key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select(left_key)
+        kept = met.join(done, left_key, "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        left = cut(left.join(done, left_key, "left_anti"))
+        if left.isEmpty():
+            return found
+        length *= TIER_GROWTH
+
+
+def _half_width(cos_r: float, dec0: np.ndarray, dec: np.ndarray) -> np.ndarray:
+    """Degrees of right ascension that a cone around ``dec0`` spans to each side at ``dec``; -1 where it does not reach."""
+    at = (cos_r - np.sin(dec0) * np.sin(dec)) / np.maximum(np.cos(dec0) * np.cos(dec), 1e-300)
+    return np.where(at > 1, -1.0, np.degrees(np.arccos(np.clip(at, -1, 1))))
+
+
+def _zone_counts(ra: np.ndarray, dec: np.ndarray, ra0: np.ndarray, dec0: np.ndarray, radius: float) -> np.ndarray:
+    """How many of the points (``ra`` sorted, 0 to 360) lie within ``radius`` of each centre: ranges that are inside as a whole at once, their fringes one by one."""
+    n = len(ra)
+    around = np.concatenate([ra - 360.0, ra, ra + 360.0])
+    low, high, d0 = np.radians(dec.min()), np.radians(dec.max()), np.radians(dec0)
+    if radius < 90:
+        cos_r = np.cos(np.radians(radius))
+        widest = np.arcsin(np.clip(np.sin(d0) / cos_r, -1, 1))
+        ends = [_half_width(cos_r, d0, x) for x in (low, high)]
+        inner = np.minimum(*ends) - HAIR
+        outer = np.maximum(np.maximum(*ends), _half_width(cos_r, d0, np.clip(widest, low, high))) + HAIR
+    else:
+        inner, outer = np.full(len(ra0), -1.0), np.full(len(ra0), 180.0)
+    inside = np.maximum(inner, 0.0)
+    a, b = np.searchsorted(around, ra0 - inside, "left"), np.searchsorted(around, ra0 + inside, "right")
+    b = np.where(inner > 0, b, a)
+    b = np.where(inner >= 180 - 2 * HAIR, a, b)  # nearly whole circles are compared one by one
+    total = b - a
+    every = (outer >= 180) | (inner >= 180 - 2 * HAIR)
+    first, last = np.searchsorted(around, ra0 - outer, "left"), np.searchsorted(around, ra0 + outer, "right")
+    starts = np.concatenate([np.where(every, b, first), b])
+    stops = np.concatenate([np.where(every, a + n, a), np.where(every, b, last)])
+    sizes = np.where(np.tile(outer, 2) > 0, np.maximum(stops - starts, 0), 0)
+    sizes = np.minimum(sizes, n)
+    who = np.tile(np.arange(len(ra0)), 2)
+    edges = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + AT_ONCE, "right")))
+        part = sizes[at:end]
+        i = np.repeat(who[at:end], part)
+        j = (np.repeat(starts[at:end] - np.concatenate(([0], np.cumsum(part)[:-1])), part) + np.arange(part.sum())) % n
+        d1, d2 = d0[i], np.radians(dec[j])
+        h = np.sin((d2 - d1) / 2) ** 2 + np.cos(d1) * np.cos(d2) * np.sin((np.radians(ra[j]) - np.radians(ra0[i])) / 2) ** 2
+        near = np.degrees(2.0 * np.arcsin(np.sqrt(np.minimum(1.0, h)))) <= radius
+        total = total + np.bincount(i[near], minlength=len(ra0))
+        at = end
+    return total
+
+
+def counts_within(left: DataFrame, right: DataFrame, radii: dict[str, float], *, left_key: str) -> DataFrame:
+    """``left_key`` and for each name of ``radii`` the number of right rows inside that radius (degrees); keys with none inside the largest are left out.
+
+    The right side is dealt into declination zones, narrower the more rows it has, and each left row is copied to the zones its largest cone
+    reaches. In a zone sorted by right ascension a cone holds one range; only the points at its fringe are compared one by one, so pairs are never
+    rows and a left row's work grows with the square root of the right side's density. Crowded zones are dealt into several groups.
+    """
+    spark = left.sparkSession
+    right = right.select((F.pmod("ra", F.lit(360.0))).alias("_rra"), F.col("dec").alias("_rdec"), F.lit(0).alias("_rkey")).dropna()
+    left = left.select(F.col(left_key).alias("_key"), F.pmod("ra", F.lit(360.0)).alias("_lra"), F.col("dec").alias("_ldec")).filter("_lra IS NOT NULL AND _ldec IS NOT NULL")
+    zones = int(min(1800, max(30, right.count() ** 0.5 / 4)))
+    height, reach = 180.0 / zones, max(radii.values())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rr = right.withColumn("_zone", _zone(F.col("_rdec"), height)).withColumn("_bucket", F.lit(0))
+    spread = F.sequence(_zone(F.col("_ldec") - reach - 1e-6, height), _zone(F.col("_ldec") + reach + 1e-6, height))
+    ll = left.withColumn("_zone", F.explode(spread)).withColumn("_bucket", F.lit(0)).withColumn("_salt", F.xxhash64("_key"))
+    ll, rr = _split_hot(ll, rr, ZONE_ROWS)
+    group = ["_zone", "_left_part", "_right_part"]
+    ll = ll.select(*group, "_key", "_lra", "_ldec").repartition(tasks, *group)
+    rr = rr.select(*[F.col(c).alias(c) for c in (*group, "_rra", "_rdec")]).repartition(tasks, *group)
+
+    def counted(hosts: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"_key": hosts["_key"]})
+        points = points.sort_values("_rra")
+        ra, dec = points["_rra"].to_numpy(float), points["_rdec"].to_numpy(float)
+        for name, radius in radii.items():
+            known = len(ra) and len(hosts)
+            out[name] = _zone_counts(ra, dec, hosts["_lra"].to_numpy(float), hosts["_ldec"].to_numpy(float), radius) if known else 0
+        return out[(out[list(radii)] > 0).any(axis=1)]
+
+    shape = f"_key {dict(left.dtypes)['_key']}, " + ", ".join(f"`{c}` bigint" for c in radii)
+    found = ll.groupBy(*group).cogroup(rr.groupBy(*group)).applyInPandas(counted, shape)
+    return found.groupBy(F.col("_key").alias(left_key)).agg(*[F.sum(c).alias(c) for c in radii])

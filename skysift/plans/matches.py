@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import sphere as S
 from skysift.operators.associations import epoch_changes
-from skysift.operators.skyjoin import ARCSEC, best_per_group, nearest, pairs, without_nearby
+from skysift.operators.skyjoin import ARCSEC, best_within, nearest, pairs, without_nearby
 from skysift.plans import sqltext as Q
 from skysift.plans.catalogs import near_sql
 from skysift.plans.registry import query
@@ -181,8 +181,8 @@ def _(t):
 
 @query("top_sources_per_position", f"SELECT host_id, source_id, g FROM ({Q.cone('fx_hosts', 'fx_pool', '8e0', 'host_id', 'a.host_id, b.source_id, b.g', zone=8)}) QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY g, source_id) <= 5")
 def _(t):
-    df = pairs(t.hosts.select("host_id", "ra", "dec"), t.pool.select("source_id", "ra", "dec", "g"), 8.0)
-    return best_per_group(df, ["host_id"], [F.col("r_g"), F.col("r_source_id")], 5).select("host_id", F.col("r_source_id").alias("source_id"), F.col("r_g").alias("g"))
+    df = best_within(t.hosts.select("host_id", "ra", "dec"), t.pool.select("source_id", "ra", "dec", "g"), 8.0, 5, left_key="host_id", order=["g", "source_id"])
+    return df.select("host_id", F.col("r_source_id").alias("source_id"), F.col("r_g").alias("g"))
 
 
 @query("batched_positions", f"SELECT host_id AS position_id, count(*) AS n_sources FROM ({Q.cone('fx_hosts', 'fx_pool', '6e0', 'host_id', 'a.host_id', zone=6)}) GROUP BY 1")
