@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import sphere as S
 from skysift.operators.associations import epoch_changes
-from skysift.operators.skyjoin import ARCSEC, best_within, nearest, pairs, without_nearby
+from skysift.operators.skyjoin import ARCSEC, best_within, counts_within, nearest, pairs, without_nearby
 from skysift.plans import sqltext as Q
 from skysift.plans.catalogs import near_sql
 from skysift.plans.registry import query
@@ -187,5 +187,4 @@ def _(t):
 
 @query("batched_positions", f"SELECT host_id AS position_id, count(*) AS n_sources FROM ({Q.cone('fx_hosts', 'fx_pool', '6e0', 'host_id', 'a.host_id', zone=6)}) GROUP BY 1")
 def _(t):
-    df = pairs(t.hosts.select(F.col("host_id").alias("position_id"), "ra", "dec"), t.pool.select("ra", "dec"), 6.0)
-    return df.groupBy("position_id").agg(F.count("*").alias("n_sources"))
+    return counts_within(t.hosts.select(F.col("host_id").alias("position_id"), "ra", "dec"), t.pool.select("ra", "dec"), {"n_sources": 6.0}, left_key="position_id")
