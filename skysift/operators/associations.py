@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
 from skysift.operators.ordered import neighbours, with_position
-from skysift.operators.skyjoin import ARCMIN, collapse_copies, count_within, nearest, pairs
+from skysift.operators.skyjoin import ARCMIN, collapse_copies, count_within, counts_within, nearest, pairs
 from skysift.session import cut
 
 FULL_SKY = 41253.0  # square degrees
@@ -49,10 +49,8 @@ def gamma_hosts(sources: DataFrame, hosts: DataFrame, max_arcmin: float = 10.0,
 
 def neutrino_excess(hosts: DataFrame, events: DataFrame, radius: float = 2.0) -> DataFrame:
     """Event counts around each host against a ring of two to five radii, in one aggregate."""
-    found = pairs(hosts.select("host_id", "ra", "dec"), events.select("ra", "dec"), 5 * radius)
-    sep = F.col("sep_deg")
-    counts = found.groupBy("host_id").agg(
-        F.count_if(sep <= radius).alias("n_observed"), F.count_if(sep > 2 * radius).alias("n_ring"))
+    found = counts_within(hosts.select("host_id", "ra", "dec"), events.select("ra", "dec"), {"n_observed": radius, "_inner": 2 * radius, "_outer": 5 * radius}, left_key="host_id")
+    counts = found.select("host_id", "n_observed", (F.col("_outer") - F.col("_inner")).alias("n_ring"))
     totals = one_row(events, n_events=F.count("*")).crossJoin(one_row(hosts, n_hosts=F.count("*")))
     area, ring = math.pi * radius ** 2, math.pi * (25 - 4) * radius ** 2
     expected = F.when(F.col("n_ring") > 5, F.col("n_ring") / F.lit(ring) * area).otherwise(F.col("n_events") / F.lit(FULL_SKY) * area)
