@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # Hart's rational approximation of the normal tail (published coefficients).
 HART_TOP = (
@@ -168,6 +171,44 @@ def _integral(start: Column, end: Column, density) -> Column:
     return F.abs(end - start) * total
 
 
+@pandas_udf(DoubleType())
+def _beyond(m: pd.Series, x: pd.Series) -> pd.Series:
+    """Integral of the density with mode m, relative to it, from x away from the mode; null where either is."""
+    m, x = m.to_numpy(float), x.to_numpy(float)
+    with np.errstate(all="ignore"):
+        s = np.sqrt(m)
+        far = np.where(x > m, np.maximum(m + 12.0 * s, x + 8.0 * s), np.maximum(0.0, np.minimum(m - 8.0 * s, x - 6.0 * s)))
+        total = np.zeros(len(m))
+        for node, weight in zip(NODES, WEIGHTS):
+            off = (x + (far - x) * node - m) / m
+            total += weight * np.exp(m * (np.log1p(off) - off))
+        return pd.Series(np.abs(far - x) * total)
+
+
+@pandas_udf(DoubleType())
+def _geometric_like(first: pd.Series, rate: pd.Series, base: pd.Series, last: pd.Series) -> pd.Series:
+    """Sum of last+1 terms, the i-th the one before times rate / (base + i)."""
+    term, rate, base, last = (c.to_numpy(float) for c in (first, rate, base, last))
+    total = term.copy()
+    with np.errstate(all="ignore"):
+        for i in range(1, int(np.nanmax(last, initial=0.0)) + 1):
+            term = term * (rate / (base + i))
+            total = np.where(i <= last, total + term, total)
+    return pd.Series(total)
+
+
+@pandas_udf(DoubleType())
+def _gamma_sum(h: pd.Series, shift: pd.Series, terms: pd.Series) -> pd.Series:
+    """Sum of exp(-h) h^(i + shift) / Gamma(i + shift + 1) over i below ``terms``; ``shift`` is one number."""
+    h, terms = h.to_numpy(float), terms.to_numpy(float)
+    total, start = np.where(np.isnan(h), np.nan, 0.0), float(shift.iloc[0]) if len(shift) else 0.0
+    with np.errstate(all="ignore"):
+        log = np.log(h)
+        for i in range(int(np.nanmax(terms, initial=0.0))):
+            total = np.where(i < terms, total + np.exp((i + start) * log - h - math.lgamma(i + start + 1.0)), total)
+    return pd.Series(total)
+
+
 def _stirling(n: Column) -> Column:
     """ln n! less its leading terms, for large n."""
     return F.lit(1.0) / (12.0 * n) - F.lit(1.0) / (360.0 * n * n * n)
@@ -180,21 +221,19 @@ def gamma_tails(a: Column, x: Column) -> tuple[Column, Column]:
     under- or overflows and small tails keep their digits; the work is the same for any a.
     """
     m = a - 1.0
-    s = F.sqrt(m)
     above = x > m
-    far = F.when(above, F.greatest(m + 12.0 * s, x + 8.0 * s)).otherwise(F.greatest(F.lit(0.0), F.least(m - 8.0 * s, x - 6.0 * s)))
-    side = _integral(x, far, lambda t: F.exp(m * (F.log1p((t - m) / m) - (t - m) / m)))
+    side = _beyond(m, x.cast("double"))
     side = clip(side / F.sqrt(2 * math.pi * m) * F.exp(-_stirling(m)), 0, 1)
     return F.when(above, 1.0 - side).otherwise(side), F.when(above, side).otherwise(1.0 - side)
 
 
 def poisson_tail(n: Column, rate: Column) -> Column:
     """P(X >= n) for a Poisson rate, at any count. Small tails are summed or integrated upwards, so none is lost to rounding."""
-    n = n.cast("double")
+    n, rate = n.cast("double"), rate.cast("double")
     few = F.least(n, F.lit(float(MANY)))
-    lower = 1.0 - _sum_terms(F.exp(-rate), lambda i: rate / i, few - 1)
+    lower = 1.0 - _geometric_like(F.exp(-rate), rate, F.lit(0.0), few - 1.0)
     first = F.exp(few * F.log(rate) - rate - ln_gamma(few + 1.0))
-    upper = _sum_terms(first, lambda i: rate / (few + i), F.lit(2 * MANY))
+    upper = _geometric_like(first, rate, few, F.lit(2.0 * MANY))
     many = gamma_tails(F.greatest(n, F.lit(float(MANY))), rate)[0]
     tail = F.when(n >= MANY, many).when(n > rate, upper).otherwise(lower)
     empty = F.when(n <= 0, F.lit(1.0)).otherwise(F.lit(1e-30))
@@ -208,8 +247,7 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
     few = F.least(dof, F.lit(2 * MANY + 1))
 
     def closed(shift: float, terms: Column) -> Column:
-        steps = F.when(terms >= 1, F.sequence(F.lit(0), terms.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.exp((i + shift) * F.log(h) - h - ln_gamma(i + shift + 1.0)))
+        return _gamma_sum(h, F.lit(shift), terms.cast("double"))
 
     even = closed(0.0, F.floor(few / 2))
     odd = normal_tail(F.sqrt(x)) * 2.0 + closed(0.5, F.floor((few - 1) / 2))

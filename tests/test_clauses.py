@@ -123,3 +123,20 @@ def test_morans_i_by_groups(spark, monkeypatch, metric):
                 product += (s1 - mean) * (s2 - mean) / max(d, 0.01)
     variance = sum((s - mean) ** 2 for *_, s in known) / len(known)
     assert got["n"] == len(known) and got["morans_i"] == pytest.approx(product / (total * variance), abs=1e-9)
+
+
+def test_tails_take_rows_in_batches_and_keep_nulls(spark):
+    rows = [(float(n), r) for n in (0, 1, 3, 99, 100, 101, 5000) for r in (0.5, 90.0, 4900.0, 5100.0)] + [(2.0, None)]
+    df = spark.createDataFrame(rows, "n double, r double")
+    tails = df.select("n", "r", N.poisson_tail(F.col("n"), F.col("r")).alias("p"), N.chi_square_tail(F.col("r"), F.col("n")).alias("q"))
+    plan = tails._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "ArrowEvalPython" in plan
+    for n, r, p, q in tails.collect():
+        if r is None:
+            assert p is None and q is None
+            continue
+        mine = 1.0 if n == 0 else -math.expm1(math.log(max(1e-300, sum(math.exp(i * math.log(r) - r - math.lgamma(i + 1)) for i in range(int(n))))))
+        assert abs(p - mine) < 2e-9, (n, r)
+        if n % 2 == 0 and n:
+            want = sum(math.exp(i * math.log(r / 2) - r / 2 - math.lgamma(i + 1)) for i in range(int(n) // 2))
+            assert abs(q - want) < 2e-9, (n, r)
