@@ -55,39 +55,78 @@ def folded(values: np.ndarray, period: int, stride: int) -> tuple[np.ndarray, in
     blocks = blocks.reshape(*values.shape[:-1], rows, 1, period)
     size = 1
     while size < rows:
-        trial = np.arange(2 * size)
-        at = (np.arange(period) + stride * ((trial + 1) >> 1)[:, None]) % period
         early, late = blocks[..., 0::2, :, :], blocks[..., 1::2, :, :]
-        blocks = early[..., trial >> 1, :] + np.take_along_axis(late[..., trial >> 1, :], np.broadcast_to(at, (*late.shape[:-2], *at.shape)), axis=-1)
+        reach = stride * size
+        wrapped = np.concatenate([late, late[..., :reach]], axis=-1) if reach <= period else late[..., np.arange(period + reach) % period]
+        # trials 2j and 2j + 1 take row j drifted by j and j + 1 strides: windows of the wrapped row, not copies of it
+        wrapped = np.ascontiguousarray(wrapped)
+        *outer, row, bin_ = wrapped.strides
+        drifted = np.ndarray((*late.shape[:-1], 2, period), wrapped.dtype, wrapped, 0, (*outer, row + stride * bin_, stride * bin_, bin_))
+        blocks = (early[..., None, :] + drifted).reshape(*late.shape[:-2], 2 * size, period)
         size *= 2
     return blocks[..., 0, :, :], rows
 
 
+def least_ahead(values: np.ndarray, near: int, far: int, length: int) -> np.ndarray:
+    """Entry s: the least of ``values`` from s + ``near`` to s + ``far``, on the last axis, for ``length`` places."""
+    low, size, count = values[..., near:], 1, far - near + 1
+    while 2 * size <= count:
+        low = np.minimum(low[..., :-size], low[..., size:])
+        size *= 2
+    return np.minimum(low[..., :length], low[..., count - size : count - size + length])
+
+
 def strongest(total: np.ndarray, count: np.ndarray, n: int, periods: Iterator[int], stride: int, widths: range) -> tuple[float, float, int, int, float] | None:
     """The best box: power, period (bins), width, first bin and depth. ``total``: sums of deviations from the mean per bin.
 
     A box holds three points or more and not all. Among equal powers the least period, then width, then bin wins.
+
+    Boxes that begin at one bin are bounded together first: none dips below the least of their sums, and their counts lie between the narrowest's
+    and the widest's. Only bins whose bound reaches the best power so far are looked at width by width, so no box that could win is left out.
     """
     inside = np.arange(n + 1, dtype=np.float64)
     scale = np.zeros(n + 1)
     scale[3:n] = n / (inside[3:n] * (n - inside[3:n]))
     best, found = (0.0,), None
-    both = np.stack([total, count])
+    reach, boxes = widths[-1], np.array(widths)
+
+    def running_sums(values: np.ndarray, period: int) -> tuple[np.ndarray, int]:
+        profiles, rows = folded(values, period, stride)
+        profiles = profiles[: max(1, rows - 1)]
+        sums = np.zeros((len(profiles), 1 + period + reach))
+        sums[:, 1 : 1 + period], sums[:, 1 + period :] = profiles, profiles[:, :reach]
+        return np.cumsum(sums, axis=-1, out=sums), rows
+
     for period in periods:
-        profiles, rows = folded(both, period, stride)
-        profiles = profiles[:, : max(1, rows - 1)]
-        sums = np.cumsum(np.concatenate([np.zeros((*profiles.shape[:2], 1)), profiles, profiles[..., : widths[-1]]], axis=-1), axis=-1)
-        for width in widths:
-            boxed = sums[..., width : width + period] - sums[..., :period]
-            dip = np.minimum(boxed[0], 0.0)
-            power = dip * dip * scale[np.rint(boxed[1]).astype(np.int64)]
-            at = int(power.argmax())
-            trial, first = divmod(at, period)
-            length = period + stride * trial / max(rows - 1, 1)
-            rank = (-float(power.flat[at]), length, width, first)
+        dips, rows = running_sums(total, period)
+        deepest = np.minimum(least_ahead(dips, widths[0], reach, period) - dips[:, :period], 0.0)
+        # three points have the largest power for their sum, so counts are only folded where they matter
+        if float(deepest.min()) ** 2 * scale[3] < best[0] * -(1 - 1e-9):
+            continue
+        points, _ = running_sums(count, period)
+        fewest = np.maximum(points[:, widths[0] : widths[0] + period] - points[:, :period], 3.0)
+        most = points[:, reach : reach + period] - points[:, :period]
+        spread = fewest * (n - fewest)
+        if 2 * most.max() > n:
+            most = np.clip(most, 3.0, n - 1.0)
+            spread = np.minimum(spread, most * (n - most))
+        # a hair lower, so that rounding excludes none
+        trials, firsts = np.nonzero(deepest * deepest * n > -best[0] * (1 - 1e-9) * spread)
+        if not len(firsts):
+            continue
+        ends = firsts[:, None] + boxes
+        dip = np.minimum(dips[trials[:, None], ends] - dips[trials, firsts][:, None], 0.0)
+        held = np.rint(points[trials[:, None], ends] - points[trials, firsts][:, None]).astype(np.int64)
+        power = dip * dip * scale[held]
+        top = float(power.max())
+        if top == 0 or top < -best[0]:
+            continue
+        for at, box in zip(*(x.tolist() for x in np.nonzero(power == top))):
+            length, width, first = period + stride * int(trials[at]) / max(rows - 1, 1), widths[box], int(firsts[at])
+            rank = (-top, length, width, first)
             if rank < best:
-                inner = round(float(boxed[1].flat[at]))
-                best, found = rank, (-rank[0], length, width, first, -float(boxed[0].flat[at]) * n / (inner * (n - inner)))
+                inner = int(held[at, box])
+                best, found = rank, (top, length, width, first, -float(dip[at, box]) * n / (inner * (n - inner)))
     return found
 
 

@@ -86,3 +86,22 @@ def test_planted_periods(spark, period):
     assert min(abs(ratio - k) / k for k in (1 / 3, 0.5, 1, 2, 3)) < 0.002
     assert best["depth"] == pytest.approx(0.05, rel=0.35)
     assert timeseries.dip_shape(df, "target_id", "time", "flux", found).first()["depth_snr"] > 3
+
+
+def test_few_boxes_are_looked_at_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    count = (rng.uniform(size=2000) < 0.2).astype(float)
+    total, looked, rint = count * rng.normal(size=2000), [], np.rint
+    monkeypatch.setattr(folding.np, "rint", lambda x, *a, **k: looked.append(np.size(x)) or rint(x, *a, **k))
+    periods, widths, n = range(60, 1000, 3), range(9, 19), int(count.sum())
+    found = folding.strongest(total, count, n, iter(periods), 3, widths)
+    boxes, best = 0, 0.0
+    for period in periods:
+        profiles, rows = folding.folded(np.stack([total, count]), period, 3)
+        profiles = np.concatenate([profiles, profiles[..., : widths[-1]]], axis=-1)[:, : max(1, rows - 1)]
+        for width in widths:
+            dip, k = np.lib.stride_tricks.sliding_window_view(profiles, width, axis=-1).sum(axis=-1)[..., :period]
+            fit = (dip < 0) & (k > 2.5) & (k < n - 0.5)
+            boxes, best = boxes + dip.size, max(best, (dip[fit] ** 2 * n / (k[fit] * (n - k[fit]))).max(initial=0))
+    assert found[0] == pytest.approx(best, rel=1e-9)
+    assert sum(looked) < boxes / 20
