@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
-from skysift.operators.ordered import mid_ranks, neighbours, quantiles, running, value_counts, with_position
+from skysift.operators.ordered import join_keys, neighbours, quantiles, running, value_counts, with_position
 from skysift.operators.skyjoin import best_per_group
 from skysift.session import cut
 
@@ -98,11 +98,23 @@ def one_sample_ks(df: DataFrame, keys: Sequence[str], value: str, cdf: Column) -
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 10) -> DataFrame:
-    """Rank correlation per key over rows that have both values."""
+    """Rank correlation per key over rows that have both values.
+
+    Equal pairs of values are counted first, and the ranks of values meet these counts by sorting: Spark takes rows that were made by
+    exploding lists for few and would send all of them to the driver for a broadcast.
+    """
     keys = list(keys)
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    rows = mid_ranks(mid_ranks(both, keys, x, "_rx"), keys, y, "_ry")
-    out = rows.groupBy(*keys).agg(N.correlation("_rx", "_ry").alias("rho"), F.count("*").alias("n")).filter(F.col("n") > least)
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    joint = cut(both.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c")))
+    for v in ("_x", "_y"):
+        ranks = value_counts(joint.select(*keys, v, "_c"), keys, v, {"_t": F.col("_c")})
+        ranks = join_keys(ranks, ranks.groupBy(*keys).agg(F.sum("_t").alias("_n")), keys)
+        # distance of the average rank from the middle one: half integers, so these are exact
+        off = F.col("cum__t") - F.col("_t") + (F.col("_t") - F.col("_n")) / 2.0
+        joint = join_keys(joint, ranks.select(*keys, v, off.alias(f"_off{v}")).hint("merge"), [*keys, v])
+    a, b, c = F.col("_off_x"), F.col("_off_y"), F.col("_c")
+    sums = joint.groupBy(*keys).agg(F.sum(c * a * b).alias("_ab"), F.sum(c * a * a).alias("_aa"), F.sum(c * b * b).alias("_bb"), F.sum(c).alias("n"))
+    out = sums.filter(F.col("n") > least).withColumn("rho", F.try_divide(F.col("_ab"), F.sqrt("_aa") * F.sqrt("_bb"))).select(*keys, "rho", "n")
     return out.withColumn("p", N.correlation_p(F.col("rho"), F.col("n")))
 
 

@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -244,3 +245,13 @@ def test_a_cell_hot_on_both_sides_is_split(spark):
     plain = sorted((r["id"], r["r_key"]) for r in skyjoin.pairs(left, right, 0.00002, right_key="key").collect())
     split = sorted((r["id"], r["r_key"]) for r in skyjoin.pairs(left, right, 0.00002, right_key="key", hot_rows=7).collect())
     assert plain == split == sorted((i, j) for i in range(40) for j in range(60) if abs(i - j) * 1e-6 * math.cos(math.radians(5.0)) <= 0.00002)
+
+
+def test_spearman_never_sends_exploded_rows_to_the_driver(spark):
+    rows = spark.range(300).withColumn("k", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    df = rows.selectExpr("CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS grp", "id*37 % 11 AS x", "CASE k WHEN 0 THEN id % 7 WHEN 1 THEN 5 END AS y").unionByName(rows.selectExpr("'a' AS grp", "NULL AS x", "id AS y"))
+    found = stats.spearman(df, ["grp"], "x", "y")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    xs, ys = pd.Series([i * 37 % 11 for i in range(300)]).rank(), pd.Series([i % 7 for i in range(300)]).rank()
+    got = {r["grp"]: (r["rho"], r["n"]) for r in found.collect()}
+    assert got == {"a": (pytest.approx(xs.corr(ys), abs=1e-12), 300), "b": (None, 300)}
