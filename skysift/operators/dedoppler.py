@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skysift.operators import timeseries as T
 from skysift.session import cut
 
-#: Cells of a tile, its halo left out; least channels of one. Channels of hits that are merged at once.
+#: Cells, or sums of all rates, of a tile, its halo left out; least channels of one. Channels of hits that are merged at once.
 CELLS, NARROWEST, STRETCH = 1 << 22, 256, 1 << 16
 
 
@@ -54,6 +54,11 @@ def add_shifted(row: np.ndarray, values: np.ndarray, by: int) -> None:
         row[-by:] += values[:by]
 
 
+def tile_width(halo: int, times: int, steps: int) -> int:
+    """Channels of a tile: neither its cells nor its sums, one a channel and rate, are more than CELLS unless it is as narrow as may be."""
+    return max(NARROWEST, halo, CELLS // max(times, steps))
+
+
 def drift_search(cells: DataFrame, channel_hz: float, max_drift: float = 10.0, steps: int = 201, min_snr: float = 10.0) -> DataFrame:
     """``channel``, ``snr``, ``drift`` and ``is_rfi`` of each start channel whose best track reaches ``min_snr``.
 
@@ -61,7 +66,7 @@ def drift_search(cells: DataFrame, channel_hz: float, max_drift: float = 10.0, s
     missing from tracks. Of equal signals the lowest rate counts. A channel is interference where more than half of its cells are masked.
 
     Channels are dealt in tiles with a halo as wide as the largest drift, so a cell is copied to its tile and at most its halo's neighbours,
-    not to every rate. A tile's size is bounded by cells. Tracks leave the band only at its ends. Null powers count as masked; several cells of one place add up.
+    not to every rate. A tile's size is bounded by cells and by its sums, one a channel and rate. Tracks leave the band only at its ends. Null powers count as masked; several cells of one place add up.
     """
     cells = cut(cells.select("f_idx", "t_sec", "power", (F.col("masked") | F.col("power").isNull()).alias("masked")))
     good = cells.where(~F.col("masked"))
@@ -72,7 +77,7 @@ def drift_search(cells: DataFrame, channel_hz: float, max_drift: float = 10.0, s
         return cells.sparkSession.createDataFrame([], shape)
     rates = np.array([-max_drift + 2 * max_drift * i / (steps - 1) for i in range(steps)])
     halo = int(np.rint(max_drift * (ends["stop"] - ends["start"]) / channel_hz)) + 1
-    width = max(NARROWEST, halo, CELLS // ends["times"])
+    width = tile_width(halo, ends["times"], steps)
     start, low, top, med, sigma = ends["start"], ends["low"], ends["top"], noise["med"], noise["sigma"]
     first = F.greatest(F.floor((F.col("f_idx") - halo - low) / width), F.lit(0))
     last = F.least(F.floor((F.col("f_idx") + halo - low) / width), F.lit((top - low) // width))

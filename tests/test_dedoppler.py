@@ -104,3 +104,10 @@ def test_merge_of_a_million_hits(spark):
     assert found.rdd.getNumPartitions() > 1
     hits = [tuple(r) for r in df.collect()]
     assert sorted(tuple(r) for r in found.collect()) == plain_merge(hits)
+
+
+@pytest.mark.parametrize("times,steps", [(16, 201), (5000, 201), (1, 1)])
+def test_tiles_are_bounded_by_sums_and_cells(times, steps):
+    width = dedoppler.tile_width(100, times, steps)
+    assert width * times <= dedoppler.CELLS and width * steps <= dedoppler.CELLS
+    assert dedoppler.tile_width(10**6, times, steps) >= 10**6
