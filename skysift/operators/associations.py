@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
 from skysift.operators.ordered import neighbours, with_position
-from skysift.operators.skyjoin import ARCMIN, collapse_copies, count_within, counts_within, nearest, pairs
+from skysift.operators.skyjoin import ARCMIN, collapse_copies, count_within, counts_within, nearest, pairs, tasks_for
 from skysift.session import cut
 
 FULL_SKY = 41253.0  # square degrees
@@ -105,8 +105,12 @@ def burst_orbits(repeaters: DataFrame, bursts: DataFrame, hosts: DataFrame, max_
 
 def epoch_changes(first: DataFrame, second: DataFrame, radius: float, correction: float, sigma: float = 3.0,
                   default_errors=(0.5, 0.3)) -> DataFrame:
-    """Sources that appeared, disappeared, brightened or dimmed between two epochs."""
-    match = nearest(first, second, radius, left_key="id", right_key="id")
+    """Sources that appeared, disappeared, brightened or dimmed between two epochs.
+
+    Every step takes a number of tasks that goes with the rows, so a task's memory does not grow with the epochs.
+    """
+    tasks = tasks_for(first, second)
+    match = nearest(first, second, radius, left_key="id", right_key="id", tasks=tasks)
     e1 = F.coalesce("flux_err", F.lit(default_errors[0])) * abs(correction)
     e2 = F.coalesce("r_flux_err", F.lit(default_errors[1]))
     scaled = F.col("flux") * correction
@@ -119,7 +123,7 @@ def epoch_changes(first: DataFrame, second: DataFrame, radius: float, correction
     none = F.lit(None).cast("double")
 
     def unmatched(side, seen, label):
-        return side.join(seen, "id", "left_anti").select("id", F.lit(label).alias("change_type"), none.alias("flux_ratio"), none.alias("sigma_change"))
+        return side.repartition(tasks, "id").join(seen.repartition(tasks, "id"), "id", "left_anti").select("id", F.lit(label).alias("change_type"), none.alias("flux_ratio"), none.alias("sigma_change"))
 
     gone = unmatched(first, match.select("id"), "disappeared")
     new = unmatched(second, match.select(F.col("r_id").alias("id")).distinct(), "appeared")

@@ -9,6 +9,7 @@ a left and a right part meets in its own group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +28,8 @@ HOT_ROWS = 1_000_000
 ZONE_ROWS, AT_ONCE, HAIR = 1 << 18, 1 << 20, 2e-6
 #: First candidates of ``best_within``, and how much more each further tier holds.
 FIRST_TIER, TIER_GROWTH = 4096, 8
+#: Rows of both sides for one task of a join that states its number of tasks.
+TASK_ROWS = 250_000
 
 
 def _zone(dec: Column, cell: float) -> Column:
@@ -96,9 +99,11 @@ def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int):
 def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
           left_pos: tuple[str, str] = ("ra", "dec"), right_pos: tuple[str, str] = ("ra", "dec"),
           right_key: str | None = None, cell: float | None = None, metric: str = "sphere",
-          hot_rows: int = HOT_ROWS, sep: str = "sep_deg", prefix: str = "r_") -> DataFrame:
+          hot_rows: int = HOT_ROWS, sep: str = "sep_deg", prefix: str = "r_", tasks: int | None = None) -> DataFrame:
     """All (left, right) pairs within ``radius`` degrees.
 
+    ``tasks``: so many tasks for the join, in place of the session's number.
+
     ``radius`` is a number or a column of the left side (then give ``cell``). Columns of the
     right side get ``prefix``. With ``metric='flat'`` the small-angle distance is used.
     """
@@ -123,6 +128,8 @@ def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
     ll = ll.withColumns({"_lra": F.col(left_pos[0]), "_ldec": F.col(left_pos[1]), "_salt": F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t])})
     ll, rr = _split_hot(ll, rr, hot_rows)
     distance = {"sphere": sphere.separation, "flat": sphere.separation_flat}[metric]
+    if tasks:
+        ll, rr = (side.repartition(tasks, "_zone", "_bucket", "_left_part", "_right_part") for side in (ll, rr))
     return (
         ll.join(rr, ["_zone", "_bucket", "_left_part", "_right_part"])
         .withColumn(sep, distance(left_pos[0], left_pos[1], "_rra", "_rdec"))
@@ -131,9 +138,15 @@ def pairs(left: DataFrame, right: DataFrame, radius: float | Column, *,
     )
 
 
-def collapse_copies(df: DataFrame, key: str, pos: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+def tasks_for(*sides: DataFrame) -> int:
+    """Tasks for joins of the sides: TASK_ROWS rows each, and the session's number at least. Counts the sides."""
+    return max(int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(side.count() for side in sides) / TASK_ROWS))
+
+
+def collapse_copies(df: DataFrame, key: str, pos: tuple[str, str] = ("ra", "dec"), tasks: int | None = None) -> DataFrame:
     """Keep the row with the smallest key at each exact position."""
     others = [c for c in df.columns if c not in pos]
+    df = df.repartition(tasks, *pos) if tasks else df
     best = df.groupBy(*pos).agg(F.min(F.struct(key, *[c for c in others if c != key])).alias("_b"))
     return best.select(*[F.col(c) if c in pos else F.col(f"_b.{c}") for c in df.columns])
 
@@ -143,17 +156,20 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, *, left_k
     """Each left row with its single nearest right row inside ``radius``.
 
     Ties go to the smaller right key. ``by`` adds right columns that get one match each
-    (for several catalogs stacked in one frame). Copies at one position meet as one row.
+    (for several catalogs stacked in one frame). Copies at one position meet as one row. With ``tasks`` every step has so many
+    tasks (``tasks_for``): a large catalog's share of a task does not grow with it.
     """
     prefix, sep = options.get("prefix", "r_"), options.get("sep", "sep_deg")
     right_pos = options.get("right_pos", ("ra", "dec"))
     if not by and not any("map<" in t for _, t in right.dtypes):
-        right = collapse_copies(right, right_key, right_pos)
+        right = collapse_copies(right, right_key, right_pos, options.get("tasks"))
     rcols = [f"{prefix}{c}" for c in right.columns]
     bykeys = [f"{prefix}{c}" for c in by]
     lpos = options.get("left_pos", ("ra", "dec"))
     slim = left.select(*dict.fromkeys([left_key, *lpos, *options.pop("left_columns", [])]))
     found = pairs(slim, right, radius, right_key=right_key, **options)
+    if tasks := options.get("tasks"):
+        left, found = left.repartition(tasks, left_key), found.repartition(tasks, left_key)
     ordered = [sep, f"{prefix}{right_key}", *[c for c in rcols if c != f"{prefix}{right_key}" and c not in bykeys]]
     best = found.groupBy(left_key, *bykeys).agg(F.min(F.struct(*ordered)).alias("_b"))
     best = best.select(left_key, *bykeys, *[F.col(f"_b.{c}").alias(c) for c in ordered])

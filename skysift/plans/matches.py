@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import sphere as S
 from skysift.operators.associations import epoch_changes
-from skysift.operators.skyjoin import ARCSEC, best_within, counts_within, nearest, pairs, without_nearby
+from skysift.operators.skyjoin import ARCSEC, best_within, counts_within, nearest, pairs, tasks_for, without_nearby
 from skysift.plans import sqltext as Q
 from skysift.plans.catalogs import near_sql
 from skysift.plans.registry import query
@@ -101,8 +101,9 @@ def _(t):
 def _(t):
     changes = epoch_changes(t.epoch1, t.epoch2, 15.5 * ARCSEC, FLUX_CORRECTION)
     where = t.epoch1.select("id", "ra", "dec").unionByName(t.epoch2.select("id", "ra", "dec")).dropDuplicates(["id"])
-    placed = changes.join(where, "id")
-    near = nearest(placed, t.hosts.select("host_id", "ra", "dec", "host_star"), 1.0, left_key="id", right_key="host_id", keep_unmatched=True)
+    tasks = tasks_for(t.epoch1, t.epoch2)
+    placed = changes.repartition(tasks, "id").join(where.repartition(tasks, "id"), "id")
+    near = nearest(placed, t.hosts.select("host_id", "ra", "dec", "host_star"), 1.0, left_key="id", right_key="host_id", keep_unmatched=True, tasks=tasks)
     return near.select("id", "change_type", F.col("r_host_id").isNotNull().alias("near_host"), F.col("r_host_star").alias("host"))
 
 

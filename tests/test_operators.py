@@ -255,3 +255,12 @@ def test_spearman_never_sends_exploded_rows_to_the_driver(spark):
     xs, ys = pd.Series([i * 37 % 11 for i in range(300)]).rank(), pd.Series([i % 7 for i in range(300)]).rank()
     got = {r["grp"]: (r["rho"], r["n"]) for r in found.collect()}
     assert got == {"a": (pytest.approx(xs.corr(ys), abs=1e-12), 300), "b": (None, 300)}
+
+
+def test_tasks_of_epoch_changes_go_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skyjoin, "TASK_ROWS", 40)
+    one = sky(spark, 400, 1, "id").withColumns({"flux": F.lit(1.0) + F.col("id") % 3, "flux_err": F.lit(0.1)})
+    two = one.filter("id % 5 <> 0").withColumn("flux", F.col("flux") * 9)
+    changes = associations.epoch_changes(one, two, 0.01, 1.0)
+    assert changes.rdd.getNumPartitions() >= 18
+    assert values(changes.groupBy("change_type").count(), "change_type", "count") == [("brightened", 320), ("disappeared", 80)]
