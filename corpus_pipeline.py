@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word Jaccard likenesses of 0.8 or more. Rows without an id stay; so do all rows of an id that stays."""
+    """The document with the smallest id of each group linked by five-word Jaccard likenesses of 0.8 or more, among op8's SimHash groups and min-hash candidates. Rows without an id stay; so do all rows of an id that stays."""
     found = near_copies(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

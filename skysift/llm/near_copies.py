@@ -1,4 +1,4 @@
-"""Groups of documents whose sets of word shingles are alike: candidates by min-hash bands, verified by exact Jaccard likeness."""
+"""Groups of documents whose sets of word shingles are alike: candidates by SimHash groups and by min-hash bands, verified by exact Jaccard likeness."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from xxhash import xxh64_intdigest
 
 from skysift.llm.common import map_text
 from skysift.llm.components import components
-from skysift.llm.simhash import shingle_hashes
+from skysift.llm.simhash import fingerprint, groups, shingle_hashes
 from skysift.session import cut
 
 #: A pair at a likeness of 0.8 shares no band with a chance of (1 - 0.8^5)^24, 7 in 100 000; more alike pairs with less.
@@ -116,13 +116,16 @@ def within_blocks(likeness: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8, min_hashes: bool = True) -> DataFrame:
     """``doc_id``, ``node`` (MD5 of the shingle set) and ``component_id``, the smallest id reachable over pairs of the given likeness.
 
     One row per row of ``docs``; null ids and repeated ids included, each row by its own text. Equal sets are one node; texts without words,
     null ones too, have the empty set. A null id is a component's id only where the component has no other.
 
-    Every pair that shares a band is verified, except where both are linked already: first each bucket's least member against
+    Candidates are the groups that ``simhash`` forms of fingerprints at most three bits apart, and texts that share a min-hash band, as pairs at
+    ``likeness`` often differ by more bits (``min_hashes=False``: the groups alone). Both are buckets of texts below.
+
+    Every pair that shares a bucket is verified, except where both are linked already: first each bucket's least member against
     the others, so a large group of near copies costs a row each; then, in buckets whose other members are still of several
     groups, all pairs between groups, in blocks of bounded size. A bucket of very many texts that are alike but below
     ``likeness`` is therefore quadratic, spread over tasks. Candidates are moved as 64-bit tags of nodes; where tags of two nodes are
@@ -131,16 +134,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def banded(texts):
         sets = [shingle_set(t, shingle) for t in texts]
-        return [hashlib.md5(s.tobytes()).hexdigest() for s in sets], [len(s) for s in sets], [bands(s) for s in sets]
+        least = [bands(s) if min_hashes else [] for s in sets]
+        return [hashlib.md5(s.tobytes()).hexdigest() for s in sets], [len(s) for s in sets], least, [fingerprint(t) for t in texts]
 
     def hashes(texts):
         sets = [shingle_set(t, shingle).tobytes() for t in texts]
         return [hashlib.md5(s).hexdigest() for s in sets], sets
 
     tag = F.xxhash64("node").alias("tag")
-    made = cut(map_text(docs.select(id_col, text_col), text_col, [id_col], [("node", "string"), ("n", "bigint"), ("bands", "array<bigint>")], lambda: banded))
+    made = cut(map_text(docs.select(id_col, text_col), text_col, [id_col], [("node", "string"), ("n", "bigint"), ("bands", "array<bigint>"), ("fp", "bigint")], lambda: banded))
     named = cut(made.groupBy("node").agg(F.min(id_col).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    spread = named.select(tag, "n", F.explode("bands").alias("value"))
+    marks = cut(made.where("n > 0").select("node", "n", "fp").distinct())
+    grouped = marks.join(cut(groups(cut(marks.select("fp").distinct()))), "fp")
+    alike_bits = grouped.select(tag, "n", F.xxhash64(F.lit("simhash"), "root").alias("value")).distinct()
+    spread = named.select(tag, "n", F.explode("bands").alias("value")).unionByName(alike_bits)
     buckets = spread.groupBy("value").agg(F.min(F.struct("tag", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     buckets = cut(buckets.select("value", "members", F.col("c.tag").alias("a"), F.col("c.n").alias("n_a")))
     members = cut(spread.join(buckets, "value"))

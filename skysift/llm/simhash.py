@@ -200,6 +200,12 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return ordered.mapInArrow(lambda batches: near_pairs(batches, distance), "a bigint, b bigint")
 
 
+def groups(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """``distinct`` with the ``root`` of each ``fp``, one and the same for all fingerprints that links of at most ``distance`` differing bits join."""
+    roots = components(links(distinct, distance))
+    return distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable over links of at most ``distance`` differing bits.
 
@@ -210,8 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(fingerprints(docs.select(id_col, text_col), [id_col], text_col, shingle))
     nodes = found.groupBy("fp").agg(F.min(id_col).alias("first"))
     distinct = cut(nodes)
-    roots = components(links(distinct, distance))
-    grouped = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = groups(distinct, distance)
     # only components of several fingerprints need a second minimum
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     # written down, so that Spark can split the rows of a fingerprint that very many documents have

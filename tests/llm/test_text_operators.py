@@ -226,6 +226,14 @@ def test_near_copies(spark, empty, monkeypatch, members):
     assert near_copies.near_copies(empty).collect() == []
 
 
+def test_near_copies_by_fingerprints_alone(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(900)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), ""]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_hashes=False).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_near_copies_of_unlike_members(spark):
     """Thousands of texts with one long passage and little else in common share buckets and are no copies; two pairs among them are."""
     rng = random.Random(3)
