@@ -161,7 +161,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
     around = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int").alias("part"), "tag", F.lit(False).alias("hub"))
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("tag"), F.lit(True).alias("hub"))
-    links = cut(around.unionAll(hubs).join(sets, "tag").groupBy("a", "part").applyInArrow(with_hub(likeness), "a string, b string"))
+    links = around.unionAll(hubs).join(sets, "tag").groupBy("a", "part").applyInArrow(with_hub(likeness), "a string, b string")
     roots = components(links)
 
     rooted = sets.select("tag", "node").join(roots, "node", "left").select("tag", "node", F.coalesce("root", "node").alias("root"))

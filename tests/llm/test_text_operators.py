@@ -195,6 +195,29 @@ def test_simhash_links(spark, monkeypatch, bucket):
     assert sorted(map(sorted, expected.values())) == sorted(map(sorted, found.values()))
 
 
+@pytest.mark.parametrize("local", [0, 60, 1 << 18])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_few_links(spark, monkeypatch, local, kind):
+    """Chains, a hub, a ring and repeated links: by rounds alone, by rounds and one task, by one task, which takes few jobs."""
+    from skysift.llm import components
+
+    monkeypatch.setattr(components, "LOCAL", local)
+    chain = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(40)]
+    links = [*chain, *chain, *((500, 501 + i) for i in range(30)), *((200 + i, 200 + (i + 1) % 9) for i in range(9)), (7000, 7000)]
+    named = [tuple(f"n{x:05d}" if kind == "string" else x - 300 for x in link) for link in links]
+    up = {x: x for link in named for x in link}
+    for a, b in named:
+        old, new = max(up[a], up[b]), min(up[a], up[b])
+        up = {k: new if v == old else v for k, v in up.items()}
+    frame = spark.createDataFrame(named, f"a {kind}, b {kind}").repartition(4)
+    spark.sparkContext.setJobGroup(group := f"components-{local}-{kind}", "")
+    found = components.components(frame).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["node"], r["root"]) for r in found) == sorted((k, v) for k, v in up.items() if k != v)
+    assert local < len(links) or len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
+    assert components.components(frame.limit(0)).collect() == []
+
+
 def plain_likeness(a, b, k=5):
     sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.lower().split() for x in (a, b))]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
