@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions import photometry as P
 from skysift.functions import sphere as S
 from skysift.functions.numeric import col
-from skysift.operators.ordered import quantiles, ranked
+from skysift.operators.ordered import join_keys, quantiles, ranked
 from skysift.session import cut
 
 # Habitable-zone limits (insolation, equilibrium temperature).
@@ -20,6 +21,8 @@ HZ_TEMPERATURE = (180, 310)
 FIRST_GOOD_DAY = 56700
 SECOND_BAND_GAP = (57000, 57071)
 MAD_TO_SIGMA = 1.4826
+#: Most rows of a key whose clipping is a window.
+WINDOW_ROWS = 1 << 18
 
 
 def habitable_zone(insolation, temperature) -> Column:
@@ -52,23 +55,46 @@ def clean_epochs(df: DataFrame) -> DataFrame:
     return df.filter(F.col("mjd") >= FIRST_GOOD_DAY).withColumns({c: F.when(~gap, F.col(c)) for c in ("w2", "w2_err")})
 
 
-def sigma_clip(df: DataFrame, keys: Sequence[str], value: str, k: float) -> DataFrame:
-    """Rows within k robust deviations of their key's median (standard deviation when the MAD is zero)."""
-    keys = list(keys)
-    centre = quantiles(df, keys, value, {"_med": 0.5})
-    off = df.join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    spread = quantiles(off, keys, "_off", {"_mad": 0.5}).join(
-        df.groupBy(*keys).agg(F.stddev_pop(value).alias("_std")), keys)
+def _clipped(df: DataFrame, keys: Sequence[str], value: str, k: float, middle: str | None) -> DataFrame:
+    """Rows of keys of bounded size within k robust deviations, and the median of what is left: one shuffle and one sort."""
+    w = Window.partitionBy(*keys)
+    spread = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SIGMA).otherwise(F.col("_std"))
+    v = F.col(value).cast("double")
+    rows = df.withColumns({"_med": F.percentile(v, F.lit(0.5)).over(w), "_std": F.stddev_pop(value).over(w)}).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    kept = rows.withColumn("_mad", F.percentile("_off", F.lit(0.5)).over(w)).filter((F.col("_off") < k * spread) | (F.col("_off") == 0))
+    return kept.withColumns({middle: F.percentile(v, F.lit(0.5)).over(w)} if middle else {}).drop("_med", "_std", "_off", "_mad")
+
+
+def _clipped_in_order(df: DataFrame, keys: Sequence[str], value: str, k: float, middle: str | None) -> DataFrame:
+    """The same for keys of any size: quantiles come from ranges of the sorted values, which many tasks share."""
+    off = join_keys(df, quantiles(df, keys, value, {"_med": 0.5}), keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    spread = join_keys(quantiles(off, keys, "_off", {"_mad": 0.5}), df.groupBy(*keys).agg(F.stddev_pop(value).alias("_std")), keys)
     sigma = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SIGMA).otherwise(F.col("_std"))
-    kept = off.join(spread, keys).filter((F.col("_off") < k * sigma) | (F.col("_off") == 0))
-    return kept.drop("_off", "_mad", "_std")
+    kept = join_keys(off, spread, keys).filter((F.col("_off") < k * sigma) | (F.col("_off") == 0)).drop("_med", "_off", "_mad", "_std")
+    if middle is None:
+        return kept
+    kept = cut(kept)
+    return join_keys(kept, quantiles(kept, keys, value, {middle: 0.5}), keys)
+
+
+def sigma_clip(df: DataFrame, keys: Sequence[str], value: str, k: float, middle: str | None = None) -> DataFrame:
+    """Rows within k robust deviations of their key's median (standard deviation when the MAD is zero); ``middle``: a column with the median of those.
+
+    Keys of at most WINDOW_ROWS rows are windows, larger ones go by ranges of their sorted values.
+    """
+    keys = list(keys)
+    large = cut(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > WINDOW_ROWS).select(*[F.col(c).alias(f"_r_{c}") for c in keys]))
+    if large.isEmpty():
+        return _clipped(df, keys, value, k, middle)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    wide = cut(df.join(large, same, "left_semi"))
+    return _clipped(df.join(large, same, "left_anti"), keys, value, k, middle).unionByName(_clipped_in_order(wide, keys, value, k, middle))
 
 
 def clean_lightcurve(df: DataFrame, keys: Sequence[str], k: float = 5.0) -> DataFrame:
     """Drop nulls and outliers, then divide by the median of what is left."""
-    kept = cut(sigma_clip(cut(df.filter(F.col("flux").isNotNull())), keys, "flux", k).drop("_med"))
-    middle = quantiles(kept, keys, "flux", {"_m": 0.5})
-    return kept.join(middle, list(keys)).withColumn("flux_norm", F.col("flux") / F.col("_m")).drop("_m")
+    kept = sigma_clip(cut(df.filter(F.col("flux").isNotNull())), keys, "flux", k, "_m")
+    return kept.withColumn("flux_norm", F.col("flux") / F.col("_m")).drop("_m")
 
 
 def stride_sample(df: DataFrame, key: str, order: Sequence[str], limit: int) -> DataFrame:

@@ -264,3 +264,26 @@ def test_tasks_of_epoch_changes_go_with_the_rows(spark, monkeypatch):
     changes = associations.epoch_changes(one, two, 0.01, 1.0)
     assert changes.rdd.getNumPartitions() >= 18
     assert values(changes.groupBy("change_type").count(), "change_type", "count") == [("brightened", 320), ("disappeared", 80)]
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 40, 0])
+def test_clipping_by_windows_and_in_order(spark, monkeypatch, rows):
+    """Small keys as windows, large ones in order, a null key like any other, a key of equal values, null values dropped; windows take few jobs."""
+    from skysift.operators import selection
+
+    monkeypatch.setattr(selection, "WINDOW_ROWS", rows)
+    data = [(k, None if i % 17 == 16 else 50.0 if i % 19 == 3 else 2.0 if k == 3 else 1.0 + (i * 37 % 23) / 100) for k, n in ((1, 60), (2, 9), (3, 30), (None, 45), (4, 1)) for i in range(n)]
+    expected = []
+    for k in {k for k, _ in data}:
+        v = [x for key, x in data if key == k and x is not None]
+        med = statistics.median(v)
+        mad = statistics.median(abs(x - med) for x in v)
+        bound = 5 * (1.4826 * mad if mad > 0 else statistics.pstdev(v))
+        kept = [x for x in v if abs(x - med) < bound or x == med]
+        expected += [(str(k), x, round(x / statistics.median(kept), 9)) for x in kept]
+    frame = spark.createDataFrame(data, "k int, flux double").repartition(3)
+    spark.sparkContext.setJobGroup(group := f"clip-{rows}", "")
+    found = selection.clean_lightcurve(frame, ["k"]).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((str(r["k"]), r["flux"], round(r["flux_norm"], 9)) for r in found) == sorted(expected) and len(expected) < len(data)
+    assert rows < 60 or len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
