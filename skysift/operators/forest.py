@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skysift.operators.ordered import quantiles
 from skysift.operators.stats import z_scores
-
+from skysift.session import cut
 
 
 def _average_path(n: float) -> float:
@@ -27,21 +27,38 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int):
         return float(depth + _average_path(len(x)))
     usable = np.flatnonzero(np.ptp(x, axis=0) > 0)
     f = int(rng.choice(usable))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    left = x[:, f] < cut
+    at = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+    left = x[:, f] < at
     if left.all() or not left.any():
         return float(depth + _average_path(len(x)))
-    return [f, cut, _grow(x[left], rng, depth + 1, limit), _grow(x[~left], rng, depth + 1, limit)]
+    return [f, at, _grow(x[left], rng, depth + 1, limit), _grow(x[~left], rng, depth + 1, limit)]
+
+
+def _flat(tree) -> tuple[np.ndarray, ...]:
+    """Feature, threshold, lower and upper child of each node, and its value; a leaf is its own child."""
+    nodes: list[list] = []
+
+    def add(part) -> int:
+        at = len(nodes)
+        nodes.append([0, 0.0, at, at, part])
+        if isinstance(part, list):
+            nodes[at] = [part[0], part[1], add(part[2]), add(part[3]), 0.0]
+        return at
+
+    add(tree)
+    kinds = (np.int64, float, np.int64, np.int64, float)
+    return tuple(np.array(c, kind) for c, kind in zip(zip(*nodes), kinds))
 
 
-def _depths(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, list):
-        return np.full(len(x), tree)
-    f, cut, low, high = tree
-    out = np.empty(len(x))
-    left = x[:, f] < cut
-    out[left], out[~left] = _depths(low, x[left]), _depths(high, x[~left])
-    return out
+def _depths(flat: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """Where each row ends: all rows go down a level at a time."""
+    feature, at, low, high, value = flat
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while True:
+        below = np.where(x[rows, feature[node]] < at[node], low[node], high[node])
+        if (below == node).all():
+            return value[node]
+        node = below
 
 
 def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, seed: int = 42,
@@ -50,7 +67,8 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: in
 
     Each tree grows on ``sample`` rows (the method's usual subsample), those with the smallest hashes for it; all rows are scored.
     """
-    scaled = z_scores(df.select(key, *features), features)
+    # Read once for the scales, once for their use, and again for the count, the samples and the scores.
+    scaled = cut(z_scores(cut(df.select(key, *features)), features))
     zs = [f"z_{c}" for c in features]
     # Only rows below a bound on the hash travel: four times as many as a tree takes are expected below it.
     share = min(1.0, 4.0 * sample / max(1, scaled.count()))
@@ -69,7 +87,7 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: in
 
     grown = picked.select("tree", key, *zs).groupBy("tree").applyInPandas(build, "tree int, size int, model string")
     # A forest is `trees` rows of at most ``sample`` leaves each, whatever the size of the data.
-    forest = [(r["size"], json.loads(r["model"])) for r in grown.orderBy("tree").limit(trees).collect()]
+    forest = [(r["size"], _flat(json.loads(r["model"]))) for r in grown.orderBy("tree").limit(trees).collect()]
     shared = df.sparkSession.sparkContext.broadcast(forest)
     names = [key, *zs]
     key_type = dict(df.dtypes)[key]
@@ -83,6 +101,7 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: in
     out = scaled.select(*names).mapInPandas(score, f"{key} {key_type}, isolation double")
     if contamination is None:
         return out
+    out = cut(out)
     limit = quantiles(out, [], "isolation", {"_limit": 1.0 - contamination})
     marked = out.crossJoin(F.broadcast(limit))  # one row
     over = F.greatest(F.col("isolation") - F.col("_limit"), F.lit(0.0))

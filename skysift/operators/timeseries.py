@@ -140,7 +140,9 @@ def window_features(df: DataFrame, key: str, time: str, value: str, size: int =
     g = rows.groupBy(key, "window").agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("_skew"),
         F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("x", "t").alias("_x0"), F.max_by("x", "t").alias("_x1"),
-        F.percentile("x", F.lit(0.5)).alias("_med"), F.collect_list("x").alias("_xs"), F.first("_w").alias("_w"))
+        F.sort_array(F.collect_list("x")).alias("_xs"), F.first("_w").alias("_w"))
+    n = F.size("_xs")
+    g = g.withColumn("_med", (F.get("_xs", F.floor((n - 1) / 2).cast("int")) + F.get("_xs", F.floor(n / 2).cast("int"))) / 2)
     deep = F.size(F.filter("_xs", lambda v: v < F.col("_med") - 2.0 * F.col("std"))) / F.col("_w")
     dt = F.col("t1") - F.col("t0")
     return g.select(key, "window", "mean", "std", "low", "high", (1.0 - F.col("low")).alias("depth"),

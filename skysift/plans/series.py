@@ -132,7 +132,7 @@ _WINDOW_FEATURES = ("mean", "std", "low", "high", "depth", "skew", "slope", "dee
 
 @query("irregular_dimming")
 def _(t):
-    feats = T.window_features(t.lightcurve, "target_id", "time", "flux").withColumn("row", F.concat_ws("-", "target_id", "window"))
+    feats = cut(T.window_features(t.lightcurve, "target_id", "time", "flux").withColumn("row", F.concat_ws("-", "target_id", "window")))
     marks = isolation_scores(feats, "row", _WINDOW_FEATURES, contamination=0.05)
     odd = feats.join(marks.filter("is_outlier"), "row").select("target_id", "t0", "t1", "isolation")
     # Overlapping odd windows become one stretch of time, so that points are only marked once.

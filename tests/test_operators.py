@@ -287,3 +287,18 @@ def test_clipping_by_windows_and_in_order(spark, monkeypatch, rows):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted((str(r["k"]), r["flux"], round(r["flux_norm"], 9)) for r in found) == sorted(expected) and len(expected) < len(data)
     assert rows < 60 or len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
+
+
+def test_forest_reads_its_input_once(spark):
+    """Features that are dear to compute are computed once, whatever is asked of them afterwards."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    frame = spark.range(400).selectExpr("id", "double(id % 20) AS a", "double(IF(id = 7, 900, id % 13)) AS b")
+    marks = isolation_scores(frame.mapInPandas(seen, frame.schema), "id", ("a", "b"), trees=20, contamination=0.05)
+    assert marks.orderBy(F.desc("isolation")).first()["id"] == 7 and marks.filter("is_outlier").count() <= 20
+    assert read.value == 400
