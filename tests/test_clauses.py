@@ -4,6 +4,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,51 @@ def test_tails_take_rows_in_batches_and_keep_nulls(spark):
         if n % 2 == 0 and n:
             want = sum(math.exp(i * math.log(r / 2) - r / 2 - math.lgamma(i + 1)) for i in range(int(n) // 2))
             assert abs(q - want) < 2e-9, (n, r)
+
+
+def _lattice(n):
+    return [(i, float(i % 9), float(i // 9 % 9), float(i // 81 % 3), random.Random(i).choice([0.1, 0.4, 0.8, 0.9])) for i in range(n)]
+
+
+def test_shell_sums_bound_every_ball(monkeypatch):
+    """No ball exceeds its centre's bound, also where distances fall on the shells' edges, and the bound follows the strengths."""
+    monkeypatch.setattr(spatial, "BINNED", 1 << 12)
+    rng = np.random.default_rng(2)
+    far = rng.normal(size=(9000, 3)) * 30
+    for places in (np.array([r[1:4] for r in _lattice(200)]), far, np.zeros((70, 3))):
+        near = dict(zip("xyz", places.T), s=rng.uniform(size=len(places)) ** 3, key=np.arange(len(places)))
+        mean, var = near["s"].mean(), near["s"].var()
+        centres = {c: v[:40] for c, v in near.items()}
+        bound, strengths = spatial._most(centres, near, near["s"] - mean, var, 6.0, 3), []
+        for i in range(40):
+            rows, _ = spatial._ordered(tuple(centres[c][i] for c in "xyz"), near, 6.0)
+            k = np.arange(1, len(rows) + 1)
+            total = np.cumsum(near["s"][rows] - mean)
+            strengths.append((np.maximum(total, 0) ** 2 / (2 * var * k))[2:].max(initial=0))
+        assert (bound >= strengths).all()
+        assert len(places) < 9000 or np.corrcoef(bound, strengths)[0, 1] > 0.7
+
+
+def test_scan_copies_points_a_few_times_a_core(spark):
+    """However many tasks a shuffle has, and however many points lie in a cell."""
+    df = spark.createDataFrame([(i, x / 9, y / 9, z / 9, s) for i, x, y, z, s in _lattice(4000)], "key long, x double, y double, z double, s double")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        sides, _ = spatial._dealt(df, 6.0)
+        own, near = (sides.where(w).agg(F.sum(F.size("x"))).first()[0] for w in ("own", "NOT own"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert own == 4000 and near <= 4000 * 5 * spark.sparkContext.defaultParallelism
+
+
+def test_scan_equals_all_balls_and_settles(spark):
+    rows = _lattice(240)
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, s double")
+    mean = sum(r[4] for r in rows) / len(rows)
+    var = sum((r[4] - mean) ** 2 for r in rows) / len(rows)
+    best = max((max((sum(s - mean for *_, s in ball[:k]) / k > 0) * k * (sum(s for *_, s in ball[:k]) / k - mean) ** 2 / (2 * var) for k in range(3, len(ball) + 1))
+                for c in rows for ball in [sorted((math.dist(c[1:4], r[1:4]), r[0], r[4]) for r in rows if math.dist(c[1:4], r[1:4]) <= 4.0)]))
+    whole = spatial.scan_statistic(df, "id", "s", 4.0, permutations=99).first()
+    assert whole["lr"] == pytest.approx(best, rel=1e-9)
+    part = spatial.scan_statistic(df, "id", "s", 4.0, permutations=99, settled=0.02).first()
+    assert part[:4] == whole[:4] and (part["p"] >= 0.02) == (whole["p"] >= 0.02) and part["p"] <= whole["p"]
