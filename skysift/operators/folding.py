@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from skysift.operators.ordered import neighbours, quantiles, with_position
 DURATIONS = 10
 #: Additions that one task does for one series before its base periods are split up.
 WORK = 2 * 10**8
+#: Bins of all series that are searched in one array.
+TOGETHER = 1 << 15
 #: Points needed, least period (days, cadences), share of the span, and bounds of the durations.
 FEWEST, LEAST_DAYS, LEAST_CADENCES = 20, 0.5, 10.0
 FOUND = ("power", "period", "duration", "depth", "t0")
@@ -76,67 +78,124 @@ def least_ahead(values: np.ndarray, near: int, far: int, length: int) -> np.ndar
     return np.minimum(low[..., :length], low[..., count - size : count - size + length])
 
 
-def strongest(total: np.ndarray, count: np.ndarray, n: int, periods: Iterator[int], stride: int, widths: range) -> tuple[float, float, int, int, float] | None:
+def strongest(total: np.ndarray, count: np.ndarray, n: int, periods: Iterable[int], stride: int, widths: range) -> tuple[float, float, int, int, float] | None:
     """The best box: power, period (bins), width, first bin and depth. ``total``: sums of deviations from the mean per bin.
 
     A box holds three points or more and not all. Among equal powers the least period, then width, then bin wins.
+    """
+    return strongest_of([(total, count, n, periods)], stride, widths)[0]
+
 
-    Boxes that begin at one bin are bounded together first: none dips below the least of their sums, and their counts lie between the narrowest's
-    and the widest's. Only bins whose bound reaches the best power so far are looked at width by width, so no box that could win is left out.
+def strongest_of(series: list[tuple[np.ndarray, np.ndarray, int, Iterable[int]]], stride: int, widths: range) -> list[tuple[float, float, int, int, float] | None]:
+    """``strongest`` of several series (total, count, n, periods) at once: those that meet a period with as many rows are folded in one array.
+
+    Boxes that begin at one bin are bounded together first, in single precision with its rounding allowed for, sums and counts as one complex number: none dips
+    below the least of their sums, and their counts lie between the narrowest's and the widest's. Only bins whose bound reaches the series' best power so far
+    are looked at width by width in double precision, so no box that could win is left out.
     """
-    inside = np.arange(n + 1, dtype=np.float64)
-    scale = np.zeros(n + 1)
-    scale[3:n] = n / (inside[3:n] * (n - inside[3:n]))
-    best, found = (0.0,), None
-    reach, boxes = widths[-1], np.array(widths)
+    reach, boxes, longest = widths[-1], np.array(widths), max(len(total) for total, *_ in series)
+    totals, both = np.zeros((len(series), longest)), np.zeros((len(series), longest), np.complex64)
+    for i, (total, count, *_) in enumerate(series):
+        totals[i, : len(total)], both[i, : len(total)] = total, total + 1j * count
+    size = np.array([n for _, _, n, _ in series], float)
+    best, found = [(0.0,) for _ in series], [None for _ in series]
+    met: dict[tuple[int, int], list[int]] = {}
+    for i, (total, _, _, periods) in enumerate(series):
+        for period in periods:
+            met.setdefault((period, int(-(-len(total) // period) - 1).bit_length()), []).append(i)
 
     def running_sums(values: np.ndarray, period: int) -> tuple[np.ndarray, int]:
         profiles, rows = folded(values, period, stride)
-        profiles = profiles[: max(1, rows - 1)]
-        sums = np.zeros((len(profiles), 1 + period + reach))
-        sums[:, 1 : 1 + period], sums[:, 1 + period :] = profiles, profiles[:, :reach]
-        return np.cumsum(sums, axis=-1, out=sums), rows
-
-    for period in periods:
-        dips, rows = running_sums(total, period)
-        deepest = np.minimum(least_ahead(dips, widths[0], reach, period) - dips[:, :period], 0.0)
-        # three points have the largest power for their sum, so counts are only folded where they matter
-        if float(deepest.min()) ** 2 * scale[3] < best[0] * -(1 - 1e-9):
-            continue
-        points, _ = running_sums(count, period)
-        fewest = np.maximum(points[:, widths[0] : widths[0] + period] - points[:, :period], 3.0)
-        most = points[:, reach : reach + period] - points[:, :period]
-        spread = fewest * (n - fewest)
-        if 2 * most.max() > n:
-            most = np.clip(most, 3.0, n - 1.0)
-            spread = np.minimum(spread, most * (n - most))
+        profiles = profiles[..., : max(1, rows - 1), :]
+        sums = np.empty((*profiles.shape[:-1], 1 + period + reach), values.dtype)
+        sums[..., 0] = 0
+        np.cumsum(profiles, axis=-1, out=sums[..., 1 : 1 + period])
+        # a box may end beyond the last bin, in the first ones
+        np.add(sums[..., 1 : 1 + reach], sums[..., period : period + 1], out=sums[..., 1 + period :])
+        return sums, rows
+
+    for (period, levels), held_by in sorted(met.items()):
+        some = np.array(held_by)
+        spans = min(longest, period << levels)
+        sums, rows = running_sums(both[some, :spans], period)
+        dips, points = np.ascontiguousarray(sums.real), np.ascontiguousarray(sums.imag)
+        n, least = size[some], np.array([-best[i][0] for i in some])
+        n1 = n.astype(np.float32)[:, None, None]
+        deepest = least_ahead(dips, widths[0], reach, period) - dips[..., :period]
+        # what single precision may have lost in the folds and the running sums
+        lost = (period + reach + 2 * rows) * 2.0**-22 * np.maximum(dips.max(axis=(1, 2)), -dips.min(axis=(1, 2)))
+        deepest -= (lost + 1e-30).astype(np.float32)[:, None, None]
+        np.minimum(deepest, 0, out=deepest)
+        fewest = points[..., widths[0] : widths[0] + period] - points[..., :period]
+        np.maximum(fewest, 3, out=fewest)
+        spread = n1 - fewest
+        spread *= fewest
+        most = points[..., reach : reach + period] - points[..., :period]
+        crowded = 2 * most.max(axis=(1, 2)) > n
+        if crowded.any():
+            held = np.clip(most[crowded], 3, n1[crowded] - 1)
+            spread[crowded] = np.minimum(spread[crowded], held * (n1[crowded] - held))
         # a hair lower, so that rounding excludes none
-        trials, firsts = np.nonzero(deepest * deepest * n > -best[0] * (1 - 1e-9) * spread)
+        spread *= (least * (1 - 1e-5) / n).astype(np.float32)[:, None, None]
+        deepest *= deepest
+        which, trials, firsts = np.unravel_index(np.flatnonzero((deepest >= spread).ravel()), spread.shape)
         if not len(firsts):
             continue
-        ends = firsts[:, None] + boxes
-        dip = np.minimum(dips[trials[:, None], ends] - dips[trials, firsts][:, None], 0.0)
-        held = np.rint(points[trials[:, None], ends] - points[trials, firsts][:, None]).astype(np.int64)
-        power = dip * dip * scale[held]
-        top = float(power.max())
-        if top == 0 or top < -best[0]:
+        ends, base = firsts[:, None] + boxes, ((which * dips.shape[1] + trials) * dips.shape[2])[:, None]
+        dip = np.minimum(dips.ravel()[base + ends] - dips.ravel()[base + firsts[:, None]] - lost[which, None], 0.0)
+        held = np.rint(points.ravel()[base + ends] - points.ravel()[base + firsts[:, None]]).astype(np.int64)
+        whole = n[which].astype(np.int64)[:, None]
+        fit = (held >= 3) & (held < whole)
+        near = (fit & (dip * dip * whole >= (least[which] * (1 - 1e-5))[:, None] * (held * (whole - held)))).any(axis=1)
+        if not near.any():
             continue
-        for at, box in zip(*(x.tolist() for x in np.nonzero(power == top))):
-            length, width, first = period + stride * int(trials[at]) / max(rows - 1, 1), widths[box], int(firsts[at])
-            rank = (-top, length, width, first)
-            if rank < best:
-                inner = int(held[at, box])
-                best, found = rank, (top, length, width, first, -float(dip[at, box]) * n / (inner * (n - inner)))
+        trials, firsts, ends, held, fit, whole = (x[near] for x in (trials, firsts, ends, held, fit, whole))
+        taken, which = np.unique(which[near], return_inverse=True)
+        some = some[taken]
+        dips, _ = running_sums(totals[some, :spans], period)
+        dip = np.minimum(dips[which[:, None], trials[:, None], ends] - dips[which, trials, firsts][:, None], 0.0)
+        power = np.where(fit, dip * dip * (whole / np.where(fit, held * (whole - held), 1)), 0.0)
+        cuts = np.searchsorted(which, np.arange(len(some) + 1))
+        for at, i in enumerate(some):
+            own = slice(cuts[at], cuts[at + 1])
+            top = float(power[own].max(initial=0.0))
+            if top == 0 or top < -best[i][0]:
+                continue
+            for row, box in zip(*(x.tolist() for x in np.nonzero(power[own] == top))):
+                row += cuts[at]
+                length, width, first = period + stride * int(trials[row]) / max(rows - 1, 1), widths[box], int(firsts[row])
+                rank = (-top, length, width, first)
+                if rank < best[i]:
+                    inner, of = int(held[row, box]), series[i][2]
+                    best[i], found[i] = rank, (top, length, width, first, -float(dip[row, box]) * of / (inner * (of - inner)))
     return found
 
 
+def _base(batch: pa.RecordBatch, i: int, names: list[str]) -> int:
+    """The first base period of a row's part."""
+    first, part, stride = (batch.column(names.index(c))[i].as_py() for c in ("first", "part", "stride"))
+    return first + part * stride
+
+
+def _together(rows: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Rows (bins, place) in runs of at most TOGETHER bins, or one row."""
+    some, held = [], 0
+    for bins, i in rows:
+        if some and held + bins > TOGETHER:
+            yield some
+            some, held = [], 0
+        some.append(i)
+        held += bins
+    yield some
+
+
 def box_search(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Strongest periodic box dip of each series: ``key``, power, period, duration, depth and t0 (middle of a dip).
 
     Points are added up in bins of a tenth of the range of durations, so that a series that has a third of all points is small before it is dealt.
     Base periods are ``stride`` bins apart, and the trials between two of them differ by a drift of so many bins over the whole
     span, a third of the shortest duration: no dip falls between two trials. Base periods of a long series are dealt to several tasks. A
-    task holds one series' bins at a time. Series of less than 20 points or no length give no row; null times and values don't count.
+    task searches one series' bins at a time, or those of several short series. Series of less than 20 points or no length give no row; null times and values don't count.
     """
     plan = search_plan(df, key, time, value)
     rows = df.where(F.col(value).isNotNull() & F.col(time).isNotNull()).join(plan, key)
@@ -150,19 +209,25 @@ def box_search(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, alike = [], {}
             for i in range(batch.num_rows):
-                row = dict(zip(names, (batch.column(c)[i].as_py() for c in range(len(names)))))
-                counts = np.array(row["count"])
-                n, mean = int(counts.sum()), sum(row["total"]) / counts.sum()
-                count, total = np.zeros(row["bins"]), np.zeros(row["bins"])
-                count[row["at"]] = counts
-                total[row["at"]] = np.array(row["total"]) - counts * mean
-                bases = range(row["first"] + row["part"] * row["stride"], row["last"] + 1, row["stride"] * row["parts"])
-                got = strongest(total, count, n, bases, row["stride"], range(row["width"], row["width"] + DURATIONS))
-                if got:
-                    power, period, width, first, depth = got
-                    out.append((row[key], power, period * row["bin"], width * row["bin"], depth, row["start"] + (first + width / 2) * row["bin"]))
+                bins, stride, parts = (batch.column(names.index(c))[i].as_py() for c in ("bins", "stride", "parts"))
+                width, base = batch.column(names.index("width"))[i].as_py(), _base(batch, i, names)
+                alike.setdefault((stride, parts, width, base % (stride * parts)), []).append((bins, i))
+            for (stride, parts, width, _), rows in alike.items():
+                for some in _together(sorted(rows)):
+                    held, series = [dict(zip(names, (batch.column(c)[i].as_py() for c in range(len(names))))) for i in some], []
+                    for i, row in zip(some, held):
+                        counts = np.array(row["count"])
+                        n, mean = int(counts.sum()), sum(row["total"]) / counts.sum()
+                        count, total = np.zeros(row["bins"]), np.zeros(row["bins"])
+                        count[row["at"]] = counts
+                        total[row["at"]] = np.array(row["total"]) - counts * mean
+                        series.append((total, count, n, range(_base(batch, i, names), row["last"] + 1, stride * parts)))
+                    for row, got in zip(held, strongest_of(series, stride, range(width, width + DURATIONS))):
+                        if got:
+                            power, period, wide, first, depth = got
+                            out.append((row[key], power, period * row["bin"], wide * row["bin"], depth, row["start"] + (first + wide / 2) * row["bin"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), *(pa.array([r[c] for r in out], pa.float64()) for c in range(1, 6))], [key, *FOUND])
 
     # a stated number, as rows are few and each is a lot of arithmetic: small partitions must not be put together

@@ -105,3 +105,19 @@ def test_few_boxes_are_looked_at_one_by_one(monkeypatch):
             boxes, best = boxes + dip.size, max(best, (dip[fit] ** 2 * n / (k[fit] * (n - k[fit]))).max(initial=0))
     assert found[0] == pytest.approx(best, rel=1e-9)
     assert sum(looked) < boxes / 20
+
+
+def test_series_searched_together_equal_each_alone(monkeypatch):
+    """Series of other lengths, spans and counts, one without a dip and one with copies of a bin; and few calls for many of them."""
+    rng = np.random.default_rng(8)
+    series, calls, fold = [], [], folding.folded
+    for i in range(12):
+        bins = 900 + 37 * i
+        count = rng.poisson(0.2 if i % 3 else 3.0, bins).astype(float)
+        total = count * rng.normal(size=bins) - 4 * count * (np.arange(bins) % 71 < 5) if i else np.zeros(bins)
+        series.append((total - count * total.sum() / count.sum(), count, int(count.sum()), range(50 + i % 2, bins // 2, 3)))
+    alone = [folding.strongest(*s, 3, range(9, 19)) for s in series]
+    monkeypatch.setattr(folding, "folded", lambda *a: calls.append(1) or fold(*a))
+    assert folding.strongest_of(series, 3, range(9, 19)) == alone
+    assert alone[0] is None and all(alone[1:])
+    assert len(calls) < sum(len(s[3]) for s in series) / 2
