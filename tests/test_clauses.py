@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,24 @@ def test_scan_equals_all_balls_and_settles(spark):
     assert whole["lr"] == pytest.approx(best, rel=1e-9)
     part = spatial.scan_statistic(df, "id", "s", 4.0, permutations=99, settled=0.02).first()
     assert part[:4] == whole[:4] and (part["p"] >= 0.02) == (whole["p"] >= 0.02) and part["p"] <= whole["p"]
+
+
+def test_morans_i_by_far_cells(spark, monkeypatch):
+    """Cells that meet through their nodes against all pairs, with copies of a place, a pole, places closer than the floor and opposite ones."""
+    rng = np.random.default_rng(4)
+    ra, dec = rng.uniform(0, 360, 2400), np.degrees(np.arcsin(rng.uniform(-1, 1, 2400)))
+    ra, dec = np.concatenate([ra, ra[:300] + 180, ra[:50] + 1e-4, ra[50:90], [5.0, 200.0]]), np.concatenate([dec, -dec[:300], dec[:90], [90.0, 90.0]])
+    ra %= 360
+    s = 0.2 * np.sin(np.radians(ra)) * np.cos(np.radians(dec)) + rng.normal(size=len(ra))
+    every = spatial._with_vectors(ra, dec, s - s.mean())
+    weight, product = spatial._squares(every, every, "sphere", 0.01)
+    monkeypatch.setattr(spatial, "PART", 40)
+    df = spark.createDataFrame(pd.DataFrame({"ra": ra, "dec": dec, "z": s - s.mean()}))
+    known = len(spatial._near_cells(8)), (6 * 64) * (6 * 64 + 1) / 2
+    assert known[0] < 0.3 * known[1]
+    total = spatial._sums_by_cells(df, 180_000, 0.01, 8).agg(F.sum("w"), F.sum("wz")).first()  # cells of 8 x 8 a face
+    assert total[0] == pytest.approx(weight, rel=1e-9)
+    assert abs(total[1] - product) < 1e-9 * weight
+    monkeypatch.setattr(spatial, "FAR_FROM", 1000)
+    got = spatial.morans_i(df.withColumnRenamed("z", "s"), "s").first()
+    assert got["morans_i"] == pytest.approx(product / (weight * s.var()), abs=1e-9)
