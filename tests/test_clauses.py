@@ -7,13 +7,14 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
 from skysift.functions import numeric as N
 from skysift.operators import spatial, stats
 from skysift.operators.templates import source_patterns
 from skysift.plans.detectors import stacked_anomalies
-from skysift.plans.registry import QUERIES
+from skysift.plans.registry import ORACLES, QUERIES
 from skysift.plans.tables import Tables, with_fixtures
 from skysift.sources import readers
 from skysift.sources.sinks import without_nan
@@ -211,3 +212,12 @@ def test_morans_i_by_far_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial, "FAR_FROM", 1000)
     got = spatial.morans_i(df.withColumnRenamed("z", "s"), "s").first()
     assert got["morans_i"] == pytest.approx(product / (weight * s.var()), abs=1e-9)
+
+
+def test_hypothesis_registry_by_far_cells_matches_sql(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FAR_FROM", 100)
+    called, whole = [], spatial._sums_by_cells
+    monkeypatch.setattr(spatial, "_sums_by_cells", lambda *a: called.append(1) or whole(*a))
+    folder = "/root/testdata/sf0.001"
+    assert compare(QUERIES["hypothesis_registry"](Tables(spark, folder)), connect(folder), with_fixtures(ORACLES["hypothesis_registry"])) == ""
+    assert called
